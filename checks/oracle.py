@@ -175,7 +175,7 @@ ORACLE["row_index_per_series"] = """SELECT row_number() OVER (PARTITION BY event
 RATIO = """CASE WHEN q = lag(q) OVER w THEN 0.0
     ELSE coalesce((p - lag(p) OVER w) / (q - lag(q) OVER w), 0.0) END"""
 ORACLE["delta_ratio"] = f"""WITH s AS (SELECT event_id AS ordinal, value AS p, CAST(user_id AS DOUBLE) AS q FROM events)
-SELECT ordinal, p AS pressure, q AS flow, round_even({RATIO}, 2) + 0.0 AS "delta_P_delta_Q"
+SELECT ordinal, p AS pressure, q AS flow, round_even({RATIO}, 9) + 0.0 AS "delta_P_delta_Q"
 FROM s WINDOW w AS (ORDER BY ordinal)"""
 ORACLE["state_flags"] = """SELECT event_id AS ordinal, CAST(user_id > 10 AND value > 40 AS INTEGER) AS tc_injecting,
   CAST(user_id > 10 AND NOT value > 40 AS INTEGER) AS tc_producing FROM events"""
@@ -284,9 +284,9 @@ SELECT event_id AS ordinal, epoch_us(ts) <= c AS is_train FROM events, cut"""
 
 # Profiles --------------------------------------------------------------------------------
 
-NUMBERS = """SELECT '{c}' AS "column", CAST({i} AS INTEGER) AS position, round(min({c}), 6) AS minimum, round(max({c}), 6) AS maximum,
-  round(avg({c}), 6) AS mean, round(median({c}), 6) AS median, round(max({c}) - min({c}), 6) AS range,
-  round(stddev_samp({c}), 6) AS std_dev, count({c}) AS count, count(*) - count({c}) AS missing_count,
+NUMBERS = """SELECT '{c}' AS "column", CAST({i} AS INTEGER) AS position, round(min({c}), 9) AS minimum, round(max({c}), 9) AS maximum,
+  round(avg({c}), 9) AS mean, round(median({c}), 9) AS median, round(max({c}) - min({c}), 9) AS range,
+  round(stddev_samp({c}), 9) AS std_dev, count({c}) AS count, count(*) - count({c}) AS missing_count,
   round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_percent, count(DISTINCT {c}) AS unique_count FROM """
 ORACLE["numeric_profile"] = f"""WITH {DATA}, gappy AS (SELECT * REPLACE (CASE WHEN l_tax > 0.01 THEN l_tax END AS l_tax),
   CAST(NULL AS DOUBLE) AS nothing FROM data) {per_column(NUMBERS + 'gappy', [*CHANNELS, "depth", "nothing"])}"""
@@ -373,7 +373,7 @@ SELECT row_index, time, {', '.join(f'round_even(({c} - {c}_min) / ({c}_max - {c}
 ORACLE["scaled_for_model"] = f"""WITH {FLAGGED}, kept AS (
   SELECT ordinal, CAST(ec_raw AS DOUBLE) AS q, coalesce(try_cast(flow_raw AS DOUBLE), 0.0) AS p,
     CAST(ordinal % 1000 AS DOUBLE) AS level FROM flagged WHERE NOT flag_duplicate_timestamp AND NOT flag_time_gap_gt_expected),
-engineered AS (SELECT *, round_even({RATIO}, 2) + 0.0 AS r, CAST(q > 10 AND p > 40 AS INTEGER) AS injecting,
+engineered AS (SELECT *, round_even({RATIO}, 9) + 0.0 AS r, CAST(q > 10 AND p > 40 AS INTEGER) AS injecting,
   CAST(q > 10 AND NOT p > 40 AS INTEGER) AS producing FROM kept WINDOW w AS (ORDER BY ordinal)),
 fitted AS (SELECT avg(p) AS pm, stddev_pop(p) AS ps, avg(level) AS lm, stddev_pop(level) AS ls, avg(q) AS qm, stddev_pop(q) AS qs,
   median(r) AS rm, quantile_cont(r, 0.9) - quantile_cont(r, 0.1) AS rs FROM engineered)

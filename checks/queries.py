@@ -207,7 +207,7 @@ def row_index_per_series(spark, sf):
 
 @query
 def delta_ratio(spark, sf):
-    changed = features.delta_ratio(sensor_series(spark, sf), "pressure", "flow")
+    changed = features.delta_ratio(sensor_series(spark, sf), "pressure", "flow", places=9)
     return changed.select("ordinal", "pressure", "flow", "delta_P_delta_Q")
 
 
@@ -430,7 +430,7 @@ def numeric_profile(spark, sf):
     gaps = F.when(F.col("l_tax") > 0.01, F.col("l_tax"))
     data = channels(spark, sf).withColumn("l_tax", gaps).withColumn("nothing", F.lit(None).cast("double"))
     found = profile.numeric_profile(data, [*CHANNELS, "depth", "nothing"])
-    return found.select("column", "position", *round6("minimum", "maximum", "mean", "median", "range", "std_dev"),
+    return found.select("column", "position", *[F.round(c, 9).alias(c) for c in ("minimum", "maximum", "mean", "median", "range", "std_dev")],
                         "count", "missing_count", "missing_percent", "unique_count")
 
 
@@ -520,7 +520,8 @@ def scaled_for_model(spark, sf):
         (F.col("ordinal") % 1000).cast("double").alias("level"),
         "flag_duplicate_timestamp", "flag_time_gap_gt_expected")
     scaled, _ = model_prep.prepare_for_model(
-        stage_table(flagged, "flagged"), SCALED, flagged.columns, "pressure", "flow", MIN_FLOW, MIN_PRESSURE)
+        stage_table(flagged, "flagged"), SCALED, flagged.columns, "pressure", "flow", MIN_FLOW, MIN_PRESSURE,
+        ratio_places=9)
     return scaled.select("ordinal", *round6("pressure", "level", "flow", "delta_P_delta_Q"), "injecting", "producing")
 
 

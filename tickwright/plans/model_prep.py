@@ -15,14 +15,15 @@ from tickwright.sources.tables import keep_columns
 
 def prepare_for_model(df: DataFrame, config: ScalerConfig, keep: Sequence[str], pressure: str, flow: str,
                       min_flow: float, min_pressure: float, ordinal: str = "ordinal",
-                      series: Sequence[str] = ("source_dataset",)) -> tuple[DataFrame, ScalerModel]:
+                      series: Sequence[str] = ("source_dataset",),
+                      ratio_places: int | None = 2) -> tuple[DataFrame, ScalerModel]:
     """Drop flagged rows, keep the named columns, add features, scale.
 
     Features come after the filter, so a change ratio never spans a dropped repeat.
     """
     reduced = qc_filter(keep_columns(df, keep))
     ratio = config.ratio_columns[0] if config.ratio_columns else "delta_P_delta_Q"
-    engineered = delta_ratio(reduced, pressure, flow, ratio, series, ordinal)
+    engineered = delta_ratio(reduced, pressure, flow, ratio, series, ordinal, places=ratio_places)
     injecting, producing = (list(config.flag_cols) + ["tc_injecting", "tc_producing"])[:2]
     engineered = add_state_flags(engineered, flow, pressure, min_flow, min_pressure, injecting, producing)
     model = fit_scaler(engineered, config)
