@@ -315,7 +315,7 @@ def percentile_bounds(spark, sf):
 @query
 def percentile_bounds_narrowed(spark, sf):
     """The same bounds by narrowing, as for tables that no task could hold."""
-    return _bounds(spark, sf, max_direct_cells=0, max_open_values=500, accuracy=200)
+    return _bounds(spark, sf, max_open_values=500, accuracy=200)
 
 
 @query

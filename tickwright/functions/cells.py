@@ -70,7 +70,14 @@ def flag_int(c: Column) -> Column:
 
 
 def round_half_even(c: Column, places: int = 6) -> Column:
-    return F.bround(c, places)
+    """Round a double to ``places`` digits, ties to even; zero comes out without a sign.
+
+    ``bround`` goes through a decimal object per cell.  Where the shifted value still is an
+    exact integer range for doubles, shifting and ``rint`` do the same several times faster.
+    """
+    factor = 10.0**places
+    shifted = F.rint(c * F.lit(factor)) / F.lit(factor) + F.lit(0.0)
+    return F.when(F.abs(c) < F.lit(2.0**52 / factor), shifted).otherwise(F.bround(c, places))
 
 
 def nan_to_null(c: Column) -> Column:

@@ -42,15 +42,16 @@ def _format_pattern(time_format: str) -> tuple[str, dict[str, int]]:
 def parse_time(c: Column, time_format: str) -> Column:
     """Text to ``timestamp_ntz``, NULL where it does not match the format or is no date.
 
-    Matching text is rewritten to ISO order and cast; the cast to a zone-less timestamp does
-    not depend on the session time zone and returns NULL for dates such as 30 February.
+    One pattern rewrites matching text to ISO order behind a blank, which stripped text never
+    starts with and the cast skips.  The cast to a zone-less timestamp does not depend on the
+    session time zone and returns NULL for dates such as 30 February.
     """
     pattern, groups = _format_pattern(time_format)
     text = strip(c)
 
     def iso(year: str) -> Column:
         clock = ":".join(f"${groups[f]}" if f in groups else "0" for f in ("hour", "minute", "second"))
-        return F.regexp_replace(text, pattern, f"{year}-${groups['month']}-${groups['day']} {clock}")
+        return F.regexp_replace(text, pattern, f" {year}-${groups['month']}-${groups['day']} {clock}")
 
     if "year" in groups:
         rewritten = iso(f"${groups['year']}")
@@ -59,7 +60,7 @@ def parse_time(c: Column, time_format: str) -> Column:
         number = groups["short_year"]
         last_century = F.regexp_extract(text, pattern, number) >= "69"
         rewritten = F.when(last_century, iso(f"19${number}")).otherwise(iso(f"20${number}"))
-    return F.when(text.rlike(pattern), rewritten.try_cast("timestamp_ntz"))
+    return F.when(F.startswith(rewritten, F.lit(" ")), rewritten.try_cast("timestamp_ntz"))
 
 
 def canonical_time(ts: Column) -> Column:
@@ -68,16 +69,22 @@ def canonical_time(ts: Column) -> Column:
     return F.coalesce(F.replace(text, F.lit(" "), F.lit("T")), F.lit(""))
 
 
-def seconds_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("SECOND", start, end)
+_EPOCH = "1970-01-01"
 
 
 def epoch_micros(ts: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+    """Microseconds since 1970 on the zone-less clock, whatever the session time zone."""
+    since = ts.cast("timestamp_ntz") - F.lit(_EPOCH).cast("timestamp_ntz")
+    return (since.cast("decimal(24,6)") * F.lit(1_000_000)).cast("bigint")
 
 
 def from_epoch_micros(micros: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", micros, F.lit(_EPOCH).cast("timestamp_ntz"))
+
+
+def plus_seconds(ts: Column, seconds: Column | int) -> Column:
+    amount = F.lit(seconds) if isinstance(seconds, int) else seconds
+    return ts + F.make_dt_interval(secs=amount)
 
 
 def calendar_features(ts: Column) -> dict[str, Column]:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickwright.functions.cells import round_half_even
 from tickwright.functions.times import calendar_features, cyclic_features
 from tickwright.operators.ordered import CHUNK_BITS, previous_row
 from tickwright.operators.sequence import SERIES
@@ -36,7 +37,7 @@ def delta_ratio(df: DataFrame, pressure: str, flow: str, name: str = "delta_P_de
         F.try_divide(change_p.cast("double"), change_q.cast("double")))
     ratio = F.coalesce(ratio, F.lit(0.0))
     if places is not None:
-        ratio = F.bround(ratio, places)
+        ratio = round_half_even(ratio, places)
     return stepped.withColumn(name, ratio).drop("__p", "__q")
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickwright.functions.cells import missing_percent, strip
+from tickwright.functions.cells import missing_percent, round_half_even, strip
 from tickwright.functions.names import definition_column, unit_column
 from tickwright.functions.times import epoch_micros, from_epoch_micros, parse_time
 from tickwright.operators.quality import count_cells
@@ -76,10 +76,24 @@ def distinct_counts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     shuffle.  In long form equal values are merged before the shuffle, and the shuffle key
     is (column, value), so neither a wide table nor a frequent value overloads a task.
     """
-    pairs = F.array(*[F.when(v.isNotNull(), F.struct(F.lit(c).alias("column"), v.alias("value")))
-                      for c, v in values.items()])
-    long = df.select(F.explode(F.array_compact(pairs)).alias("e")).select("e.*")
-    return long.distinct().groupBy("column").agg(F.count("*").alias("unique_count"))
+    unique = unpivot_values(df, values).distinct().groupBy("at").agg(F.count("*").alias("unique_count"))
+    return unique.select(_label(values), "unique_count")
+
+
+def unpivot_values(df: DataFrame, values: dict[str, Column], *keep: Column) -> DataFrame:
+    """Rows (kept columns, at, value) of the non-missing values.
+
+    ``at`` is the position of the column; it is shorter to shuffle than the name.
+    """
+    kept = {f"_k{i}": c for i, c in enumerate(keep)}
+    cells = {str(i): c for i, c in enumerate(values.values())}
+    wide = df.select(*[c.alias(name) for name, c in {**kept, **cells}.items()])
+    return wide.unpivot(list(kept), list(cells), "at", "value").filter("value IS NOT NULL")
+
+
+def _label(columns: Iterable[str]) -> Column:
+    """Name of the column at position ``at``."""
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("at").cast("int") + 1).alias("column")
 
 
 def _with_distinct(stats: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -149,16 +163,13 @@ def text_profile(df: DataFrame, columns: Sequence[str], ordinal: str, examples:
     Values are merged per (column, value) with their first row; the rank filter keeps five
     rows per task ahead of the shuffle to the final ranking.
     """
-    pairs = F.array(*[
-        F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("column"), _as_text(df, c).alias("value")))
-        for c in columns])
     values = (
-        df.select(F.col(ordinal).alias("__at"), F.explode(F.array_compact(pairs)).alias("e"))
-        .groupBy("e.column", "e.value").agg(F.min("__at").alias("__first"))
+        unpivot_values(df, {c: _as_text(df, c) for c in columns}, F.col(ordinal))
+        .groupBy("at", "value").agg(F.min("_k0").alias("__first"))
     )
-    rank = F.row_number().over(W.partitionBy("column").orderBy("__first", "value"))
+    rank = F.row_number().over(W.partitionBy("at").orderBy("__first", "value"))
     firsts = values.withColumn("__rank", rank).filter(F.col("__rank") <= examples)
-    shown = firsts.groupBy("column").agg(F.array_join(F.transform(
+    shown = firsts.groupBy("at").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("__rank", "value"))), lambda e: e["value"]), ", ").alias("example_values"))
     wide = df.agg(*[
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.count(c).alias("count"),
@@ -167,8 +178,9 @@ def text_profile(df: DataFrame, columns: Sequence[str], ordinal: str, examples:
     ])
     stats = _long(wide, len(columns)).withColumn(
         "missing_percent", missing_percent(F.col("missing_count"), F.col("__rows"))).drop("__rows")
-    unique = values.groupBy("column").agg(F.count("*").alias("unique_count"))
-    joined = _with_distinct(stats, unique).join(shown, "column", "left")
+    unique = values.groupBy("at").agg(F.count("*").alias("unique_count"))
+    joined = _with_distinct(stats, unique.select(_label(columns), "unique_count"))
+    joined = joined.join(shown.select(_label(columns), "example_values"), "column", "left")
     return joined.withColumn("example_values", F.coalesce("example_values", F.lit("")))
 
 
@@ -258,7 +270,7 @@ def blank_counts(df: DataFrame, columns: Sequence[str], series: Sequence[str] =
 
 def value_frequency(df: DataFrame, column: str, places: int = 1, top: int = 10) -> DataFrame:
     """The most common rounded values; ties go to the smaller value."""
-    rounded = df.select(F.bround(F.col(column).cast("double"), places).alias("value"))
+    rounded = df.select(round_half_even(F.col(column).cast("double"), places).alias("value"))
     return rounded.groupBy("value").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "value").limit(top)
 
 
@@ -274,5 +286,5 @@ def sign_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def distinct_sample(df: DataFrame, column: str, places: int = 4, first: int = 10) -> DataFrame:
     """The smallest distinct rounded values."""
-    rounded = df.select(F.bround(F.col(column).cast("double"), places).alias("value"))
+    rounded = df.select(round_half_even(F.col(column).cast("double"), places).alias("value"))
     return rounded.distinct().orderBy("value").limit(first)

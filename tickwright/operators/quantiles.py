@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickwright.functions.cells import nan_to_null
+from tickwright.functions.cells import any_of, nan_to_null
 
-# Up to this many cells the built-in percentile is used: its value map then fits one task.
-MAX_DIRECT_CELLS = 4_000_000
 # Distinct values of one bracket that a single sort may hold at the end.
 MAX_OPEN_VALUES = 1_000_000
 SKETCH_ACCURACY = 5_000
@@ -25,19 +23,20 @@ class _Bracket:
     """Where two neighbouring ranks of one column lie.
 
     ``below`` values are smaller than ``lo``, ``at_lo`` equal it, ``open`` lie strictly
-    between, ``at_hi`` equal ``hi``.  Values that repeat massively end up on a boundary.
+    between, ``at_hi`` equal ``hi``; no ``lo`` or ``hi`` means no bound on that side.
+    Values that repeat massively end up on a bound.
     """
 
     column: str
     first: int
     second: int
     fraction: float
-    lo: float
-    hi: float
-    below: int
-    at_lo: int
     open: int
-    at_hi: int
+    lo: float | None = None
+    hi: float | None = None
+    below: int = 0
+    at_lo: int = 0
+    at_hi: int = 0
     widen: float = 1.0
 
     def known(self, rank: int) -> float | None:
@@ -61,101 +60,91 @@ def _batches(items: Sequence, size: int = COLUMNS_PER_AGGREGATE) -> list[Sequenc
     return [items[i:i + size] for i in range(0, len(items), size)]
 
 
-def _interpolate(low: float, high: float, fraction: float) -> float:
-    return low * (1 - fraction) + high * fraction
-
-
 def exact_percentiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float],
-                      max_direct_cells: int = MAX_DIRECT_CELLS,
                       max_open_values: int = MAX_OPEN_VALUES,
                       accuracy: int = SKETCH_ACCURACY) -> dict[str, list[float | None]]:
     """Percentiles by linear interpolation at ``p * (n - 1)``, missing values left out.
 
-    Small tables take one built-in aggregate.  Larger ones are narrowed: an approximate
-    percentile gives a bracket around the wanted rank, a count says what lies below, on and
-    inside the bracket, and so on until few values remain, which are then ranked exactly.
-    Each step is a partial aggregate over a scan of these columns; no rows are shuffled.
-    Only the result (columns times fractions numbers) comes to the driver.
+    The built-in exact percentile keeps every distinct value of a column in one task, so it
+    is not used.  An approximate percentile gives a bracket around each wanted rank, a count
+    says how many values lie below, on and inside it, and both repeat until few values are
+    inside, which are then ranked exactly.  A bracket that missed its rank is seen in the
+    counts and widened.  Each step is a partial aggregate over a scan of these columns; only
+    the values of the last brackets are shuffled.  A billion rows take one round, three scans.
     """
     columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
     data = df.select(*[numeric_column(c).alias(c) for c in columns])
-    stats: dict[str, tuple] = {}
+    brackets, ends = _first_brackets(data, columns, fractions, accuracy)
+    pending = list(brackets.values())
+    if pending:
+        _recount(data, pending, ends)
+    while pending := [b for b in pending if not b.solved and b.open > max_open_values]:
+        _recount(data, pending, _narrower(data, pending, accuracy))
+    ranked = _rank_open(data, [b for b in brackets.values() if not b.solved])
+
+    def value(key: tuple[str, float]) -> float | None:
+        if key not in brackets:
+            return None
+        b = brackets[key]
+        low, high = (ranked[key_rank] if (key_rank := (id(b), rank)) in ranked else b.known(rank)
+                     for rank in (b.first, b.second))
+        return low * (1 - b.fraction) + high * b.fraction
+
+    return {c: [value((c, p)) for p in fractions] for c in columns}
+
+
+def _first_brackets(data: DataFrame, columns: Sequence[str], fractions: Sequence[float], accuracy: int):
+    """Counts and the first approximate ends of all columns, in one scan."""
+    margin = 2.0 / accuracy
+    probes = [x for p in fractions for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    brackets: dict[tuple[str, float], _Bracket] = {}
+    ends: list[tuple[float, float]] = []
     for batch in _batches(columns):
         row = data.agg(*[
-            F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c)
+            F.struct(F.count(c).alias("n"), F.percentile_approx(c, F.lit(probes), accuracy).alias("at")).alias(c)
             for c in batch
         ]).first()
-        stats.update({c: tuple(row[c]) for c in batch})
-
-    if sum(n for n, _, _ in stats.values()) <= max_direct_cells:
-        found: dict[str, list[float | None]] = {}
-        for batch in _batches(columns):
-            row = data.agg(*[F.percentile(c, F.lit(list(fractions))).alias(c) for c in batch]).first()
-            found.update({c: list(row[c]) if row[c] is not None else [None] * len(fractions) for c in batch})
-        return found
-
-    brackets: dict[tuple[str, float], _Bracket] = {}
-    for c in columns:
-        n, lo, hi = stats[c]
-        for p in fractions:
-            if n:
-                place = p * (n - 1)
-                first = math.floor(place)
-                brackets[c, p] = _Bracket(c, first, min(first + 1, n - 1), place - first,
-                                          lo, hi, 0, 0, n, 0)
-    # The ends of the first bracket are values too; count them before narrowing.
-    _recount(data, list(brackets.values()), [(b.lo, b.hi) for b in brackets.values()])
-    while True:
-        wide = [b for b in brackets.values() if not b.solved and b.open > max_open_values]
-        if not wide:
-            break
-        _recount(data, wide, _narrower(data, wide, accuracy))
-    ranked = _rank_open(data, [b for b in brackets.values() if not b.solved])
-
-    result: dict[str, list[float | None]] = {}
-    for c in columns:
-        result[c] = []
-        for p in fractions:
-            b = brackets.get((c, p))
-            if b is None:
-                result[c].append(None)
-                continue
-            low, high = (
-                b.known(rank) if b.known(rank) is not None else ranked[id(b)][rank]
-                for rank in (b.first, b.second)
-            )
-            result[c].append(_interpolate(low, high, b.fraction))
-    return result
+        for c in batch:
+            n, at = row[c]
+            for i, p in enumerate(fractions):
+                if n and (c, p) not in brackets:
+                    place = p * (n - 1)
+                    first = math.floor(place)
+                    brackets[c, p] = _Bracket(c, first, min(first + 1, n - 1), place - first, n)
+                    ends.append((at[2 * i], at[2 * i + 1]))
+    return brackets, ends
 
 
 def _inside(b: _Bracket) -> Column:
-    return (F.col(b.column) > b.lo) & (F.col(b.column) < b.hi)
+    inside = F.col(b.column).isNotNull()
+    if b.lo is not None:
+        inside = inside & (F.col(b.column) > b.lo)
+    if b.hi is not None:
+        inside = inside & (F.col(b.column) < b.hi)
+    return inside
 
 
-def _narrower(data: DataFrame, wide: list[_Bracket], accuracy: int) -> list[tuple[float, float]]:
+def _narrower(data: DataFrame, pending: list[_Bracket], accuracy: int) -> list[tuple[float | None, float | None]]:
     """Approximate ends, safely outside the wanted ranks; a known end stays as it is."""
-    ends: list[tuple[float, float]] = []
-    for batch in _batches(wide):
+    ends: list[tuple[float | None, float | None]] = []
+    for batch in _batches(pending):
         sketches = []
         for i, b in enumerate(batch):
             margin = 2.0 * b.widen / accuracy
             at = [(r - b.below - b.at_lo) / max(b.open - 1, 1) for r in (b.first, b.second)]
-            probe = F.lit([max(at[0] - margin, 0.0), min(at[1] + margin, 1.0)])
-            value = F.when(_inside(b), F.col(b.column))
-            sketches.append(F.percentile_approx(value, probe, accuracy).alias(f"b{i}"))
+            probe = F.lit([min(max(at[0] - margin, 0.0), 1.0), max(min(at[1] + margin, 1.0), 0.0)])
+            sketches.append(F.percentile_approx(F.when(_inside(b), F.col(b.column)), probe, accuracy).alias(f"b{i}"))
         row = data.agg(*sketches).first()
         for i, b in enumerate(batch):
             lo, hi = row[f"b{i}"]
-            ends.append((
-                b.lo if b.known(b.first) is not None else lo,
-                b.hi if b.known(b.second) is not None else hi,
-            ))
+            ends.append((b.lo if b.known(b.first) is not None else lo,
+                         b.hi if b.known(b.second) is not None else hi))
     return ends
 
 
-def _recount(data: DataFrame, brackets: list[_Bracket], ends: list[tuple[float, float]]) -> None:
+def _recount(data: DataFrame, brackets: list[_Bracket], ends: Sequence[tuple]) -> None:
     """Count against new ends and take them, unless they missed a wanted rank."""
     for batch, new in zip(_batches(brackets), _batches(ends), strict=True):
         counts = []
@@ -176,34 +165,28 @@ def _recount(data: DataFrame, brackets: list[_Bracket], ends: list[tuple[float,
                 b.widen *= 4
 
 
-def _rank_open(data: DataFrame, brackets: list[_Bracket]) -> dict[int, dict[int, float]]:
-    """Values at the wanted ranks of the brackets that are small enough to sort.
+def _rank_open(data: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int], float]:
+    """Values at the wanted ranks of brackets that are small enough to sort.
 
     Equal values are counted together first; the window then holds at most
     ``max_open_values`` distinct values of one bracket.
     """
     if not brackets:
         return {}
-    entries = [F.when(_inside(b), F.struct(F.lit(i).alias("i"), F.col(b.column).alias("v")))
-               for i, b in enumerate(brackets)]
+    inside = data.filter(any_of([_inside(b) for b in brackets])).select(*[
+        F.when(_inside(b), F.col(b.column)).alias(str(i)) for i, b in enumerate(brackets)])
     counted = (
-        data.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .groupBy("e.i", "e.v").agg(F.count("*").alias("n"))
+        inside.unpivot([], inside.columns, "i", "v").filter("v IS NOT NULL")
+        .groupBy("i", "v").agg(F.count("*").alias("n"))
     )
-    spec = data.sparkSession.createDataFrame(
-        [(i, b.below + b.at_lo, sorted({r for r in (b.first, b.second) if b.known(r) is None}))
-         for i, b in enumerate(brackets)], "i int, start long, ranks array<long>")
-    upto = F.sum("n").over(W.partitionBy("i").orderBy("v"))
+    wanted = data.sparkSession.createDataFrame(
+        [(str(i), rank, rank - b.below - b.at_lo) for i, b in enumerate(brackets)
+         for rank in sorted({b.first, b.second}) if b.known(rank) is None],
+        "i string, rank long, place long")
+    upto = counted.withColumn("upto", F.sum("n").over(W.partitionBy("i").orderBy("v")))
     hits = (
-        counted.withColumn("upto", upto)
-        .join(F.broadcast(spec), "i")
-        .withColumn("hit", F.filter("ranks", lambda r: (r >= F.col("start") + F.col("upto") - F.col("n"))
-                                    & (r < F.col("start") + F.col("upto"))))
-        .filter(F.size("hit") > 0)
-        .select("i", F.explode("hit").alias("rank"), "v")
-        .collect()
+        upto.join(F.broadcast(wanted), "i")
+        .filter((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("n")))
+        .select("i", "rank", "v").collect()
     )
-    found: dict[int, dict[int, float]] = {}
-    for hit in hits:
-        found.setdefault(id(brackets[hit["i"]]), {})[hit["rank"]] = hit["v"]
-    return found
+    return {(id(brackets[int(hit["i"])]), hit["rank"]): hit["v"] for hit in hits}

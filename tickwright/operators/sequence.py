@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tickwright.functions.times import seconds_between
+from tickwright.functions.times import plus_seconds
 from tickwright.operators.ordered import CHUNK_BITS, inherit_last, look_back, sorted_positions, with_chunk
 
 SERIES = ("source_dataset",)
@@ -34,25 +34,27 @@ def flag_sequence(df: DataFrame, cadence: Column | int, ts: str = "ts",
                   series: Sequence[str] = SERIES, ordinal: str = "ordinal",
                   bits: int = CHUNK_BITS, levels: int = 1,
                   initial: DataFrame | None = None) -> DataFrame:
-    """Add the four time flags; they compare each row with the previous valid time."""
+    """Add the four time flags; they compare each row with the previous valid time.
+
+    Steps count in whole seconds: less than one second either way is a repeat.
+    """
     seen = previous_valid_time(df, ts, "prev_valid_time", series, ordinal, bits, levels, initial)
-    step = seconds_between(F.col("prev_valid_time"), F.col(ts))
-    expected = F.lit(cadence) if isinstance(cadence, int) else cadence
+    now, before = F.col(ts), F.col("prev_valid_time")
 
     def holds(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(False))
 
     return seen.withColumns({
         "flag_bad_timestamp_format": F.col(ts).isNull(),
-        "flag_non_monotonic_time": holds(step < 0),
-        "flag_duplicate_timestamp": holds(step == 0),
-        "flag_time_gap_gt_expected": holds(step > expected),
+        "flag_non_monotonic_time": holds(now <= plus_seconds(before, -1)),
+        "flag_duplicate_timestamp": holds((now > plus_seconds(before, -1)) & (now < plus_seconds(before, 1))),
+        "flag_time_gap_gt_expected": holds(now >= plus_seconds(before, cadence + 1)),
     })
 
 
 def duplicate_run_groups(flagged: DataFrame, series: Sequence[str] = SERIES,
                          ordinal: str = "ordinal", dup: str = "flag_duplicate_timestamp",
-                         bits: int = CHUNK_BITS) -> DataFrame:
+                         bits: int = CHUNK_BITS, levels: int = 1) -> DataFrame:
     """One row per run of consecutive repeats: (series, start ordinal, run length).
 
     A run is the row before the repeats plus the repeats.  Rows are counted per chunk and
@@ -69,7 +71,7 @@ def duplicate_run_groups(flagged: DataFrame, series: Sequence[str] = SERIES,
     )
     ends = rows.groupBy(*series, "__chunk").agg(
         F.max(F.when(~repeat, F.col(ordinal))).alias("__open"))
-    inherited = inherit_last(ends, series, "__chunk", ["__open"])
+    inherited = inherit_last(ends, series, "__chunk", ["__open"], bits, levels)
     return (
         parts.join(inherited, [*series, "__chunk"], "left")
         .withColumn("run_start", F.coalesce("__start", "__open"))
@@ -79,9 +81,9 @@ def duplicate_run_groups(flagged: DataFrame, series: Sequence[str] = SERIES,
 
 
 def duplicate_run_lengths(flagged: DataFrame, series: Sequence[str] = SERIES,
-                          ordinal: str = "ordinal", bits: int = CHUNK_BITS) -> DataFrame:
+                          ordinal: str = "ordinal", bits: int = CHUNK_BITS, levels: int = 1) -> DataFrame:
     """How many runs there are of each length."""
-    groups = duplicate_run_groups(flagged, series, ordinal, bits=bits)
+    groups = duplicate_run_groups(flagged, series, ordinal, bits=bits, levels=levels)
     return groups.groupBy(*series, "run_length").agg(F.count("*").alias("runs"))
 
 
