@@ -53,12 +53,14 @@ def count_cells(df: DataFrame, tests: dict[str, Column], series: Sequence[str] =
     Counts wide, in one scan without expanding rows, then turns the few result rows long.
     """
     labels = list(tests)
-    wide = df.groupBy(*series).agg(*[F.count_if(tests[c]).alias(f"__{i}") for i, c in enumerate(labels)])
+    wide = df.groupBy(*series).agg(
+        F.count("*").alias("__rows"), *[F.count_if(tests[c]).alias(f"__{i}") for i, c in enumerate(labels)])
     entries = [
         F.struct(F.lit(c).alias(name), F.lit(i).alias("position"), F.col(f"__{i}").alias(count))
         for i, c in enumerate(labels)
     ]
-    return wide.select(*series, F.inline(F.array(*entries)))
+    listed = F.array(*entries).cast(f"array<struct<{name}:string,position:int,{count}:bigint>>")
+    return wide.select(*series, F.inline(listed))
 
 
 def offending_columns(df: DataFrame, numeric: Sequence[str], series: Sequence[str] = SERIES) -> DataFrame:
