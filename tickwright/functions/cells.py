@@ -17,7 +17,10 @@ _FLOAT_TEXT = (
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Trim as Python does; cells that begin and end with plain characters pass untouched."""
+    first, last = F.ascii(c), F.ascii(F.right(c, F.lit(1)))
+    plain = (first > 32) & (first < 127) & (last > 32) & (last < 127)
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def as_number(c: Column) -> Column:

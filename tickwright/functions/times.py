@@ -21,6 +21,9 @@ DIRECTIVES = {
     "%S": ("second", r"[0-5]?\d"),
 }
 
+_MARK = "@"
+ISO_FORMAT = "%Y-%m-%d %H:%M:%S"
+
 
 def _format_pattern(time_format: str) -> tuple[str, dict[str, int]]:
     """Regular expression for a strptime format and the group number of each field."""
@@ -36,31 +39,41 @@ def _format_pattern(time_format: str) -> tuple[str, dict[str, int]]:
             pattern += r"\s+" if token.isspace() else re.escape(token)
     if not {"month", "day"} <= groups.keys() or not {"year", "short_year"} & groups.keys():
         raise ValueError(f"time format {time_format!r} needs year, month and day")
-    return f"^{pattern}$", groups
+    return f"^{_MARK}{pattern}$", groups
+
+
+def _is_full_width_iso(c: Column) -> Column:
+    shape = (F.length(c) == 19) & ~F.startswith(c, F.lit("0000"))
+    for place, mark in ((5, "-"), (8, "-"), (11, " "), (14, ":"), (17, ":")):
+        shape = shape & (F.substring(c, place, 1) == mark)
+    return shape
 
 
 def parse_time(c: Column, time_format: str) -> Column:
     """Text to ``timestamp_ntz``, NULL where it does not match the format or is no date.
 
-    One pattern rewrites matching text to ISO order behind a blank, which stripped text never
-    starts with and the cast skips.  The cast to a zone-less timestamp does not depend on the
-    session time zone and returns NULL for dates such as 30 February.
+    One pattern rewrites matching text to ISO order and takes away a leading mark; text that
+    does not match keeps the mark and fails the cast.  The cast to a zone-less timestamp does
+    not depend on the session time zone and returns NULL for dates such as 30 February.
     """
     pattern, groups = _format_pattern(time_format)
-    text = strip(c)
+    marked = F.concat(F.lit(_MARK), strip(c))
 
     def iso(year: str) -> Column:
         clock = ":".join(f"${groups[f]}" if f in groups else "0" for f in ("hour", "minute", "second"))
-        return F.regexp_replace(text, pattern, f" {year}-${groups['month']}-${groups['day']} {clock}")
+        return F.regexp_replace(marked, pattern, f"{year}-${groups['month']}-${groups['day']} {clock}")
 
+    if time_format == ISO_FORMAT:
+        # Full-width ISO text, the usual case, needs no rewriting.
+        plain = _is_full_width_iso(c)
+        return F.when(plain, c).otherwise(iso(f"${groups['year']}")).try_cast("timestamp_ntz")
     if "year" in groups:
-        rewritten = iso(f"${groups['year']}")
-    else:
-        # Two-digit years: 69-99 belong to the 1900s, 00-68 to the 2000s.
-        number = groups["short_year"]
-        last_century = F.regexp_extract(text, pattern, number) >= "69"
-        rewritten = F.when(last_century, iso(f"19${number}")).otherwise(iso(f"20${number}"))
-    return F.when(F.startswith(rewritten, F.lit(" ")), rewritten.try_cast("timestamp_ntz"))
+        return iso(f"${groups['year']}").try_cast("timestamp_ntz")
+    # Two-digit years: 69-99 belong to the 1900s, 00-68 to the 2000s.
+    number = groups["short_year"]
+    last_century = F.regexp_extract(marked, pattern, number) >= "69"
+    rewritten = F.when(last_century, iso(f"19${number}")).otherwise(iso(f"20${number}"))
+    return rewritten.try_cast("timestamp_ntz")
 
 
 def canonical_time(ts: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickwright.functions.cells import round_half_even
 from tickwright.functions.times import calendar_features, cyclic_features
-from tickwright.operators.ordered import CHUNK_BITS, previous_row
+from tickwright.operators.ordered import CHUNK_BITS, LEVELS, previous_row
 from tickwright.operators.sequence import SERIES
 
 
@@ -25,7 +25,7 @@ def add_time_features(df: DataFrame, ts: str = "ts", calendar: bool = True, cycl
 def delta_ratio(df: DataFrame, pressure: str, flow: str, name: str = "delta_P_delta_Q",
                 series: Sequence[str] = SERIES, ordinal: str = "ordinal",
                 no_flow_change: float | None = 0.0, places: int | None = 2,
-                bits: int = CHUNK_BITS, levels: int = 1) -> DataFrame:
+                bits: int = CHUNK_BITS, levels: int = LEVELS) -> DataFrame:
     """Change in pressure over change in flow from one row to the next.
 
     The first row is 0.  Where the flow did not change, ``no_flow_change`` is used; no rule

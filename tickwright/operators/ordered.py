@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tickwright.session import stage_table
 
-CHUNK_BITS = 20
+CHUNK_BITS = 12
+LEVELS = 2
 
 
 def with_chunk(df: DataFrame, ordinal: str, bits: int = CHUNK_BITS, name: str = "__chunk") -> DataFrame:
@@ -25,13 +26,13 @@ def with_chunk(df: DataFrame, ordinal: str, bits: int = CHUNK_BITS, name: str =
 
 
 def inherit_last(tails: DataFrame, series: Sequence[str], chunk: str, values: Sequence[str],
-                 bits: int = CHUNK_BITS, levels: int = 1) -> DataFrame:
+                 bits: int = CHUNK_BITS, levels: int = LEVELS) -> DataFrame:
     """Replace each value by the last non-null one of the chunks before, per series.
 
-    ``tails`` has one row per (series, chunk).  With dense row numbers that is one row per
-    million input rows, and one window per series is enough (``levels=1``).  Sparse order
-    columns can leave nearly one chunk per row: each further level groups the chunks again
-    by ``2**bits``, so that no window ever holds more.
+    ``tails`` has one row per (series, chunk).  One level is a window over all chunks of a
+    series; each further level groups the chunks again by ``2**bits`` first.  Two levels leave
+    one row per 16 million ordinals for the last window, a few ten thousand rows for a series
+    of a trillion.  Order columns that are far from dense can take a third.
     """
     if levels <= 1:
         before = W.partitionBy(*series).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1)
@@ -43,7 +44,7 @@ def inherit_last(tails: DataFrame, series: Sequence[str], chunk: str, values: Se
 
 
 def look_back(df: DataFrame, values: dict[str, Column], series: Sequence[str], ordinal: str,
-              bits: int = CHUNK_BITS, levels: int = 1, initial: DataFrame | None = None) -> DataFrame:
+              bits: int = CHUNK_BITS, levels: int = LEVELS, initial: DataFrame | None = None) -> DataFrame:
     """Add for each ``name: value`` the last non-null value on an earlier row of the series.
 
     ``initial`` holds values from before the first row (columns: series and the names); it
@@ -75,7 +76,7 @@ def look_back(df: DataFrame, values: dict[str, Column], series: Sequence[str], o
 
 
 def previous_row(df: DataFrame, values: dict[str, str], series: Sequence[str], ordinal: str,
-                 bits: int = CHUNK_BITS, levels: int = 1) -> DataFrame:
+                 bits: int = CHUNK_BITS, levels: int = LEVELS) -> DataFrame:
     """Add ``name: column`` values of the row just before, NULLs included.
 
     Needs the first row of each chunk only: every other row takes its plain lag.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickwright.functions.cells import round_half_even
 from tickwright.operators.quality import count_cells
 from tickwright.operators.quantiles import exact_percentiles, numeric_column
+from tickwright.operators.wide import per_column
 
 Bounds = dict[str, tuple[float, float]]
 
@@ -61,12 +62,10 @@ def clip_counts(df: DataFrame, bounds: Bounds) -> DataFrame:
 
 def spread_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: minimum, maximum, range and whether it is constant."""
-    wide = df.agg(*[
-        F.struct(F.lit(c).alias("column"), F.min(numeric_column(c)).alias("min"),
-                 F.max(numeric_column(c)).alias("max")).alias(f"__{i}")
-        for i, c in enumerate(columns)
+    long = per_column(df, [
+        F.struct(F.lit(c).alias("column"), F.min(numeric_column(c)).alias("min"), F.max(numeric_column(c)).alias("max"))
+        for c in columns
     ])
-    long = wide.select(F.inline(F.array(*[F.col(f"__{i}") for i in range(len(columns))])))
     return long.withColumn("range", F.col("max") - F.col("min")).withColumn(
         "is_constant", F.coalesce(F.col("range") < ZERO_SPREAD, F.lit(True)))
 

@@ -14,6 +14,7 @@ from tickwright.functions.names import definition_column, unit_column
 from tickwright.functions.times import epoch_micros, from_epoch_micros, parse_time
 from tickwright.operators.quality import count_cells
 from tickwright.operators.quantiles import exact_percentiles, numeric_column
+from tickwright.operators.wide import per_column
 
 # The fields of the data dictionary, in order.
 DICTIONARY_FIELDS = (
@@ -65,10 +66,6 @@ def parsed_datetime(c: Column, formats: Sequence[str] = ()) -> Column:
     return F.when(text.contains("-"), text.try_cast("timestamp_ntz"))
 
 
-def _long(wide: DataFrame, count: int) -> DataFrame:
-    return wide.select(F.inline(F.array(*[F.col(f"__{i}") for i in range(count)])))
-
-
 def distinct_counts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """Exact number of distinct non-missing values: (column, unique_count).
 
@@ -103,18 +100,17 @@ def _with_distinct(stats: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: Sequence[str], **limits: int) -> DataFrame:
     """Minimum, maximum, mean, median, range, sample deviation, counts; NaN is missing."""
-    wide = df.agg(*[
+    stats = per_column(df, [
         F.struct(
             F.lit(c).alias("column"), F.lit(i).alias("position"),
             F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.avg(v).alias("mean"),
             F.stddev_samp(v).alias("std_dev"), F.count(v).alias("count"),
-            (F.count("*") - F.count(v)).alias("missing_count"), F.count("*").alias("__rows"),
-        ).alias(f"__{i}")
+            (F.count("*") - F.count(v)).alias("missing_count"), F.count("*").alias("__rows"))
         for i, (c, v) in enumerate((c, numeric_column(c)) for c in columns)
     ])
     medians = exact_percentiles(df, columns, [0.5], **limits)
     median = F.create_map(*[F.lit(x) for c, m in medians.items() for x in (c, m[0])]).cast("map<string,double>")
-    stats = _long(wide, len(columns)).withColumns({
+    stats = stats.withColumns({
         "median": F.element_at(median, F.col("column")),
         "range": F.col("maximum") - F.col("minimum"),
         "missing_percent": missing_percent(F.col("missing_count"), F.col("__rows")),
@@ -125,21 +121,20 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], **limits: int) -> Dat
 def datetime_profile(df: DataFrame, columns: Sequence[str], **limits: int) -> DataFrame:
     """As the numeric profile, over microseconds; the range is an interval."""
     micros = df.select(*[epoch_micros(F.col(c)).alias(c) for c in columns])
-    wide = micros.agg(*[
+    stats = per_column(micros, [
         F.struct(
             F.lit(c).alias("column"), F.lit(i).alias("position"),
             F.min(c).alias("__min"), F.max(c).alias("__max"),
             F.floor(F.avg(F.col(c).cast("decimal(20,0)"))).cast("long").alias("__mean"),
             F.count(c).alias("count"), (F.count("*") - F.count(c)).alias("missing_count"),
-            F.count("*").alias("__rows"),
-        ).alias(f"__{i}")
+            F.count("*").alias("__rows"))
         for i, c in enumerate(columns)
     ])
     medians = exact_percentiles(micros, columns, [0.5], **limits)
     median = F.create_map(*[
         F.lit(x) for c, m in medians.items() for x in (c, None if m[0] is None else int(m[0]))
     ]).cast("map<string,bigint>")
-    stats = _long(wide, len(columns)).select(
+    stats = stats.select(
         "column", "position",
         from_epoch_micros(F.col("__min")).alias("minimum"),
         from_epoch_micros(F.col("__max")).alias("maximum"),
@@ -171,14 +166,14 @@ def text_profile(df: DataFrame, columns: Sequence[str], ordinal: str, examples:
     firsts = values.withColumn("__rank", rank).filter(F.col("__rank") <= examples)
     shown = firsts.groupBy("at").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("__rank", "value"))), lambda e: e["value"]), ", ").alias("example_values"))
-    wide = df.agg(*[
+    stats = per_column(df, [
         F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.count(c).alias("count"),
-                 (F.count("*") - F.count(c)).alias("missing_count"), F.count("*").alias("__rows")).alias(f"__{i}")
+                 (F.count("*") - F.count(c)).alias("missing_count"), F.count("*").alias("__rows"))
         for i, c in enumerate(columns)
-    ])
-    stats = _long(wide, len(columns)).withColumn(
+    ]).withColumn(
         "missing_percent", missing_percent(F.col("missing_count"), F.col("__rows"))).drop("__rows")
-    unique = values.groupBy("at").agg(F.count("*").alias("unique_count"))
+    # Counting the same column that the ranking needs lets both share one shuffle.
+    unique = values.groupBy("at").agg(F.count("__first").alias("unique_count"))
     joined = _with_distinct(stats, unique.select(_label(columns), "unique_count"))
     joined = joined.join(shown.select(_label(columns), "example_values"), "column", "left")
     return joined.withColumn("example_values", F.coalesce("example_values", F.lit("")))
@@ -276,12 +271,11 @@ def value_frequency(df: DataFrame, column: str, places: int = 1, top: int = 10)
 
 def sign_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Positive and non-positive cells per column."""
-    wide = df.agg(*[
+    return per_column(df, [
         F.struct(F.lit(c).alias("column"), F.count_if(F.col(c) > 0).alias("positive"),
-                 F.count_if(F.col(c) <= 0).alias("non_positive")).alias(f"__{i}")
-        for i, c in enumerate(columns)
+                 F.count_if(F.col(c) <= 0).alias("non_positive"))
+        for c in columns
     ])
-    return _long(wide, len(columns))
 
 
 def distinct_sample(df: DataFrame, column: str, places: int = 4, first: int = 10) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickwright.functions.cells import is_non_numeric
 from tickwright.functions.times import canonical_time
 from tickwright.operators.sequence import SERIES, duplicate_run_lengths
+from tickwright.operators.wide import per_column
 
 # Counter name -> flag column.
 COUNTERS = {
@@ -48,19 +49,14 @@ def duplicate_examples(keys: DataFrame, n: int = 10, series: Sequence[str] = SER
 
 def count_cells(df: DataFrame, tests: dict[str, Column], series: Sequence[str] = SERIES,
                 name: str = "column", count: str = "bad_cells") -> DataFrame:
-    """Cells per column that pass a test, as rows (series, column, position, count).
-
-    Counts wide, in one scan without expanding rows, then turns the few result rows long.
-    """
-    labels = list(tests)
-    wide = df.groupBy(*series).agg(
-        F.count("*").alias("__rows"), *[F.count_if(tests[c]).alias(f"__{i}") for i, c in enumerate(labels)])
-    entries = [
-        F.struct(F.lit(c).alias(name), F.lit(i).alias("position"), F.col(f"__{i}").alias(count))
-        for i, c in enumerate(labels)
-    ]
-    listed = F.array(*entries).cast(f"array<struct<{name}:string,position:int,{count}:bigint>>")
-    return wide.select(*series, F.inline(listed))
+    """Cells per column that pass a test, as rows (series, column, position, count)."""
+    if not tests:
+        schema = f"{name} string, position int, {count} bigint"
+        return df.select(*series, F.inline(F.array().cast(f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")))
+    return per_column(df, [
+        F.struct(F.lit(c).alias(name), F.lit(i).alias("position"), F.count_if(test).alias(count))
+        for i, (c, test) in enumerate(tests.items())
+    ], series)
 
 
 def offending_columns(df: DataFrame, numeric: Sequence[str], series: Sequence[str] = SERIES) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickwright.functions.cells import any_of, nan_to_null
+from tickwright.operators.wide import batches
 
 # Distinct values of one bracket that a single sort may hold at the end.
 MAX_OPEN_VALUES = 1_000_000
 SKETCH_ACCURACY = 5_000
-COLUMNS_PER_AGGREGATE = 24
 
 
 @dataclass
@@ -56,10 +57,6 @@ def numeric_column(name: str) -> Column:
     return nan_to_null(F.col(name).cast("double"))
 
 
-def _batches(items: Sequence, size: int = COLUMNS_PER_AGGREGATE) -> list[Sequence]:
-    return [items[i:i + size] for i in range(0, len(items), size)]
-
-
 def exact_percentiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float],
                       max_open_values: int = MAX_OPEN_VALUES,
                       accuracy: int = SKETCH_ACCURACY) -> dict[str, list[float | None]]:
@@ -101,7 +98,7 @@ def _first_brackets(data: DataFrame, columns: Sequence[str], fractions: Sequence
     probes = [x for p in fractions for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
     brackets: dict[tuple[str, float], _Bracket] = {}
     ends: list[tuple[float, float]] = []
-    for batch in _batches(columns):
+    for batch in batches(columns):
         row = data.agg(*[
             F.struct(F.count(c).alias("n"), F.percentile_approx(c, F.lit(probes), accuracy).alias("at")).alias(c)
             for c in batch
@@ -129,7 +126,7 @@ def _inside(b: _Bracket) -> Column:
 def _narrower(data: DataFrame, pending: list[_Bracket], accuracy: int) -> list[tuple[float | None, float | None]]:
     """Approximate ends, safely outside the wanted ranks; a known end stays as it is."""
     ends: list[tuple[float | None, float | None]] = []
-    for batch in _batches(pending):
+    for batch in batches(pending):
         sketches = []
         for i, b in enumerate(batch):
             margin = 2.0 * b.widen / accuracy
@@ -146,7 +143,7 @@ def _narrower(data: DataFrame, pending: list[_Bracket], accuracy: int) -> list[t
 
 def _recount(data: DataFrame, brackets: list[_Bracket], ends: Sequence[tuple]) -> None:
     """Count against new ends and take them, unless they missed a wanted rank."""
-    for batch, new in zip(_batches(brackets), _batches(ends), strict=True):
+    for batch, new in zip(batches(brackets), batches(ends), strict=True):
         counts = []
         for i, (b, (lo, hi)) in enumerate(zip(batch, new, strict=True)):
             v = F.col(b.column)
@@ -173,12 +170,14 @@ def _rank_open(data: DataFrame, brackets: list[_Bracket]) -> dict[tuple[int, int
     """
     if not brackets:
         return {}
-    inside = data.filter(any_of([_inside(b) for b in brackets])).select(*[
-        F.when(_inside(b), F.col(b.column)).alias(str(i)) for i, b in enumerate(brackets)])
-    counted = (
-        inside.unpivot([], inside.columns, "i", "v").filter("v IS NOT NULL")
-        .groupBy("i", "v").agg(F.count("*").alias("n"))
-    )
+
+    def counted_values(batch: Sequence[tuple[int, _Bracket]]) -> DataFrame:
+        inside = data.filter(any_of([_inside(b) for _, b in batch])).select(*[
+            F.when(_inside(b), F.col(b.column)).alias(str(i)) for i, b in batch])
+        long = inside.unpivot([], inside.columns, "i", "v").filter("v IS NOT NULL")
+        return long.groupBy("i", "v").agg(F.count("*").alias("n"))
+
+    counted = reduce(DataFrame.unionAll, [counted_values(b) for b in batches(list(enumerate(brackets)))])
     wanted = data.sparkSession.createDataFrame(
         [(str(i), rank, rank - b.below - b.at_lo) for i, b in enumerate(brackets)
          for rank in sorted({b.first, b.second}) if b.known(rank) is None],

@@ -18,6 +18,7 @@ from tickwright.functions.cells import round_half_even
 from tickwright.functions.names import require_columns
 from tickwright.operators.outliers import spread_table
 from tickwright.operators.quantiles import exact_percentiles, numeric_column
+from tickwright.operators.wide import per_column
 
 EPSILON = sys.float_info.epsilon
 PARAMS_SCHEMA = "column string, kind string, center double, scale double"
@@ -59,14 +60,12 @@ def standard_params(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ``scale`` is what values are divided by: 1 for a column that is constant, also when the
     deviation left is no more than rounding noise for that many values of that size.
     """
-    wide = df.agg(*[
+    long = per_column(df, [
         F.struct(
             F.lit(c).alias("column"), F.count(numeric_column(c)).alias("n"),
-            F.avg(numeric_column(c)).alias("mean"), F.stddev_pop(numeric_column(c)).alias("std"),
-        ).alias(f"__{i}")
-        for i, c in enumerate(columns)
+            F.avg(numeric_column(c)).alias("mean"), F.stddev_pop(numeric_column(c)).alias("std"))
+        for c in columns
     ])
-    long = wide.select(F.inline(F.array(*[F.col(f"__{i}") for i in range(len(columns))])))
     variance, noise = F.col("std") * F.col("std"), F.col("n") * F.lit(EPSILON)
     constant = variance <= noise * variance + F.pow(noise * F.col("mean"), F.lit(2.0))
     return long.withColumn("scale", F.when(constant, F.lit(1.0)).otherwise(F.col("std")))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickwright.functions.times import plus_seconds
-from tickwright.operators.ordered import CHUNK_BITS, inherit_last, look_back, sorted_positions, with_chunk
+from tickwright.operators.ordered import CHUNK_BITS, LEVELS, inherit_last, look_back, sorted_positions, with_chunk
 
 SERIES = ("source_dataset",)
 FLAGS = (
@@ -24,7 +24,7 @@ FLAGS = (
 
 def previous_valid_time(df: DataFrame, ts: str = "ts", name: str = "prev_valid_time",
                         series: Sequence[str] = SERIES, ordinal: str = "ordinal",
-                        bits: int = CHUNK_BITS, levels: int = 1,
+                        bits: int = CHUNK_BITS, levels: int = LEVELS,
                         initial: DataFrame | None = None) -> DataFrame:
     """Time of the nearest earlier row that has one; rows without a time are passed over."""
     return look_back(df, {name: F.col(ts)}, series, ordinal, bits, levels, initial)
@@ -32,7 +32,7 @@ def previous_valid_time(df: DataFrame, ts: str = "ts", name: str = "prev_valid_t
 
 def flag_sequence(df: DataFrame, cadence: Column | int, ts: str = "ts",
                   series: Sequence[str] = SERIES, ordinal: str = "ordinal",
-                  bits: int = CHUNK_BITS, levels: int = 1,
+                  bits: int = CHUNK_BITS, levels: int = LEVELS,
                   initial: DataFrame | None = None) -> DataFrame:
     """Add the four time flags; they compare each row with the previous valid time.
 
@@ -54,7 +54,7 @@ def flag_sequence(df: DataFrame, cadence: Column | int, ts: str = "ts",
 
 def duplicate_run_groups(flagged: DataFrame, series: Sequence[str] = SERIES,
                          ordinal: str = "ordinal", dup: str = "flag_duplicate_timestamp",
-                         bits: int = CHUNK_BITS, levels: int = 1) -> DataFrame:
+                         bits: int = CHUNK_BITS, levels: int = LEVELS) -> DataFrame:
     """One row per run of consecutive repeats: (series, start ordinal, run length).
 
     A run is the row before the repeats plus the repeats.  Rows are counted per chunk and
@@ -81,7 +81,7 @@ def duplicate_run_groups(flagged: DataFrame, series: Sequence[str] = SERIES,
 
 
 def duplicate_run_lengths(flagged: DataFrame, series: Sequence[str] = SERIES,
-                          ordinal: str = "ordinal", bits: int = CHUNK_BITS, levels: int = 1) -> DataFrame:
+                          ordinal: str = "ordinal", bits: int = CHUNK_BITS, levels: int = LEVELS) -> DataFrame:
     """How many runs there are of each length."""
     groups = duplicate_run_groups(flagged, series, ordinal, bits=bits, levels=levels)
     return groups.groupBy(*series, "run_length").agg(F.count("*").alias("runs"))

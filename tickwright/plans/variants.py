@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.functions.names import ml_names
-from tickwright.functions.times import parse_time
+from tickwright.functions.times import ISO_FORMAT, parse_time
 from tickwright.operators.features import add_time_features
 from tickwright.operators.ordered import sorted_positions
 from tickwright.operators.outliers import Bounds, fit_bounds, round_columns, winsorize, zero_variance_columns
@@ -17,8 +17,6 @@ from tickwright.operators.scaling import collect_ranges, minmax_params, minmax_s
 from tickwright.session import stage_table
 from tickwright.sources.sinks import write_csv, write_params
 
-ISO_FORMAT = "%Y-%m-%d %H:%M:%S"
-
 
 @dataclass(frozen=True)
 class Variants:
