@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickwright.functions.cells import round_half_even, strip
+from tickwright.functions.cells import WHITESPACE, round_half_even
 
 # What each strptime directive accepts.
 DIRECTIVES = {
@@ -22,6 +22,7 @@ DIRECTIVES = {
 }
 
 _MARK = "@"
+_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
 ISO_FORMAT = "%Y-%m-%d %H:%M:%S"
 
 
@@ -36,37 +37,26 @@ def _format_pattern(time_format: str) -> tuple[str, dict[str, int]]:
         elif token.startswith("%"):
             raise ValueError(f"time directive {token!r} is not supported")
         else:
-            pattern += r"\s+" if token.isspace() else re.escape(token)
+            pattern += f"{_SPACE}+" if token.isspace() else re.escape(token)
     if not {"month", "day"} <= groups.keys() or not {"year", "short_year"} & groups.keys():
         raise ValueError(f"time format {time_format!r} needs year, month and day")
-    return f"^{_MARK}{pattern}$", groups
-
-
-def _is_full_width_iso(c: Column) -> Column:
-    shape = (F.length(c) == 19) & ~F.startswith(c, F.lit("0000"))
-    for place, mark in ((5, "-"), (8, "-"), (11, " "), (14, ":"), (17, ":")):
-        shape = shape & (F.substring(c, place, 1) == mark)
-    return shape
+    return f"^{_MARK}{_SPACE}*{pattern}{_SPACE}*$", groups
 
 
 def parse_time(c: Column, time_format: str) -> Column:
     """Text to ``timestamp_ntz``, NULL where it does not match the format or is no date.
 
-    One pattern rewrites matching text to ISO order and takes away a leading mark; text that
-    does not match keeps the mark and fails the cast.  The cast to a zone-less timestamp does
+    One pattern trims matching text, rewrites it to ISO order and takes away a leading mark;
+    text that does not match keeps the mark and fails the cast.  The cast to a zone-less timestamp does
     not depend on the session time zone and returns NULL for dates such as 30 February.
     """
     pattern, groups = _format_pattern(time_format)
-    marked = F.concat(F.lit(_MARK), strip(c))
+    marked = F.concat(F.lit(_MARK), c)
 
     def iso(year: str) -> Column:
         clock = ":".join(f"${groups[f]}" if f in groups else "0" for f in ("hour", "minute", "second"))
         return F.regexp_replace(marked, pattern, f"{year}-${groups['month']}-${groups['day']} {clock}")
 
-    if time_format == ISO_FORMAT:
-        # Full-width ISO text, the usual case, needs no rewriting.
-        plain = _is_full_width_iso(c)
-        return F.when(plain, c).otherwise(iso(f"${groups['year']}")).try_cast("timestamp_ntz")
     if "year" in groups:
         return iso(f"${groups['year']}").try_cast("timestamp_ntz")
     # Two-digit years: 69-99 belong to the 1900s, 00-68 to the 2000s.
