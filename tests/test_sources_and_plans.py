@@ -229,11 +229,11 @@ def test_variant_errors(spark):
 
 def test_dictionary_flow(spark, tmp_path):
     path = tmp_path / "d.csv"
-    path.write_text(" Time ,Net Flow,Valve,Note\n2024-01-01 00:00:00,1,True,b\n2024-01-01 02:00:00,3,False,\n"
+    path.write_text(" Time ,Net Flow,Valve,Note v1.0\n2024-01-01 00:00:00,1,True,b\n2024-01-01 02:00:00,3,False,\n"
                     "2024-01-02 00:00:00,8,True,a\n")
     dictionary.build_dictionary(spark, str(path), str(tmp_path / "out"), "A test")
     rows = {r["term"]: r for r in spark.read.parquet(str(tmp_path / "out/data_dictionary")).collect()}
-    assert list(rows) == ["Time", "Net Flow", "Valve", "Note"]
+    assert list(rows) == ["Time", "Net Flow", "Valve", "Note v1.0"]
     flow = rows["Net Flow"]
     assert (flow["type"], flow["minimum"], flow["mean"], flow["median"], flow["range"], flow["unit"]) == (
         "integer", "1.000000", "4.000000", "3.000000", "7.000000", "L/min")
@@ -243,12 +243,12 @@ def test_dictionary_flow(spark, tmp_path):
     assert (time["type"], time["median"], time["range"], time["unique_count"]) == (
         "datetime", "2024-01-01 02:00:00", "86400 s", 3)
     assert rows["Valve"]["example_values"] == "True, False"
-    assert (rows["Note"]["missing_percent"], rows["Note"]["example_values"]) == (33.33, "b, a")
+    assert (rows["Note v1.0"]["missing_percent"], rows["Note v1.0"]["example_values"]) == (33.33, "b, a")
     summary = spark.read.parquet(str(tmp_path / "out/dataset_summary")).first()
     assert (summary["rows"], summary["columns"]) == (3, 4)
     text = next((tmp_path / "out/dictionary_document").glob("part-*")).read_text()
     document = json.loads(text)
-    assert [f["term"] for f in document["fields"]] == ["Time", "Net Flow", "Valve", "Note"]
+    assert [f["term"] for f in document["fields"]] == ["Time", "Net Flow", "Valve", "Note v1.0"]
     assert document["fields"][1]["mean"] == 4.0 and document["fields"][0]["mean"] is None
 
 

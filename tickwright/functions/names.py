@@ -72,6 +72,11 @@ _RULES = (
 )
 
 
+def named(column: str) -> Column:
+    """The column of exactly this name, also with dots in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def trim_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.strip() for name in df.columns])
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwright.functions.cells import missing_percent, round_half_even, strip
-from tickwright.functions.names import definition_column, unit_column
+from tickwright.functions.names import definition_column, named, unit_column
 from tickwright.functions.times import epoch_micros, from_epoch_micros, parse_time
 from tickwright.operators.quality import count_cells
 from tickwright.operators.quantiles import exact_percentiles, numeric_column
@@ -50,11 +50,14 @@ def detect_datetimes(df: DataFrame, formats: Sequence[str] = (), threshold: floa
     Without formats, ISO-like text counts.  One aggregate tests every text column.
     """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    parsed = {c: parsed_datetime(F.col(c), formats) for c in names}
+    parsed = {c: parsed_datetime(named(c), formats) for c in names}
     if not names:
         return df
-    shares = df.agg(*[F.avg(p.isNotNull().cast("int")).alias(c) for c, p in parsed.items()]).first()
-    chosen = [c for c in names if shares[c] is not None and shares[c] > threshold]
+    shares = per_column(df, [
+        F.struct(F.lit(c).alias("column"), F.avg(p.isNotNull().cast("int")).alias("share"))
+        for c, p in parsed.items()
+    ])
+    chosen = [r["column"] for r in shares.filter(F.col("share") > threshold).collect()]
     return df.withColumns({c: parsed[c] for c in chosen}) if chosen else df
 
 
@@ -120,15 +123,15 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], **limits: int) -> Dat
 
 def datetime_profile(df: DataFrame, columns: Sequence[str], **limits: int) -> DataFrame:
     """As the numeric profile, over microseconds; the range is an interval."""
-    micros = df.select(*[epoch_micros(F.col(c)).alias(c) for c in columns])
+    micros = df.select(*[epoch_micros(named(c)).alias(c) for c in columns])
     stats = per_column(micros, [
         F.struct(
             F.lit(c).alias("column"), F.lit(i).alias("position"),
-            F.min(c).alias("__min"), F.max(c).alias("__max"),
-            F.floor(F.avg(F.col(c).cast("decimal(20,0)"))).cast("long").alias("__mean"),
-            F.count(c).alias("count"), (F.count("*") - F.count(c)).alias("missing_count"),
+            F.min(t).alias("__min"), F.max(t).alias("__max"),
+            F.floor(F.avg(t.cast("decimal(20,0)"))).cast("long").alias("__mean"),
+            F.count(t).alias("count"), (F.count("*") - F.count(t)).alias("missing_count"),
             F.count("*").alias("__rows"))
-        for i, c in enumerate(columns)
+        for i, (c, t) in enumerate((c, named(c)) for c in columns)
     ])
     medians = exact_percentiles(micros, columns, [0.5], **limits)
     median = F.create_map(*[
@@ -144,11 +147,11 @@ def datetime_profile(df: DataFrame, columns: Sequence[str], **limits: int) -> Da
         "count", "missing_count",
         missing_percent(F.col("missing_count"), F.col("__rows")).alias("missing_percent"),
     )
-    return _with_distinct(stats, distinct_counts(micros, {c: F.col(c) for c in columns}))
+    return _with_distinct(stats, distinct_counts(micros, {c: named(c) for c in columns}))
 
 
 def _as_text(df: DataFrame, c: str) -> Column:
-    text = F.col(c).cast("string")
+    text = named(c).cast("string")
     return F.initcap(text) if isinstance(df.schema[c].dataType, T.BooleanType) else text
 
 
@@ -167,8 +170,8 @@ def text_profile(df: DataFrame, columns: Sequence[str], ordinal: str, examples:
     shown = firsts.groupBy("at").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("__rank", "value"))), lambda e: e["value"]), ", ").alias("example_values"))
     stats = per_column(df, [
-        F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.count(c).alias("count"),
-                 (F.count("*") - F.count(c)).alias("missing_count"), F.count("*").alias("__rows"))
+        F.struct(F.lit(c).alias("column"), F.lit(i).alias("position"), F.count(named(c)).alias("count"),
+                 (F.count("*") - F.count(named(c))).alias("missing_count"), F.count("*").alias("__rows"))
         for i, c in enumerate(columns)
     ]).withColumn(
         "missing_percent", missing_percent(F.col("missing_count"), F.col("__rows"))).drop("__rows")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickwright.functions.cells import any_of, nan_to_null
+from tickwright.functions.names import named
 from tickwright.operators.wide import batches
 
 # Distinct values of one bracket that a single sort may hold at the end.
@@ -54,7 +55,7 @@ class _Bracket:
 
 def numeric_column(name: str) -> Column:
     """Double form in which NaN counts as missing."""
-    return nan_to_null(F.col(name).cast("double"))
+    return nan_to_null(named(name).cast("double"))
 
 
 def exact_percentiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float],
@@ -69,10 +70,11 @@ def exact_percentiles(df: DataFrame, columns: Sequence[str], fractions: Sequence
     counts and widened.  Each step is a partial aggregate over a scan of these columns; only
     the values of the last brackets are shuffled.  A billion rows take one round, three scans.
     """
-    columns = list(dict.fromkeys(columns))
-    if not columns:
+    short = {c: f"v{i}" for i, c in enumerate(dict.fromkeys(columns))}
+    if not short:
         return {}
-    data = df.select(*[numeric_column(c).alias(c) for c in columns])
+    data = df.select(*[numeric_column(c).alias(v) for c, v in short.items()])
+    columns = list(short.values())
     brackets, ends = _first_brackets(data, columns, fractions, accuracy)
     pending = list(brackets.values())
     if pending:
@@ -89,7 +91,7 @@ def exact_percentiles(df: DataFrame, columns: Sequence[str], fractions: Sequence
                      for rank in (b.first, b.second))
         return low * (1 - b.fraction) + high * b.fraction
 
-    return {c: [value((c, p)) for p in fractions] for c in columns}
+    return {c: [value((v, p)) for p in fractions] for c, v in short.items()}
 
 
 def _first_brackets(data: DataFrame, columns: Sequence[str], fractions: Sequence[float], accuracy: int):

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwright.functions.names import ml_names
+from tickwright.functions.names import ml_names, named
 from tickwright.functions.times import ISO_FORMAT, parse_time
 from tickwright.operators.features import add_time_features
 from tickwright.operators.ordered import sorted_positions
@@ -34,7 +34,7 @@ def typed_numbers(df: DataFrame, columns: Sequence[str], on_error: str = "fail")
     """Text to double.  A bad or blank cell fails the job; ``on_error="null"`` makes it NULL."""
     if on_error not in ("fail", "null"):
         raise ValueError("on_error must be 'fail' or 'null'")
-    typed = {c: F.col(f"`{c}`").cast("double") if on_error == "fail" else F.col(f"`{c}`").try_cast("double")
+    typed = {c: named(c).cast("double") if on_error == "fail" else named(c).try_cast("double")
              for c in columns}
     return df.withColumns(typed)
 
@@ -52,7 +52,7 @@ def basic_variant(df: DataFrame, time: str = "Time", ordinal: str = "_ordinal",
     clean = dict(zip(names, ml_names(names), strict=True))
     kept = [c for c in names if c not in constant]
     numbers = [clean[c] for c in kept if c != time]
-    renamed = typed.select(F.col(ordinal).alias("_order"), *[F.col(f"`{c}`").alias(clean[c]) for c in kept])
+    renamed = typed.select(F.col(ordinal).alias("_order"), *[named(c).alias(clean[c]) for c in kept])
     placed = sorted_positions(round_columns(renamed, numbers), [clean[time], "_order"], "row_index")
     return placed.drop("_order"), numbers
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tickwright.config import SeriesConfig
 from tickwright.functions.cells import strip
 from tickwright.functions.names import BYTE_ORDER_MARK, HeaderField, header_mapping
+from tickwright.session import stage_table
 
 ORDINAL = "_ordinal"
 MISMATCH = "flag_row_length_mismatch"
@@ -33,37 +34,35 @@ def _check_split_size(spark: SparkSession) -> None:
             raise ValueError(f"{key} must be at least {_SLOT_BYTES} bytes to keep row order")
 
 
-def _place_rows(df: DataFrame, paths: Sequence[str], has_header: bool) -> DataFrame:
-    """Turn ``_file``, ``_block`` and ``_record`` into an ordinal; drop each file's header line.
+def _place_rows(df: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Turn ``_file``, ``_block`` and ``_record`` into an ordinal.
 
     The ordinal is (slot of the split over all files, record number within its task).  It
-    follows file names, then lines, and needs no pass to count rows and no shuffle.  Only
-    several files with header lines take one narrow aggregate, to find each first line.
+    follows file names, then lines, and needs no pass to count rows and no shuffle.
     """
-    spark = df.sparkSession
     slots = F.floor(F.col("_block") / _SLOT_BYTES).cast("long")
     if len(paths) == 1:
-        if has_header:
-            first = df.filter("_block = 0").select("_record").first()
-            if first is not None:
-                df = df.filter((F.col("_block") != 0) | (F.col("_record") != first["_record"]))
         base = F.lit(0).cast("long")
     else:
-        listed = spark.read.format("binaryFile").load(list(paths)).select(
+        listed = df.sparkSession.read.format("binaryFile").load(list(paths)).select(
             F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
         span = F.floor(F.col("_size") / _SLOT_BYTES).cast("long") + 1
         earlier = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
         files = listed.select("_file", F.coalesce(F.sum(span).over(earlier), F.lit(0)).alias("_base"))
-        if has_header:
-            heads = df.filter("_block = 0").groupBy("_file").agg(F.min("_record").alias("_head"))
-            files = files.join(heads, "_file", "left")
         # One row per file: broadcast while the listing is known to be short.
         df = df.join(F.broadcast(files) if len(paths) <= _MAX_BROADCAST_FILES else files, "_file")
-        if has_header:
-            df = df.filter((F.col("_block") != 0) | (F.col("_record") != F.col("_head"))).drop("_head")
         base = F.col("_base")
     ordinal = F.shiftleft(base + slots, _RECORD_BITS) + F.col("_record")
-    return df.withColumn(ORDINAL, ordinal).drop("_file", "_block", "_record", "_base")
+    return df.withColumn(ORDINAL, ordinal).drop("_block", "_record", "_base")
+
+
+def _drop_header_lines(staged: DataFrame, files: int) -> DataFrame:
+    """Without the first row of each file."""
+    if files == 1:
+        first = staged.agg(F.min(ORDINAL)).first()[0]
+        return staged if first is None else staged.filter(F.col(ORDINAL) != first)
+    heads = staged.groupBy("_file").agg(F.min(ORDINAL).alias(ORDINAL)).select(ORDINAL)
+    return staged.join(heads, ORDINAL, "left_anti")
 
 
 def _coordinates() -> list:
@@ -84,34 +83,46 @@ def read_header(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
 
 def read_cells(spark: SparkSession, path: str | Sequence[str], headers: Sequence[str] | None = None,
-               multi_line: bool = False) -> tuple[DataFrame, list[str]]:
+               multi_line: bool = False, row_limit: int | None = None) -> tuple[DataFrame, list[str]]:
     """Every cell as text: columns ``c0..``, the ordinal and the row-length flag.
 
     Short rows are padded with blanks, long rows cut.  Lines are parsed one by one, so blank
     lines stay rows and large files are split.  ``multi_line=True`` takes cells that contain
     line breaks; Spark then reads each file in one task and leaves blank lines out.
-    With ``headers`` given, the files have no header line.
+    With ``headers`` given, the files have no header line.  ``row_limit`` keeps the first rows.
+
+    Record numbers belong to one planning of the scan, so the cells are staged once with
+    their ordinal; later steps also read single columns of it instead of whole lines.
     """
     _check_split_size(spark)
     paths = sorted(spark.read.text(path if isinstance(path, str) else list(path)).inputFiles())
     if not paths:
         raise FileNotFoundError(f"no input files at {path}")
-    has_header = headers is None
     names = list(headers) if headers is not None else read_header(spark, paths)
     fields = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{f} string" for f in [*fields, _CORRUPT])
-    blanks = [F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields]
+    header_lines = headers is None and not multi_line
+
     if multi_line:
-        rows = spark.read.options(**_OPTIONS).schema(schema).csv(paths, header=has_header, multiLine=True)
-        placed = _place_rows(rows.select("*", *_coordinates()), paths, False)
-        return placed.select(ORDINAL, *blanks, F.col(_CORRUPT).isNotNull().alias(MISMATCH)), names
-    lines = spark.read.text(paths).select("value", *_coordinates())
-    placed = _place_rows(lines, paths, has_header)
-    parsed = placed.withColumn("_cells", F.from_csv("value", F.lit(schema), _OPTIONS))
-    # The parser leaves the corrupt column empty for a line without any text.
-    mismatch = F.col(f"_cells.{_CORRUPT}").isNotNull() | (F.col("value") == "")
-    cells = parsed.select(ORDINAL, "_cells.*", mismatch.alias(MISMATCH))
-    return cells.select(ORDINAL, *blanks, MISMATCH), names
+        source = spark.read.options(**_OPTIONS).schema(schema).csv(paths, header=headers is None, multiLine=True)
+        placed = _place_rows(source.select("*", *_coordinates()), paths)
+    else:
+        placed = _place_rows(spark.read.text(paths).select("value", *_coordinates()), paths)
+    if row_limit is not None:
+        placed = first_rows(placed, row_limit + (len(paths) if header_lines else 0), ORDINAL)
+    if multi_line:
+        mismatch = F.col(_CORRUPT).isNotNull()
+    else:
+        parsed = placed.withColumn("_cells", F.from_csv("value", F.lit(schema), _OPTIONS))
+        placed = parsed.select("value", "_file", ORDINAL, "_cells.*")
+        # The parser leaves the corrupt column empty for a line without any text.
+        mismatch = F.col(_CORRUPT).isNotNull() | (F.col("value") == "")
+    blanks = [F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields]
+    kept = ["_file"] if header_lines and len(paths) > 1 else []
+    staged = stage_table(placed.select(*kept, ORDINAL, *blanks, mismatch.alias(MISMATCH)), "cells")
+    rows = _drop_header_lines(staged, len(paths)) if header_lines else staged
+    cells = rows.select(ORDINAL, *fields, MISMATCH)
+    return (first_rows(cells, row_limit) if row_limit is not None else cells), names
 
 
 def repair_row_shape(df: DataFrame, cells: str, width: int) -> DataFrame:
@@ -130,14 +141,13 @@ def read_series(spark: SparkSession, config: SeriesConfig, path: str | Sequence[
 
     The time cell is called ``time_raw``.  ``row_limit`` keeps the first rows in file order.
     """
-    cells, names = read_cells(spark, path or config.path, headers, multi_line)
+    cells, names = read_cells(spark, path or config.path, headers, multi_line, row_limit)
     mapping = header_mapping(names, config)
     renamed = [
         strip(F.col(f"c{i}")).alias("time_raw" if field.role == "time" else field.clean)
         for i, field in enumerate(mapping)
     ]
-    rows = cells.select(F.lit(config.name).alias("source_dataset"), ORDINAL, *renamed, MISMATCH)
-    return (first_rows(rows, row_limit) if row_limit is not None else rows), mapping
+    return cells.select(F.lit(config.name).alias("source_dataset"), ORDINAL, *renamed, MISMATCH), mapping
 
 
 def first_rows(df: DataFrame, n: int = 1000, ordinal: str = ORDINAL) -> DataFrame:

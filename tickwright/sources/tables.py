@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwright.functions.cells import as_number, strip
+from tickwright.functions.names import named
+from tickwright.operators.wide import per_column
 
 # Cell texts that a typed load takes as missing.
 MISSING_TEXTS = (
@@ -53,24 +55,22 @@ def infer_types(df: DataFrame) -> DataFrame:
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return df
-    cells = {c: F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")) for c in names}
+    cells = {c: F.when(~named(c).isin(*MISSING_TEXTS), named(c)) for c in names}
 
     def is_integer(c):
         return c.rlike(r"^\s*[+-]?\d+\s*$") & c.try_cast("bigint").isNotNull()
 
-    found = df.agg(F.count("*").alias("rows"), *[
+    found = per_column(df, [
         F.struct(
-            F.count(c).alias("filled"),
+            F.lit(name).alias("column"), F.count("*").alias("rows"), F.count(c).alias("filled"),
             F.count_if(is_integer(c)).alias("integers"),
             F.count_if(as_number(strip(c)).isNotNull()).alias("numbers"),
-            F.count_if(c.isin(*TRUE_TEXTS, *FALSE_TEXTS)).alias("booleans"),
-        ).alias(f"_{i}")
-        for i, c in enumerate(cells.values())
-    ]).first()
+            F.count_if(c.isin(*TRUE_TEXTS, *FALSE_TEXTS)).alias("booleans"))
+        for name, c in cells.items()
+    ]).collect()
     typed = {}
-    for i, (name, c) in enumerate(cells.items()):
-        filled, integers, numbers, booleans = found[f"_{i}"]
-        complete = filled == found["rows"] and filled > 0
+    for name, rows, filled, integers, numbers, booleans in found:
+        c, complete = cells[name], filled == rows and filled > 0
         if complete and booleans == filled:
             typed[name] = c.isin(*TRUE_TEXTS)
         elif complete and integers == filled:
