@@ -4,6 +4,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from checks.compare import connect, differences
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,13 +14,18 @@ def connection(sf):
 
 
 def test_every_query_has_sql():
-    assert entry_points.queries().keys() == entry_points.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
+
+
+def test_entry_points_hold_every_query():
+    assert QUERIES.keys() <= entry_points.queries().keys()
+    assert entry_points.oracle_sql().keys() <= entry_points.queries().keys()
 
 
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 1
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_agrees_with_sql(spark, sf, connection, name):
-    assert differences(entry_points.queries()[name](spark, sf), entry_points.oracle_sql()[name], connection) is None
+    assert differences(QUERIES[name](spark, sf), ORACLE[name], connection) is None
