@@ -6,9 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwright.llm.common import documents
+from tickwright.llm.line_dedup import dedup_lines
 from tickwright.llm.mixing import mixing_plan
 from tickwright.llm.packing import pack_documents
 from tickwright.llm.token_counts import token_counts
+from tickwright.llm.winnowing import edited_fingerprints
+
+
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    deduped = dedup_lines(documents(spark, sf_dir))
+    return deduped.select("doc_id", "n_lines", F.size("removed").alias("n_removed"),
+                          F.array_join(F.transform("removed", lambda line: line.cast("string")), ",").alias("removed"),
+                          F.char_length("kept_text").cast("long").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +38,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_winnowing": op1_winnowing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_counts": op10_token_counts,
