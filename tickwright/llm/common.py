@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -46,6 +48,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
+def with_package(df: DataFrame) -> DataFrame:
+    """Let Python workers find this package where the driver has it; a cluster's workers have
+    it installed."""
+    environment = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    known = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))
+    return df
+
+
 def in_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` that gives ``function`` bounded slices of (doc_id, text, ...)."""
 
@@ -53,7 +66,7 @@ def in_batches(df: DataFrame, function, schema: str) -> DataFrame:
         for batch in slices(batches):
             yield from function(batch)
 
-    return df.mapInArrow(run, schema)
+    return with_package(df).mapInArrow(run, schema)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

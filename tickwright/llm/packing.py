@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.llm import bpe
-from tickwright.llm.common import in_batches, stage, texts
+from tickwright.llm.common import in_batches, stage, texts, with_package
 
 CAPACITY = 1024
 END_ID = 2
@@ -117,7 +117,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OP
             yield frame.assign(sequence_id=pd.Series(numbers, index=frame.index, dtype="int64"),
                                offset=pd.Series(offsets, index=frame.index, dtype="int64"))
 
-    packed = dealt.mapInPandas(pack, f"{PIECES}, sequence_id long, offset long")
+    packed = with_package(dealt).mapInPandas(pack, f"{PIECES}, sequence_id long, offset long")
     return packed.unionByName(whole)
 
 

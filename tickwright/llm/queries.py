@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwright.llm.common import documents
+from tickwright.llm.language_id import identify_documents
 from tickwright.llm.line_dedup import dedup_lines
+from tickwright.llm.minhash import near_duplicates
 from tickwright.llm.mixing import mixing_plan
 from tickwright.llm.packing import pack_documents
 from tickwright.llm.token_counts import token_counts
@@ -17,6 +19,15 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_documents(documents(spark, sf_dir))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "noise", "languages")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     deduped = dedup_lines(documents(spark, sf_dir))
     return deduped.select("doc_id", "n_lines", F.size("removed").alias("n_removed"),
@@ -39,6 +50,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mixing": op9_source_mixing,
@@ -46,6 +59,31 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_near_duplicates": r"""
+        WITH RECURSIVE worded AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_sort(list_distinct(
+                list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) END AS shingles
+            FROM worded),
+        classes AS (
+            SELECT min(doc_id) AS id, shingles, len(shingles) AS n FROM sets WHERE len(shingles) > 0 GROUP BY shingles),
+        entries AS (SELECT id, n, unnest(shingles) AS shingle FROM classes),
+        links AS (
+            SELECT a.id AS a, b.id AS b
+            FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.id < b.id
+                 AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+            GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        reach AS (
+            SELECT id AS a, id AS b FROM classes
+            UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a),
+        labels AS (SELECT a AS id, min(b) AS component FROM reach GROUP BY a),
+        found AS (
+            SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(l.component, s.doc_id) AS component_id
+            FROM sets s LEFT JOIN classes c ON s.shingles = c.shingles LEFT JOIN labels l ON c.id = l.id)
+        SELECT *, doc_id = component_id AS kept FROM found""",
     "op9_source_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source,
