@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickwright.llm import toxicity
 from tickwright.llm.common import documents
 from tickwright.llm.language_id import identify_documents
 from tickwright.llm.line_dedup import dedup_lines
 from tickwright.llm.minhash import near_duplicates
 from tickwright.llm.mixing import mixing_plan
 from tickwright.llm.packing import pack_documents
+from tickwright.llm.posting_lists import nearest
+from tickwright.llm.secret_scan import scan_secrets
 from tickwright.llm.token_counts import token_counts
 from tickwright.llm.winnowing import edited_fingerprints
 
@@ -19,10 +22,37 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the fixed patterns, a digest of their spans, and all spans with the entropy ones."""
+    found = scan_secrets(documents(spark, sf_dir))
+    base = F.filter("findings", lambda s: s.kind.isin("assign", "access", "hex"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("findings", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out(F.col("doc_id"))))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "terms")
+
+
+def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_documents(documents(spark, sf_dir))
     return found.select("doc_id", "held_out", "lang_pred", "score", "noise", "languages")
@@ -50,7 +80,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op2_secret_scan": op2_secret_scan,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_toxicity": op4_toxicity,
+    "op5_posting_lists": op5_posting_lists,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
