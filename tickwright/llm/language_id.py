@@ -26,6 +26,8 @@ BITS = 15
 ROUNDS = 10
 #: Trigrams overlap, so each counts a third; a language must gain ``PENALTY`` times log(trigrams).
 TEMPER, PENALTY = 1 / 3, 1.0
+#: Share of a language's probability that is spread over all trigrams, seen or not.
+UNSEEN = 0.02
 UNKNOWN = "und"
 _SPACE = np.uint32(32)
 
@@ -84,8 +86,8 @@ class LanguageModel:
         place = {lang: at for at, lang in enumerate(languages)}
         columns = np.fromiter((place[lang] for lang in table.column("lang").to_pylist()), dtype=np.int64, count=len(table))
         counts[table.column("gram").to_numpy(), columns] = table.column("n").to_numpy()
-        counts += 0.5
-        return cls(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), bits)
+        seen = counts / np.maximum(counts.sum(axis=0), 1)
+        return cls(languages, np.log((1 - UNSEEN) * seen + np.where(counts.sum(axis=0) > 0, UNSEEN, 1.0) / (1 << bits)).astype(np.float32), bits)
 
     def _shares(self, p: np.ndarray, weights: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
         """Shares of the columns of ``p`` by expectation-maximisation, and the log-likelihood."""
