@@ -22,7 +22,7 @@ HEADLINE = (
     "qa_summary", "delimited_scan", "multi_dataset_union", "row_index", "delta_ratio",
     "percentile_bounds", "percentile_bounds_narrowed", "winsorize", "clip_counts", "minmax_scale",
     "standard_scale", "robust_scale", "numeric_profile", "text_profile", "column_profile",
-    "time_features", "hourly_average", "chronological_split", "variant_normalized", "scaled_for_model",
+    "time_features", "hourly_average", "chronological_split", "variant_normalized", "scaled_for_model", "wide_clean",
     "stream_flags", "stream_hourly_average",
 )
 

@@ -85,7 +85,10 @@ def header_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, i = table(spark, sf_dir, "part"), F.col("p_partkey")
     name, size = F.col("p_name"), F.col("p_size").cast("string")
     source = (
-        F.when((i % 37 == 0) | (i % 64 == 0), "").when(i % 13 == 5, "%%%")
+        # In each seventh file: x, x, x_2, x_2_2, which stay unique only after several rounds.
+        F.when((F.floor(i / 32) % 7 == 0) & ((i % 32).isin(1, 2)), "x").when((F.floor(i / 32) % 7 == 0) & (i % 32 == 3), "x_2")
+        .when((F.floor(i / 32) % 7 == 0) & (i % 32 == 4), "x_2_2")
+        .when((i % 37 == 0) | (i % 64 == 0), "").when(i % 13 == 5, "%%%")
         .when(i % 11 == 3, F.concat(name, F.lit(" (True/False)")))
         .when(i % 7 == 2, F.concat(F.lit("  "), F.upper(name), F.lit(" Pressure ")))
         .when(i % 17 == 4, F.concat("p_type", F.lit("-TEC-"), size))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tickwright.functions.names import DEFINITIONS
 
 ORACLE: dict[str, str] = {}
 
@@ -70,7 +69,9 @@ ORACLE["typed_load"] = f"""WITH {RAW} SELECT ordinal,
 
 CATALOG = """catalog AS (
   SELECT p_partkey // 32 AS file_id, CAST(p_partkey % 32 AS INTEGER) AS position,
-    CASE WHEN p_partkey % 37 = 0 OR p_partkey % 64 = 0 THEN '' WHEN p_partkey % 13 = 5 THEN '%%%'
+    CASE WHEN p_partkey // 32 % 7 = 0 AND p_partkey % 32 IN (1, 2) THEN 'x'
+         WHEN p_partkey // 32 % 7 = 0 AND p_partkey % 32 = 3 THEN 'x_2' WHEN p_partkey // 32 % 7 = 0 AND p_partkey % 32 = 4 THEN 'x_2_2'
+         WHEN p_partkey % 37 = 0 OR p_partkey % 64 = 0 THEN '' WHEN p_partkey % 13 = 5 THEN '%%%'
          WHEN p_partkey % 11 = 3 THEN p_name || ' (True/False)'
          WHEN p_partkey % 7 = 2 THEN '  ' || upper(p_name) || ' Pressure '
          WHEN p_partkey % 17 = 4 THEN p_type || '-TEC-' || p_size
@@ -86,10 +87,13 @@ CLEANED = f"""{CATALOG}, worded AS (
 cleaned AS (SELECT file_id, position, source, CASE WHEN words = '' THEN fallback ELSE words END AS clean FROM worded)"""
 
 
+ROUNDS = 4
+
+
 def number_repeats(source: str, name: str) -> str:
-    """Two rounds of numbering repeated names within a file."""
+    """Rounds of numbering repeated names within a file; one more than the test names need."""
     rounds = ""
-    for k in (1, 2):
+    for k in range(1, ROUNDS + 1):
         rounds += f""", counted{k} AS (
   SELECT *, row_number() OVER (PARTITION BY file_id, {name} ORDER BY position) AS k FROM {source}),
 round{k} AS (SELECT * EXCLUDE (k, {name}), CASE WHEN k = 1 THEN {name} ELSE {name} || '_' || k END AS {name} FROM counted{k})"""
@@ -98,15 +102,16 @@ round{k} AS (SELECT * EXCLUDE (k, {name}), CASE WHEN k = 1 THEN {name} ELSE {nam
 
 
 ORACLE["header_normalize"] = f"WITH {CLEANED} SELECT * FROM cleaned"
-ORACLE["header_dedupe"] = f"WITH {CLEANED}{number_repeats('cleaned', 'clean')} SELECT * FROM round2"
+ORACLE["header_dedupe"] = f"WITH {CLEANED}{number_repeats('cleaned', 'clean')} SELECT * FROM round{ROUNDS}"
 ORACLE["header_roles"] = f"""WITH {CLEANED} SELECT *, CASE WHEN source = 'Time' THEN 'time'
   WHEN clean = 'raw_row_index' THEN 'index' WHEN contains(source, '(True/False)') THEN 'boolean'
   ELSE 'numeric' END AS role FROM cleaned"""
 ORACLE["ml_name"] = f"""WITH {CATALOG}, named AS (SELECT *, lower(replace(replace(replace(replace(replace(source,
   ' ', '_'), '-', '_'), '/', '_per_'), '(', ''), ')', '')) AS ml_name FROM catalog)
-{number_repeats('named', 'ml_name')} SELECT * FROM round2"""
+{number_repeats('named', 'ml_name')} SELECT * FROM round{ROUNDS}"""
 
-KNOWN = ", ".join(f"('{term}', '{text}')" for term, text in DEFINITIONS.items())
+# Of the known terms, those that the test headers hold.
+KNOWN = "('Time', 'Date/time of the observation.'), ('Injection EC', 'Electrical conductivity associated with injected water.')"
 
 
 def name_rules(source: str, flow: str, pressure: str, tec: str, depth: str, ec: str, other: str) -> str:
@@ -217,12 +222,13 @@ def all_flags(shape: str) -> str:
 
 
 ORACLE["audit_table"] = f"""WITH {FLAGGED}{SHAPED}
-SELECT source_dataset, time_raw, {ISO.format('ts')} AS time, flow_raw AS net_flow, lower(trim(valve_raw)) AS valve_a,
+SELECT source_dataset, ordinal AS row_order, time_raw, {ISO.format('ts')} AS time, flow_raw AS net_flow, lower(trim(valve_raw)) AS valve_a,
   lower(trim(pump_raw)) AS triplex_on_off, ec_raw AS injection_ec,
   {all_flags("CASE WHEN {} THEN 'true' ELSE 'false' END")} FROM shaped"""
-ORACLE["delimited_scan"] = ORACLE["audit_table"]
+# The file's row order counts from 0.
+ORACLE["delimited_scan"] = ORACLE["audit_table"].replace("ordinal AS row_order", "row_number() OVER (ORDER BY ordinal) - 1 AS row_order")
 ORACLE["ml_ready_table"] = f"""WITH {FLAGGED}{SHAPED}
-SELECT source_dataset, {ISO.format('ts')} AS time, try_cast(flow_raw AS DOUBLE) AS net_flow,
+SELECT source_dataset, ordinal AS row_order, {ISO.format('ts')} AS time, try_cast(flow_raw AS DOUBLE) AS net_flow,
   CAST(CASE lower(trim(valve_raw)) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END AS INTEGER) AS valve_a,
   CAST(CASE lower(trim(pump_raw)) WHEN 'on' THEN 1 WHEN 'off' THEN 0 END AS INTEGER) AS triplex_on_off,
   try_cast(ec_raw AS DOUBLE) AS injection_ec, {all_flags("CAST({} AS INTEGER)")} FROM shaped"""
@@ -387,3 +393,37 @@ ORACLE["stream_hourly_average"] = """WITH newest AS (SELECT max(ts) - INTERVAL 1
 SELECT 'events' AS source_dataset, date_trunc('hour', ts) AS window_start, count(*) AS rows, round(avg(value), 6) AS pressure
 FROM events, newest GROUP BY date_trunc('hour', ts), mark HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark"""
 ORACLE["stream_flags"] = f"WITH {FLAGGED} SELECT ordinal, {SEQUENCE_FLAGS} FROM flagged"
+
+ORACLE["stream_duplicate_runs"] = ORACLE["duplicate_runs"]
+
+# Files and wide tables -------------------------------------------------------------------
+
+_WIDE = {f"channel_{k}": f"CASE WHEN ordinal % {97 + k} = {k} THEN 'n/a' WHEN ordinal % {89 + k} = 3 THEN '' ELSE CAST(ordinal * {k + 1} % 1000 AS VARCHAR) END"
+         for k in range(67)}
+_WIDE_FLAGS = [*SEQUENCE_FLAGS.split(", "), "flag_row_length_mismatch", "flag_non_numeric_in_numeric_field"]
+ORACLE["wide_clean"] = f"""WITH {PARSED}, texts AS (SELECT source_dataset, ordinal, time_raw, ts, {', '.join(f'{text} AS {c}' for c, text in _WIDE.items())} FROM parsed),
+checked AS (SELECT *, FALSE AS flag_row_length_mismatch, {' OR '.join(f"{c} = 'n/a'" for c in _WIDE)} AS flag_non_numeric_in_numeric_field FROM texts),
+{sequence_flags('checked', '600')}
+SELECT 'wide' AS source_dataset, row_number() OVER (ORDER BY ordinal) - 1 AS row_order, {ISO.format('ts')} AS time,
+  {', '.join(f'try_cast({c} AS DOUBLE) AS {c}' for c in _WIDE)}, {', '.join(f'CAST({f} AS INTEGER) AS {f}' for f in _WIDE_FLAGS)},
+  md5(concat_ws('|', 'wide', time_raw, {ISO.format('ts')}, {', '.join(_WIDE)}, {', '.join(f"CASE WHEN {f} THEN 'true' ELSE 'false' END" for f in _WIDE_FLAGS)})) AS audit
+FROM flagged"""
+ORACLE["delimited_scan_multiline"] = f"""WITH {RAW}, rows AS (SELECT row_number() OVER (ORDER BY ordinal) - 1 AS row_order, *,
+    CASE WHEN ordinal % 70 = 1 THEN 0 WHEN ordinal % 90 = 2 THEN 1 WHEN ordinal % 110 = 3 THEN 4 ELSE 3 END AS n FROM raw)
+SELECT row_order, CASE WHEN n > 0 THEN time_raw ELSE '' END AS time_raw,
+  CASE WHEN n < 2 THEN '' WHEN ordinal % 50 = 0 THEN 'first ' || ordinal || chr(10) || chr(10) || ', "second"' ELSE 'note ' || ordinal END AS note,
+  CASE WHEN n < 2 THEN '' ELSE flow_raw END AS flow, n <> 3 AS flag_row_length_mismatch FROM rows"""
+ORACLE["clean_to_model"] = f"""WITH {FLAGGED}{SHAPED}, placed AS (SELECT *, row_number() OVER (ORDER BY ordinal) - 1 AS row_order FROM shaped),
+kept AS (SELECT row_order, CAST(CASE lower(trim(valve_raw)) WHEN 'true' THEN 1 WHEN 'false' THEN 0 END AS INTEGER) AS valve_a,
+  try_cast(ec_raw AS DOUBLE) AS p, try_cast(flow_raw AS DOUBLE) AS q FROM placed WHERE NOT flag_duplicate_timestamp AND NOT flag_time_gap_gt_expected),
+fitted AS (SELECT avg(p) AS pm, stddev_pop(p) AS ps, avg(q) AS qm, stddev_pop(q) AS qs FROM kept)
+SELECT row_order, valve_a, round((p - pm) / ps, 6) + 0.0 AS injection_ec, round((q - qm) / qs, 6) + 0.0 AS net_flow FROM kept, fitted"""
+ORACLE["big_integer_profile"] = """WITH data AS (SELECT l_orderkey + 9007199254740992 AS large, l_partkey FROM lineitem) """ + per_column(
+    "SELECT '{c}' AS \"column\", CAST(min({c}) AS VARCHAR) AS minimum, CAST(max({c}) AS VARCHAR) AS maximum, "
+    "CAST(max({c}) - min({c}) AS VARCHAR) AS range, count({c}) AS count, count(DISTINCT {c}) AS unique_count FROM data", ["large", "l_partkey"])
+ORACLE["subsecond_duplicate_keys"] = f"""SELECT 'events' AS source_dataset, {ISO.format("date_trunc('minute', ts)")} AS time, count(*) AS count
+FROM events GROUP BY date_trunc('minute', ts) HAVING count(*) > 1"""
+ORACLE["datetime_detect_short"] = f"WITH {RAW} SELECT ordinal, second_ts AS short_raw, valve_raw FROM raw"
+ORACLE["variants_from_file"] = ORACLE["variant_normalized"]
+ORACLE["total_clipped"] = f"""WITH {BOUNDS} SELECT CAST({' + '.join(f'count(*) FILTER ({c} < {c}_lo OR {c} > {c}_hi)' for c in CHANNELS)} AS BIGINT) AS clipped_cells
+FROM data, bounds"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks.inputs import (
@@ -12,7 +13,7 @@ from checks.inputs import (
     flagged_readings, header_catalog, normalized_catalog, parsed_readings, ragged_cells, raw_readings,
     sensor_series, table,
 )
-from tickwright.config import ScalerConfig
+from tickwright.config import ScalerConfig, SeriesConfig
 from tickwright.functions import cells, names, times
 from tickwright.operators import features, outliers, profile, quality, resample, scaling, sequence
 from tickwright.plans import clean, model_prep, variants
@@ -525,9 +526,125 @@ def scaled_for_model(spark, sf):
     return scaled.select("ordinal", *round6("pressure", "level", "flow", "delta_P_delta_Q"), "injecting", "producing")
 
 
+def _as_file(spark, lines, label="file"):
+    """Lines written in the order of their ordinal."""
+    path = stage_path(spark, label)
+    lines.orderBy("ordinal").select("value").write.text(path)
+    return path
+
+
+WIDE = 67
+
+
+@query
+def wide_clean(spark, sf):
+    """A log as wide as real ones, from text to the ML-ready table; the audit cells as a digest."""
+    i = F.col("ordinal")
+    channels_ = [
+        F.when(i % (97 + k) == k, "n/a").when(i % (89 + k) == 3, "").otherwise((i * (k + 1) % 1000).cast("string")).alias(f"c{k}")
+        for k in range(WIDE)
+    ]
+    lines = raw_readings(spark, sf).select("ordinal", F.concat_ws(",", "time_raw", *channels_).alias("value"))
+    config = SeriesConfig("wide", expected_gap_seconds=CADENCE)
+    rows, mapping = delimited.read_series(
+        spark, config, _as_file(spark, lines, "wide"), headers=["Time", *[f"Channel {k}" for k in range(WIDE)]])
+    flagged = stage_table(clean.flag_rows(rows, mapping, config), "wide-flagged")
+    audit = clean.audit_table(flagged, mapping)
+    digest = audit.select("row_order", F.md5(F.concat_ws("|", *[c for c in audit.columns if c != "row_order"])).alias("audit"))
+    return clean.ml_ready_table(flagged, mapping).join(digest, "row_order")
+
+
+@query
+def delimited_scan_multiline(spark, sf):
+    """Lines with line breaks in quoted cells, blank lines, short and long rows."""
+    i = F.col("ordinal")
+    note = F.when(i % 50 == 0, F.concat(F.lit('"first '), i.cast("string"), F.lit('\n\n, ""second"""'))).otherwise(
+        F.concat(F.lit("note "), i.cast("string")))
+    row = F.concat_ws(",", "time_raw", note, "flow_raw")
+    value = F.when(i % 70 == 1, "").when(i % 90 == 2, F.col("time_raw")).when(i % 110 == 3, F.concat(row, F.lit(",more"))).otherwise(row)
+    path = _as_file(spark, raw_readings(spark, sf).select("ordinal", value.alias("value")), "multiline")
+    cells_, _ = delimited.read_cells(spark, path, headers=["Time", "Note", "Flow"])
+    order = (F.row_number().over(W.orderBy(delimited.ORDINAL)) - 1).cast("long")
+    return cells_.select(order.alias("row_order"), F.col("c0").alias("time_raw"), F.col("c1").alias("note"),
+                         F.col("c2").alias("flow"), delimited.MISMATCH)
+
+
+@query
+def clean_to_model(spark, sf):
+    """From a dirty file over the written ML-ready table to QC and scaling."""
+    cell = F.transform("cells", lambda c: F.when(c.contains(" "), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c))
+    path = _as_file(spark, ragged_cells(spark, sf).select("ordinal", F.array_join(cell, ",").alias("value")), "chain")
+    config = SeriesConfig(CONFIG.name, path, expected_gap_seconds=CADENCE, has_pump_state=True)
+    result = clean.clean_series(spark, config, stage_path(spark, "cleaned"), mode="full", headers=HEADERS)
+    written = spark.read.parquet(result.ml_path)
+    result.release()
+    scaler = ScalerConfig({"injection": "injection_ec"}, {}, "net_flow")
+    scaled, _ = model_prep.prepare_for_model(
+        written, scaler, written.columns, "injection_ec", "net_flow", MIN_FLOW, MIN_PRESSURE, ordinal="row_order",
+        output=stage_path(spark, "model"))
+    return scaled.select("row_order", "valve_a", *round6("injection_ec", "net_flow"))
+
+
+@query
+def big_integer_profile(spark, sf):
+    """Whole numbers that doubles can't tell apart."""
+    large = table(spark, sf, "lineitem").select((F.col("l_orderkey") + 9_007_199_254_740_992).alias("large"), "l_partkey")
+    found = profile.numeric_profile(large, ["large", "l_partkey"])
+    return found.select("column", *[F.col(f"whole_{k}").cast("string").alias(k) for k in ("minimum", "maximum", "range")],
+                        "count", "unique_count")
+
+
+@query
+def subsecond_duplicate_keys(spark, sf):
+    """Times a fraction of a second apart share a key."""
+    part = F.make_dt_interval(secs=(F.col("event_id") % 5 * 0.19).cast("decimal(18,6)"))
+    rows = table(spark, sf, "events").select(
+        F.lit(CONFIG.name).alias("source_dataset"), (F.date_trunc("minute", "ts").cast("timestamp_ntz") + part).alias("ts"))
+    return quality.duplicate_keys(rows)
+
+
+@query
+def datetime_detect_short(spark, sf):
+    """Time texts in the feed's own format become times."""
+    raw = raw_readings(spark, sf).select("ordinal", "short_raw", "valve_raw")
+    return profile.detect_datetimes(raw, ["%m/%d/%y %H:%M:%S"])
+
+
+@query
+def variants_from_file(spark, sf):
+    """The variant flow from a text file under its own headers."""
+    path = stage_path(spark, "sensor")
+    _sensor_file(spark, sf).orderBy("_ordinal").drop("_ordinal").write.csv(path, header=True)
+    return variants.build_variants(delimited.read_named(spark, path)).normalized
+
+
+@query
+def total_clipped(spark, sf):
+    data = channels(spark, sf)
+    return outliers.total_clipped(data, outliers.fit_bounds(data, CHANNELS))
+
+
 # Streams ---------------------------------------------------------------------------------
 
 
+def _streamed(spark, sf):
+    rows = parsed_readings(spark, sf).select("source_dataset", "ordinal", "ts")
+    end = rows.agg(F.max("ordinal") + 1).first()[0]
+    feed = stage_path(spark, "feed")
+    flagger = StreamFlagger(stage_path(spark, "flags"), CADENCE)
+    for k in range(3):  # three arrivals, each picked up by a run that continues the one before
+        arrived = (F.col("ordinal") >= end * k // 3) & (F.col("ordinal") < end * (k + 1) // 3)
+        rows.filter(arrived).write.mode("append").parquet(feed)
+        flagger.start(spark.readStream.schema(rows.schema).parquet(feed)).awaitTermination()
+    return flagger
+
+
+@query
+def stream_duplicate_runs(spark, sf):
+    """Runs of repeats counted by micro-batch, also those that go over a batch's end."""
+    return _streamed(spark, sf).run_lengths(spark)
+
+
 @query
 def stream_hourly_average(spark, sf):
     """Hours that the watermark closed; the last hour stays open."""
@@ -542,12 +659,4 @@ def stream_hourly_average(spark, sf):
 @query
 def stream_flags(spark, sf):
     """Flags by micro-batch with carried state: the same as on the whole table."""
-    rows = parsed_readings(spark, sf).select("source_dataset", "ordinal", "ts")
-    end = rows.agg(F.max("ordinal") + 1).first()[0]
-    feed = stage_path(spark, "feed")
-    flagger = StreamFlagger(stage_path(spark, "flags"), CADENCE)
-    for k in range(3):  # three arrivals, each picked up by a run that continues the one before
-        arrived = (F.col("ordinal") >= end * k // 3) & (F.col("ordinal") < end * (k + 1) // 3)
-        rows.filter(arrived).write.mode("append").parquet(feed)
-        flagger.start(spark.readStream.schema(rows.schema).parquet(feed)).awaitTermination()
-    return spark.read.parquet(flagger.rows_path).select("ordinal", *SEQUENCE_FLAGS)
+    return spark.read.parquet(_streamed(spark, sf).rows_path).select("ordinal", *SEQUENCE_FLAGS)

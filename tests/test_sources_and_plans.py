@@ -3,6 +3,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -83,22 +84,149 @@ def test_order_over_splits_and_files(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_cells_with_line_breaks(spark, tmp_path):
-    path = tmp_path / "m.csv"
-    path.write_text('Time,A,B\n2024-01-01 00:00:00,"x\ny",1\n2024-01-01 01:00:00,2\n')
-    cells, _ = delimited.read_series(spark, SeriesConfig("s", str(path)), multi_line=True)
-    got = [(r["a"], r["b"], r[delimited.MISMATCH]) for r in cells.orderBy(delimited.ORDINAL).collect()]
-    assert got == [("x\ny", "1", False), ("2", "", True)]
+def cells_of(spark, path, **options):
+    cells, mapping = delimited.read_series(spark, SeriesConfig("s", str(path)), **options)
+    names = ["time_raw" if f.role == "time" else f.clean for f in mapping]
+    return [([r[n] for n in names], r[delimited.MISMATCH]) for r in cells.orderBy(delimited.ORDINAL).collect()]
+
+
+def read_by_rules(path):
+    with open(path, newline="") as file:
+        header, *rows = csv.reader(file)
+    return [([c.strip() for c in (row + [""] * len(header))[:len(header)]], len(row) != len(header)) for row in rows]
+
+
+QUOTED = [
+    'Time,A,B', '2024-01-01 00:00:00,"x', 'y",1', '', '2024-01-01 01:00:00,2', '2024-01-01 02:00:00,"a, ""b""', '', 'c","d', 'e"',
+    'plain,5" pipe,q', '"t","u,v",w', '', '', 'z,"",""', '"open', '"",a', 'b",2,3', 'last,1,2,3',
+]
+
+
+@pytest.mark.parametrize("split", ["256", "40b", "128m"])
+def test_line_breaks_and_blank_lines_follow_the_csv_rules(spark, tmp_path, split):
+    path = tmp_path / "my log.csv"
+    path.write_text("\n".join(QUOTED) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert cells_of(spark, path) == read_by_rules(path)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_header_with_a_line_break(spark, tmp_path):
+    path = tmp_path / "h.csv"
+    path.write_text('Time,"A\nB",C\n2024-01-01 00:00:00,1,2\n')
+    cells, mapping = delimited.read_series(spark, SeriesConfig("s", str(path)))
+    assert [f.clean for f in mapping] == ["time", "a_b", "c"]
+    assert [(r["a_b"], r["c"]) for r in cells.collect()] == [("1", "2")]
 
 
-def test_small_splits_are_refused(spark, log_file):
-    before = spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+def test_an_unclosed_quote_is_an_error(spark, tmp_path):
+    path = tmp_path / "u.csv"
+    path.write_text('Time,A\n2024-01-01 00:00:00,"x\n' + "y,1\n" * 40_000)
+    with pytest.raises(ValueError, match="not closed"):
+        delimited.read_cells(spark, str(path))
+
+
+def test_splits_of_any_size_keep_every_row(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("Time,N\n" + "".join(f"2024-01-01 00:00:00,{i}\n" for i in range(60_000)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        cells, _ = delimited.read_series(spark, SeriesConfig("s", str(path)))
+        assert [int(r["n"]) for r in cells.orderBy(delimited.ORDINAL).select("n").collect()] == list(range(60_000))
+        assert cells.select(delimited.ORDINAL).distinct().count() == 60_000
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_a_sample_reads_the_first_split_alone(spark, tmp_path):
+    path = tmp_path / "s.csv"
+    path.write_text("Time,N\n" + "".join(f"2024-01-01 00:00:00,{i:0200d}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(2 << 20))
+    try:
+        spark.sparkContext.setJobGroup("sample", "lines of a sample")
+        lines = delimited._first_lines(spark, str(path), 101)
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("sample") for s in tracker.getJobInfo(j).stageIds]
+        assert len(lines) == 101 and spark.read.text(str(path)).rdd.getNumPartitions() > 2
+        assert stages and all(stage is None or stage.numTasks == 1 for stage in stages)
+        assert [int(cells[1]) for cells, _ in cells_of(spark, path, row_limit=100)] == list(range(100))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_a_sample_goes_over_files_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Time,A,B\n" + "\n".join(QUOTED[1:7]) + '\nc",1\n')
+    (tmp_path / "b.csv").write_text("Time,A,B\n2024-01-02 00:00:00,1,2\n2024-01-02 01:00:00,3,4\n")
+    whole = cells_of(spark, tmp_path)
+    assert whole == read_by_rules(tmp_path / "a.csv") + read_by_rules(tmp_path / "b.csv")
+    for limit in range(1, len(whole) + 2):
+        assert cells_of(spark, tmp_path, row_limit=limit) == whole[:limit]
+
+
+def test_wide_tables_keep_generated_code(spark, tmp_path):
+    """At the width of real files no step falls back from whole-stage code generation."""
+    path = tmp_path / "w.csv"
+    path.write_text("Time," + ",".join(f"Chan {i}" for i in range(67)) + "\n"
+                    + "".join(f"2024-01-01 00:00:{k:02d}," + ",".join(str(k * i) for i in range(67)) + "\n" for k in range(50)))
+    config = SeriesConfig("w", str(path))
+    cells, mapping = delimited.read_series(spark, config)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan as it runs, with its generated code
     try:
-        with pytest.raises(ValueError, match="openCostInBytes"):
-            delimited.read_cells(spark, log_file)
+        flagged = clean.flag_rows(cells, mapping, config)
+        debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+        sizes = debug.codegenStringSeq(flagged._jdf.queryExecution().executedPlan())
+        longest = max(sizes.apply(i)._3().maxMethodCodeSize() for i in range(sizes.length()))
     finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert 0 < longest < 64_000
+    assert [r["chan_66"] for r in flagged.orderBy(delimited.ORDINAL).collect()] == [str(k * 66) for k in range(50)]
+
+
+def test_a_flow_leaves_only_its_outputs(spark, log_file, tmp_path):
+    from tickwright.session import stage_root
+
+    root = stage_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    result = clean.clean_series(spark, SeriesConfig("s", log_file), str(tmp_path / "out"), mode="full")
+    assert len(set(os.listdir(root)) - before) == 1
+    result.release()
+    assert set(os.listdir(root)) == before
+
+
+def test_from_dirty_file_to_scaled_rows(spark, tmp_path):
+    """The written ML-ready table goes through QC and scaling in file order."""
+    path = tmp_path / "chain.csv"
+    rows = [f"2024-01-01 {k:02d}:00:00,{k * k},{k % 5}" for k in range(20)]
+    path.write_text("Time,Injection Pressure,Net Flow\n" + "\n".join([*rows[:10], rows[9], *rows[10:]]) + "\n")
+    result = clean.clean_series(spark, SeriesConfig("s", str(path)), str(tmp_path / "out"), mode="full")
+    written = spark.read.parquet(result.ml_path)
+    config = ScalerConfig({"inj": "injection_pressure"}, {"inj": "delta_P_delta_Q"}, "net_flow", ("tc_injecting", "tc_producing"))
+    out = str(tmp_path / "scaled")
+    scaled, _ = model_prep.prepare_for_model(written, config, written.columns, "injection_pressure", "net_flow", 0.5, 2.0,
+                                             ordinal="row_order", output=out)
+    assert scaled.count() == 20 == spark.read.parquet(out).count()
+    order = [r["row_order"] for r in scaled.orderBy("row_order").collect()]
+    assert order == [*range(10), *range(11, 21)]
+    audit = spark.read.parquet(result.audit_path)
+    from tickwright.operators.quality import qc_filter
+    assert qc_filter(audit).count() == qc_filter(written).count() == 20
+
+
+def test_names_that_the_flow_uses_itself(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text("Time,Prev Valid Time,Flag Duplicate Timestamp,Triplex On/Off\n2024-01-01 00:00:00,7,8,On\n")
+    result = clean.clean_series(spark, SeriesConfig("s", str(path)), str(tmp_path / "out"), mode="full")
+    row = spark.read.parquet(result.audit_path).first()
+    assert (row["prev_valid_time"], row["flag_duplicate_timestamp_2"], row["flag_duplicate_timestamp"]) == ("7", "8", "false")
+    assert row["triplex_on_off"] == "on"
 
 
 def test_clean_flow(spark, log_file, tmp_path):

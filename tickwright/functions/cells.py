@@ -27,10 +27,12 @@ def as_number(c: Column) -> Column:
     """Stripped text to double, NULL where it is no number.
 
     The plain cast also takes Java spellings (``1.5d``, ``0x1p3``) and refuses digit
-    underscores, so text with such letters goes through the stricter pattern.
+    underscores, so text with such letters goes through the stricter pattern.  Such spellings
+    end in a letter or hold an x or an underscore.
     """
     strict = F.when(c.rlike(_FLOAT_TEXT), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
-    return F.when(c.rlike("[dDfFxX_]"), strict).otherwise(c.try_cast("double"))
+    odd = (F.ascii(F.right(c, F.lit(1))) > 57) | c.contains("_") | c.contains("x") | c.contains("X")
+    return F.when(odd, strict).otherwise(c.try_cast("double"))
 
 
 def is_non_numeric(c: Column) -> Column:

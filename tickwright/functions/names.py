@@ -19,7 +19,11 @@ from tickwright.functions.cells import strip
 
 BOOLEAN_MARK = "(True/False)"
 BYTE_ORDER_MARK = chr(0xFEFF)
-RESERVED = ("source_dataset", "time_raw")
+# Names that the cleaning flow adds itself; names of its own steps begin with an underscore.
+RESERVED = (
+    "source_dataset", "time_raw", "row_order", "flag_bad_timestamp_format", "flag_non_monotonic_time", "flag_duplicate_timestamp",
+    "flag_time_gap_gt_expected", "flag_row_length_mismatch", "flag_non_numeric_in_numeric_field",
+)
 PUMP_STATE_FIELD = "triplex_on_off"
 INDEX_FIELD = "raw_row_index"
 
@@ -141,8 +145,12 @@ def header_mapping(headers: Sequence[str], config: SeriesConfig) -> list[HeaderF
     return fields
 
 
+# Replacements that make a name fit for models.
+_ML_REPLACEMENTS = ((" ", "_"), ("-", "_"), ("/", "_per_"), ("(", ""), (")", ""))
+
+
 def ml_name(name: str) -> str:
-    for old, new in ((" ", "_"), ("-", "_"), ("/", "_per_"), ("(", ""), (")", "")):
+    for old, new in _ML_REPLACEMENTS:
         name = name.replace(old, new)
     return name.lower()
 
@@ -194,18 +202,22 @@ def header_role(source: Column, clean: Column, has_pump_state: bool = False) ->
     return role.otherwise(F.lit("numeric"))
 
 
-def number_repeats(df: DataFrame, file_col: str, position: str, name: str, rounds: int = 2) -> DataFrame:
-    """Column form of :func:`unique_names`; the windows are as wide as one file's header."""
-    for _ in range(rounds):
+def number_repeats(df: DataFrame, file_col: str, position: str, name: str) -> DataFrame:
+    """Column form of :func:`unique_names`: rounds go on until a file's names are unique.
+
+    The windows are as wide as one file's header; each round looks once whether repeats remain.
+    """
+    while True:
         order = W.partitionBy(file_col, name).orderBy(position)
         repeat = F.row_number().over(order)
         suffix = F.concat(F.col(name), F.lit("_"), repeat.cast("string"))
         df = df.withColumn(name, F.when(repeat == 1, F.col(name)).otherwise(suffix))
-    return df
+        if not df.groupBy(file_col, name).count().filter("count > 1").limit(1).count():
+            return df
 
 
 def ml_name_column(c: Column) -> Column:
-    for old, new in ((" ", "_"), ("-", "_"), ("/", "_per_"), ("(", ""), (")", "")):
+    for old, new in _ML_REPLACEMENTS:
         c = F.replace(c, F.lit(old), F.lit(new))
     return F.lower(c)
 

@@ -43,6 +43,17 @@ def inherit_last(tails: DataFrame, series: Sequence[str], chunk: str, values: Se
     return looked.select(*series, chunk, *[F.col(near[v]).alias(v) for v in values])
 
 
+def join_series(rows: DataFrame, other: DataFrame, series: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Left join on the series and further keys; a NULL series is a series like any other."""
+    renamed = other.withColumnsRenamed({c: f"__other_{c}" for c in [*series, *keys]})
+    condition = F.lit(True)
+    for c in series:
+        condition = condition & F.col(c).eqNullSafe(F.col(f"__other_{c}"))
+    for c in keys:
+        condition = condition & (F.col(c) == F.col(f"__other_{c}"))
+    return rows.join(renamed, condition, "left").drop(*[f"__other_{c}" for c in [*series, *keys]])
+
+
 def look_back(df: DataFrame, values: dict[str, Column], series: Sequence[str], ordinal: str,
               bits: int = CHUNK_BITS, levels: int = LEVELS, initial: DataFrame | None = None) -> DataFrame:
     """Add for each ``name: value`` the last non-null value on an earlier row of the series.
@@ -70,7 +81,7 @@ def look_back(df: DataFrame, values: dict[str, Column], series: Sequence[str], o
         tails = tails.unionByName(start)
     inherited = inherit_last(tails, series, chunk, list(held.values()), bits, levels)
     inherited = inherited.withColumnsRenamed({held[n]: f"__from_{n}" for n in values})
-    joined = near.join(inherited, [*series, chunk], "left")
+    joined = join_series(near, inherited, series, [chunk])
     filled = {n: F.coalesce(F.col(n), F.col(f"__from_{n}")) for n in values}
     return joined.withColumns(filled).drop(chunk, *held.values(), *[f"__from_{n}" for n in values])
 
@@ -96,7 +107,7 @@ def previous_row(df: DataFrame, values: dict[str, str], series: Sequence[str], o
         carried = previous_row(tails, {f"__from_{n}": f"__last_{n}" for n in values},
                                series, chunk, bits, levels - 1)
         carried = carried.select(*series, chunk, *[f"__from_{n}" for n in values])
-    joined = near.join(carried, [*series, chunk], "left")
+    joined = join_series(near, carried, series, [chunk])
     filled = {n: F.when(F.col("__first"), F.col(f"__from_{n}")).otherwise(F.col(n)) for n in values}
     return joined.withColumns(filled).drop(chunk, "__first", *[f"__from_{n}" for n in values])
 

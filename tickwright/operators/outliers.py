@@ -60,6 +60,11 @@ def clip_counts(df: DataFrame, bounds: Bounds) -> DataFrame:
     return counted.filter("clipped > 0").orderBy(F.desc("clipped"), "position").select("column", "clipped")
 
 
+def total_clipped(df: DataFrame, bounds: Bounds) -> DataFrame:
+    """One row: values outside their bounds over all columns."""
+    return clip_counts(df, bounds).agg(F.coalesce(F.sum("clipped"), F.lit(0)).alias("clipped_cells"))
+
+
 def spread_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: minimum, maximum, range and whether it is constant."""
     long = per_column(df, [

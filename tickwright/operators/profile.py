@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -102,10 +103,20 @@ def _with_distinct(stats: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str], **limits: int) -> DataFrame:
-    """Minimum, maximum, mean, median, range, sample deviation, counts; NaN is missing."""
+    """Minimum, maximum, mean, median, range, sample deviation, counts; NaN is missing.
+
+    Whole-number columns also have ``whole_minimum``, ``whole_maximum`` and ``whole_range``, and
+    their distinct values are counted, without going through doubles.
+    """
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+
+    def exact(c: str) -> Column:
+        return named(c).cast("decimal(20,0)") if c in whole else F.lit(None).cast("decimal(20,0)")
+
     stats = per_column(df, [
         F.struct(
             F.lit(c).alias("column"), F.lit(i).alias("position"),
+            F.min(exact(c)).alias("whole_minimum"), F.max(exact(c)).alias("whole_maximum"),
             F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.avg(v).alias("mean"),
             F.stddev_samp(v).alias("std_dev"), F.count(v).alias("count"),
             (F.count("*") - F.count(v)).alias("missing_count"), F.count("*").alias("__rows"))
@@ -116,9 +127,14 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], **limits: int) -> Dat
     stats = stats.withColumns({
         "median": F.element_at(median, F.col("column")),
         "range": F.col("maximum") - F.col("minimum"),
+        "whole_range": (F.col("whole_maximum") - F.col("whole_minimum")).cast("decimal(20,0)"),
         "missing_percent": missing_percent(F.col("missing_count"), F.col("__rows")),
     }).drop("__rows")
-    return _with_distinct(stats, distinct_counts(df, {c: numeric_column(c) for c in columns}))
+    parts = []
+    for group, value in ((whole, lambda c: named(c).cast("long")), (set(columns) - whole, numeric_column)):
+        if own := {c: value(c) for c in columns if c in group}:
+            parts.append(distinct_counts(df, own))
+    return _with_distinct(stats, reduce(DataFrame.unionAll, parts))
 
 
 def datetime_profile(df: DataFrame, columns: Sequence[str], **limits: int) -> DataFrame:
@@ -183,8 +199,9 @@ def text_profile(df: DataFrame, columns: Sequence[str], ordinal: str, examples:
 
 
 def number_text(c: Column) -> Column:
-    """A number as text with six places, as dictionaries print it."""
-    return F.coalesce(F.round(c, 6).try_cast("decimal(38,6)").cast("string"), c.cast("string"))
+    """A number as the shortest text that gives the same number again; whole ones have no point."""
+    whole = (F.abs(c) < F.lit(1e15)) & (c == F.floor(c))
+    return F.when(whole, c.cast("long").cast("string")).otherwise(c.cast("string"))
 
 
 def column_stats(df: DataFrame, ordinal: str, exclude: Sequence[str] = (), **limits: int) -> DataFrame:
@@ -205,6 +222,7 @@ def column_stats(df: DataFrame, ordinal: str, exclude: Sequence[str] = (), **lim
         stats = stats.unionByName(part, allowMissingColumns=True)
     optional = {
         **{k: "double" for k in ("minimum", "maximum", "mean", "median", "range", "std_dev")},
+        **{f"whole_{k}": "decimal(20,0)" for k in ("minimum", "maximum", "range")},
         **{f"{k}_time": "timestamp_ntz" for k in ("minimum", "maximum", "mean", "median")},
         "range_time": "interval day to second", "example_values": "string",
     }
@@ -217,13 +235,16 @@ def column_stats(df: DataFrame, ordinal: str, exclude: Sequence[str] = (), **lim
         "position": F.element_at(place, F.col("column")), "type": F.element_at(kind, F.col("column"))})
 
 
-def data_dictionary(df: DataFrame, ordinal: str, exclude: Sequence[str] = (), **limits: int) -> DataFrame:
-    """The dictionary table: fifteen text fields per column, in column order."""
-    stats = column_stats(df, ordinal, exclude, **limits)
+def data_dictionary(df: DataFrame, ordinal: str, exclude: Sequence[str] = (), stats: DataFrame | None = None,
+                    **limits: int) -> DataFrame:
+    """The dictionary table: fifteen text fields per column, in column order.  ``stats`` can hold
+    statistics that were computed before."""
+    stats = column_stats(df, ordinal, exclude, **limits) if stats is None else stats
 
     def shown(name: str) -> Column:
-        time = F.replace(F.substring(F.col(f"{name}_time").cast("string"), 1, 19), F.lit("T"), F.lit(" "))
-        return F.coalesce(number_text(F.col(name)), time)
+        time = F.replace(F.col(f"{name}_time").cast("string"), F.lit("T"), F.lit(" "))
+        exact = F.col(f"whole_{name}").cast("string") if name in ("minimum", "maximum") else F.lit(None)
+        return F.coalesce(exact, number_text(F.col(name)), time)
 
     seconds = F.timestamp_diff("SECOND", F.col("minimum_time"), F.col("maximum_time"))
     described = definition_column(stats, "column", "__definition")
@@ -231,7 +252,7 @@ def data_dictionary(df: DataFrame, ordinal: str, exclude: Sequence[str] = (), **
         F.col("column").alias("Term"), F.col("__definition").alias("Definition"), F.col("type").alias("Type"),
         shown("minimum").alias("Minimum"), shown("maximum").alias("Maximum"), shown("mean").alias("Mean"),
         shown("median").alias("Median"),
-        F.coalesce(number_text(F.col("range")), F.concat(seconds.cast("string"), F.lit(" s"))).alias("Range"),
+        F.coalesce(F.col("whole_range").cast("string"), number_text(F.col("range")), F.concat(seconds.cast("string"), F.lit(" s"))).alias("Range"),
         unit_column(F.col("column")).alias("Unit"), number_text(F.col("std_dev")).alias("Std Dev"),
         F.col("count").alias("Count"), F.col("missing_count").alias("Missing Count"),
         F.col("missing_percent").alias("Missing Percent"), F.col("unique_count").alias("Unique Count"),
@@ -245,9 +266,10 @@ def dataset_summary(df: DataFrame, label: str) -> DataFrame:
 
 
 def dictionary_document(df: DataFrame, ordinal: str, dataset: str, description: str,
-                        exclude: Sequence[str] = (), **limits: int) -> DataFrame:
+                        exclude: Sequence[str] = (), stats: DataFrame | None = None, **limits: int) -> DataFrame:
     """One row {dataset, description, fields[]}; the list has one entry per column."""
-    stats = definition_column(column_stats(df, ordinal, exclude, **limits), "column", "definition")
+    stats = column_stats(df, ordinal, exclude, **limits) if stats is None else stats
+    stats = definition_column(stats, "column", "definition")
     field = F.struct(
         "position", F.col("column").alias("term"), "definition", "type", "minimum", "maximum", "mean",
         "median", "range", unit_column(F.col("column")).alias("unit"), "std_dev", "count",

@@ -13,6 +13,8 @@ from tickwright.functions.times import canonical_time
 from tickwright.operators.sequence import SERIES, duplicate_run_lengths
 from tickwright.operators.wide import per_column
 
+# Array of the numeric columns' places whose cell in this row is no number.
+BAD_CELLS = "_bad_cells"
 # Counter name -> flag column.
 COUNTERS = {
     "row_length_mismatches": "flag_row_length_mismatch",
@@ -35,10 +37,11 @@ def qa_counts(flagged: DataFrame, ts: str = "ts", series: Sequence[str] = SERIES
 
 
 def duplicate_keys(flagged: DataFrame, ts: str = "ts", series: Sequence[str] = SERIES) -> DataFrame:
-    """Times that occur more than once, next to each other or not."""
+    """Times that occur more than once, next to each other or not, by the whole second."""
     parsed = flagged.filter(F.col(ts).isNotNull())
-    counted = parsed.groupBy(*series, ts).agg(F.count("*").alias("count")).filter("count > 1")
-    return counted.select(*series, canonical_time(F.col(ts)).alias("time"), "count")
+    second = F.date_trunc("second", F.col(ts).cast("timestamp_ntz")).alias("__second")
+    counted = parsed.groupBy(*series, second).agg(F.count("*").alias("count")).filter("count > 1")
+    return counted.select(*series, canonical_time(F.col("__second")).alias("time"), "count")
 
 
 def duplicate_examples(keys: DataFrame, n: int = 10, series: Sequence[str] = SERIES) -> DataFrame:
@@ -60,15 +63,34 @@ def count_cells(df: DataFrame, tests: dict[str, Column], series: Sequence[str] =
 
 
 def offending_columns(df: DataFrame, numeric: Sequence[str], series: Sequence[str] = SERIES) -> DataFrame:
-    """Numeric columns with cells that are no numbers, and how many."""
+    """Numeric columns with cells that are no numbers, and how many.
+
+    Where the rows carry the places of such cells, those are counted and nothing is parsed.
+    """
+    if BAD_CELLS in df.columns and numeric:
+        names = F.array(*[F.lit(c) for c in numeric])
+        found = df.select(*series, F.explode(BAD_CELLS).alias("at")).groupBy(*series, "at").agg(F.count("*").alias("bad_cells"))
+        return found.select(*series, names[F.col("at")].alias("column"), "bad_cells")
     counted = count_cells(df, {c: is_non_numeric(F.col(c)) for c in numeric}, series)
     return counted.filter("bad_cells > 0").drop("position")
 
 
 def qc_filter(df: DataFrame, flags: Sequence[str] = ("flag_duplicate_timestamp", "flag_time_gap_gt_expected")) -> DataFrame:
-    """Keep rows whose flags are all false; a missing flag drops the row as well."""
+    """Keep rows whose flags are all false; a missing flag drops the row as well.
+
+    Flags are booleans, 0/1 numbers as in the ML-ready table, or ``true``/``false`` text as in
+    the audit table; other text counts as missing.
+    """
+    kinds = dict(df.dtypes)
     for flag in flags:
-        df = df.filter(~F.col(flag))
+        if kinds[flag] == "boolean":
+            raised = F.col(flag)
+        elif kinds[flag] == "string":
+            word = F.lower(F.trim(F.col(flag)))
+            raised = F.when(word.isin("true", "1"), True).when(word.isin("false", "0"), False)
+        else:
+            raised = F.col(flag) != 0
+        df = df.filter(~raised)
     return df
 
 

@@ -57,18 +57,18 @@ def minmax_inverse(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> Dat
 def standard_params(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean and population deviation per column: (column, n, mean, std, scale).
 
-    ``scale`` is what values are divided by: 1 for a column that is constant, also when the
-    deviation left is no more than rounding noise for that many values of that size.
+    ``scale`` is what values are divided by: 1 for a column that is constant, or whose
+    deviation is rounding noise for values of that size, however many there are.
     """
     long = per_column(df, [
         F.struct(
             F.lit(c).alias("column"), F.count(numeric_column(c)).alias("n"),
-            F.avg(numeric_column(c)).alias("mean"), F.stddev_pop(numeric_column(c)).alias("std"))
+            F.avg(numeric_column(c)).alias("mean"), F.stddev_pop(numeric_column(c)).alias("std"),
+            (F.max(numeric_column(c)) - F.min(numeric_column(c))).alias("spread"))
         for c in columns
     ])
-    variance, noise = F.col("std") * F.col("std"), F.col("n") * F.lit(EPSILON)
-    constant = variance <= noise * variance + F.pow(noise * F.col("mean"), F.lit(2.0))
-    return long.withColumn("scale", F.when(constant, F.lit(1.0)).otherwise(F.col("std")))
+    constant = F.col("spread") <= F.lit(32 * EPSILON) * F.abs("mean")
+    return long.withColumn("scale", F.when(constant, F.lit(1.0)).otherwise(F.col("std"))).drop("spread")
 
 
 def robust_params(df: DataFrame, columns: Sequence[str], low: float = 10.0, high: float = 90.0,

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickwright.functions.times import plus_seconds
-from tickwright.operators.ordered import CHUNK_BITS, LEVELS, inherit_last, look_back, sorted_positions, with_chunk
+from tickwright.operators.ordered import CHUNK_BITS, LEVELS, inherit_last, join_series, look_back, sorted_positions, with_chunk
 
 SERIES = ("source_dataset",)
 FLAGS = (
@@ -33,13 +33,13 @@ def previous_valid_time(df: DataFrame, ts: str = "ts", name: str = "prev_valid_t
 def flag_sequence(df: DataFrame, cadence: Column | int, ts: str = "ts",
                   series: Sequence[str] = SERIES, ordinal: str = "ordinal",
                   bits: int = CHUNK_BITS, levels: int = LEVELS,
-                  initial: DataFrame | None = None) -> DataFrame:
+                  initial: DataFrame | None = None, name: str = "prev_valid_time") -> DataFrame:
     """Add the four time flags; they compare each row with the previous valid time.
 
     Steps count in whole seconds: less than one second either way is a repeat.
     """
-    seen = previous_valid_time(df, ts, "prev_valid_time", series, ordinal, bits, levels, initial)
-    now, before = F.col(ts), F.col("prev_valid_time")
+    seen = previous_valid_time(df, ts, name, series, ordinal, bits, levels, initial)
+    now, before = F.col(ts), F.col(name)
 
     def holds(condition: Column) -> Column:
         return F.coalesce(condition, F.lit(False))
@@ -73,7 +73,7 @@ def duplicate_run_groups(flagged: DataFrame, series: Sequence[str] = SERIES,
         F.max(F.when(~repeat, F.col(ordinal))).alias("__open"))
     inherited = inherit_last(ends, series, "__chunk", ["__open"], bits, levels)
     return (
-        parts.join(inherited, [*series, "__chunk"], "left")
+        join_series(parts, inherited, series, ["__chunk"])
         .withColumn("run_start", F.coalesce("__start", "__open"))
         .groupBy(*series, "run_start")
         .agg((F.sum("__repeats") + 1).alias("run_length"))

@@ -9,18 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickwright.config import SeriesConfig, SeriesRegistry
-from tickwright.functions.cells import (
-    any_of, as_number, encode_boolean, encode_state, flag_int, flag_text, is_non_numeric, normalize_word,
-)
-from tickwright.functions.names import HeaderField
+from tickwright.functions.cells import as_number, encode_boolean, encode_state, flag_int, flag_text, normalize_word
+from tickwright.functions.names import PUMP_STATE_FIELD, HeaderField, named
 from tickwright.functions.times import canonical_time, parse_time
-from tickwright.operators.quality import qa_summary
+from tickwright.operators.quality import BAD_CELLS, qa_summary
 from tickwright.operators.sequence import FLAGS, flag_sequence
-from tickwright.session import stage_table
-from tickwright.sources.delimited import ORDINAL, read_series
+from tickwright.session import Staged, delete_path, stage_table
+from tickwright.sources.delimited import ORDINAL, TIME, read_series
 from tickwright.sources.sinks import write_by_series, write_document
 
-TIME = "_ts"
+NUMBERS, ROW_ORDER = "_numbers", "row_order"
+_PREVIOUS = "_prev_valid_time"
 
 
 def numeric_fields(mapping: Sequence[HeaderField]) -> list[str]:
@@ -28,40 +27,53 @@ def numeric_fields(mapping: Sequence[HeaderField]) -> list[str]:
 
 
 def flag_rows(cells: DataFrame, mapping: Sequence[HeaderField], config: SeriesConfig) -> DataFrame:
-    """Parse the time and add all six flags; cells stay text and no row is dropped."""
-    bad_number = any_of([is_non_numeric(F.col(c)) for c in numeric_fields(mapping)])
-    parsed = cells.withColumns({
-        TIME: parse_time(F.col("time_raw"), config.time_format),
-        "flag_non_numeric_in_numeric_field": bad_number,
-    })
-    flagged = flag_sequence(parsed, config.expected_gap_seconds, TIME, ordinal=ORDINAL)
-    return flagged.drop("prev_valid_time")
+    """Parse time and numbers once and add all six flags; no row is dropped.
+
+    Numbers go into one array, ``_numbers``, and the places of cells that are none into
+    ``_bad_cells``, so that no output parses again and the size of the generated code does not
+    grow with the number of columns.  Text cells stay as they are.
+    """
+    numeric = numeric_fields(mapping)
+    texts = F.array(*[named(c) for c in numeric]) if numeric else F.array().cast("array<string>")
+    if TIME not in cells.columns:
+        cells = cells.withColumn(TIME, parse_time(F.col("time_raw"), config.time_format))
+    parsed = cells.withColumn(NUMBERS, F.transform(texts, as_number))
+    missed = F.zip_with(texts, F.col(NUMBERS), lambda text, number: (F.coalesce(text, F.lit("")) != "") & number.isNull())
+    bad = F.filter(F.transform(missed, lambda is_bad, at: F.when(is_bad, at)), lambda at: at.isNotNull())
+    flags = parsed.withColumn(BAD_CELLS, bad).withColumn("flag_non_numeric_in_numeric_field", F.size(BAD_CELLS) > 0)
+    flagged = flag_sequence(flags, config.expected_gap_seconds, TIME, ordinal=ORDINAL, name=_PREVIOUS)
+    return flagged.drop(_PREVIOUS)
 
 
 def audit_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame:
-    """Everything as text, states and booleans in lower case, flags ``true``/``false``."""
+    """Everything as text, states and booleans in lower case, flags ``true``/``false``; a pump
+    state is known by its name here.  ``row_order`` keeps the order of the file."""
 
     def cell(field: HeaderField) -> Column:
-        text = F.col(field.clean)
-        return (normalize_word(text) if field.role in ("boolean", "state") else text).alias(field.clean)
+        text = named(field.clean)
+        word = field.role in ("boolean", "state") or field.clean == PUMP_STATE_FIELD
+        return (normalize_word(text) if word else text).alias(field.clean)
 
     return flagged.select(
-        "source_dataset", "time_raw", canonical_time(F.col(TIME)).alias("time"),
+        "source_dataset", F.col(ORDINAL).alias(ROW_ORDER), "time_raw", canonical_time(F.col(TIME)).alias("time"),
         *[cell(field) for field in mapping if field.role != "time"],
         *[flag_text(F.col(f)).alias(f) for f in FLAGS],
     )
 
 
 def ml_ready_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame:
-    """Numbers as doubles, states and booleans as 1/0/NULL, flags 1/0; no raw time or index."""
+    """Numbers as doubles, states and booleans as 1/0/NULL, flags 1/0; no raw time or index.
+    ``row_order`` keeps the order of the file."""
+    place = {clean: at for at, clean in enumerate(numeric_fields(mapping))}
 
     def cell(field: HeaderField) -> Column:
-        text = F.col(field.clean)
-        coded = {"numeric": as_number, "boolean": encode_boolean, "state": encode_state}[field.role](text)
+        if field.role == "numeric":
+            return F.col(NUMBERS)[place[field.clean]].alias(field.clean)
+        coded = {"boolean": encode_boolean, "state": encode_state}[field.role](named(field.clean))
         return coded.alias(field.clean)
 
     return flagged.select(
-        "source_dataset", canonical_time(F.col(TIME)).alias("time"),
+        "source_dataset", F.col(ORDINAL).alias(ROW_ORDER), canonical_time(F.col(TIME)).alias("time"),
         *[cell(field) for field in mapping if field.role not in ("time", "index")],
         *[flag_int(F.col(f)).alias(f) for f in FLAGS],
     )
@@ -81,20 +93,29 @@ class CleanResult:
     audit_path: str
     ml_path: str
     summary_path: str
+    staged: str = ""
+
+    def release(self) -> None:
+        """Delete the staged flagged rows; the written outputs stay."""
+        if self.staged:
+            delete_path(self.flagged.sparkSession, self.staged)
 
 
 def clean_series(spark: SparkSession, config: SeriesConfig, output: str, mode: str = "sample",
                  sample_rows: int = 1000, headers: Sequence[str] | None = None,
-                 multi_line: bool = False, fmt: str = "parquet") -> CleanResult:
+                 fmt: str = "parquet") -> CleanResult:
     """Clean one series and write its audit table, ML-ready table and QA summary.
 
     Flagged rows are staged once in shared storage.  The three outputs read only the columns
     they need from there; none of them repeats the parse or the sort, and a lost executor
-    costs no more than the tasks it was running.
+    costs no more than the tasks it was running.  All staged tables but the flagged rows are
+    deleted at the end, and those by ``release()`` on the result.
     """
     limit = sample_rows if mode == "sample" else None
-    cells, mapping = read_series(spark, config, headers=headers, multi_line=multi_line, row_limit=limit)
-    flagged = stage_table(flag_rows(cells, mapping, config), f"flagged-{config.name}")
+    with Staged(spark) as between:
+        cells, mapping = read_series(spark, config, headers=headers, row_limit=limit)
+        flagged = stage_table(flag_rows(cells, mapping, config), f"flagged-{config.name}")
+        kept = between.take_last()
 
     folder = f"{output}/data/{'cleaned' if mode == 'full' else mode}"
     qa_folder = f"{output}/qa" if mode == "full" else f"{output}/qa/{mode}"
@@ -108,7 +129,7 @@ def clean_series(spark: SparkSession, config: SeriesConfig, output: str, mode: s
         "output_path": F.lit(paths[0]), "ml_ready_output_path": F.lit(paths[1]), "header_mapping": pairs,
     })
     write_document(summary.withColumnRenamed("source_dataset", "dataset"), paths[2])
-    return CleanResult(flagged, mapping, *paths)
+    return CleanResult(flagged, mapping, *paths, staged=kept)
 
 
 def clean_all(spark: SparkSession, registry: SeriesRegistry, output: str, name: str = "all",

@@ -17,11 +17,13 @@ from tickwright.sources.tables import keep_columns
 def prepare_for_model(df: DataFrame, config: ScalerConfig, keep: Sequence[str], pressure: str, flow: str,
                       min_flow: float, min_pressure: float, ordinal: str = "ordinal",
                       series: Sequence[str] = ("source_dataset",),
-                      ratio_places: int | None = 2) -> tuple[DataFrame, ScalerModel]:
+                      ratio_places: int | None = 2, output: str | None = None) -> tuple[DataFrame, ScalerModel]:
     """Drop flagged rows, keep the named columns, add features, scale.
 
     Features come after the filter, so a change ratio never spans a dropped repeat.  The
-    engineered table is staged, since fitting reads it several times.
+    engineered table is staged, since fitting reads it several times.  ``df`` can be what the
+    cleaning flow wrote (ordinal ``row_order``); with ``output`` the scaled rows are written
+    there as parquet and read from there.
     """
     reduced = qc_filter(keep_columns(df, keep))
     ratio = config.ratio_columns[0] if config.ratio_columns else "delta_P_delta_Q"
@@ -30,4 +32,8 @@ def prepare_for_model(df: DataFrame, config: ScalerConfig, keep: Sequence[str],
     engineered = add_state_flags(engineered, flow, pressure, min_flow, min_pressure, injecting, producing)
     engineered = stage_table(engineered, "engineered")
     model = fit_scaler(engineered, config)
-    return model.transform(engineered), model
+    scaled = model.transform(engineered)
+    if output is not None:
+        scaled.write.mode("overwrite").parquet(output)
+        scaled = df.sparkSession.read.schema(scaled.schema).parquet(output)
+    return scaled, model

@@ -38,6 +38,34 @@ def stage_path(spark: SparkSession, label: str) -> str:
     return f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is in."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+class Staged:
+    """Owner of the tables staged inside a ``with`` block: they are deleted when it ends."""
+
+    _open: list[Staged] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Staged:
+        Staged._open.append(self)
+        return self
+
+    def take_last(self) -> str:
+        """The path staged last, which the caller then owns."""
+        return self.paths.pop()
+
+    def __exit__(self, *_) -> None:
+        Staged._open.remove(self)
+        for path in self.paths:
+            delete_path(self.spark, path)
+
+
 def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
@@ -46,6 +74,8 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
     """
     spark = df.sparkSession
     path = stage_path(spark, label)
+    if Staged._open:
+        Staged._open[-1].paths.append(path)
     writer = df.write.mode("errorifexists").option("maxRecordsPerFile", 0)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -3,125 +3,199 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickwright.config import SeriesConfig
 from tickwright.functions.cells import strip
 from tickwright.functions.names import BYTE_ORDER_MARK, HeaderField, header_mapping
+from tickwright.functions.times import parse_time
+from tickwright.operators.ordered import look_back
 from tickwright.session import stage_table
 
 ORDINAL = "_ordinal"
 MISMATCH = "flag_row_length_mismatch"
+TIME = "_ts"
 _CORRUPT = "_corrupt"
 # Quotes inside quoted cells are doubled; the corrupt column marks short and long rows.
 _OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT,
             "maxCharsPerColumn": "-1", "maxColumns": "100000"}
 # monotonically_increasing_id() numbers the records of a task in its low 33 bits.
 _RECORD_BITS = 33
-# File splits start further apart than this, so no two splits share a slot of a file.
-_SLOT_BYTES = 1 << 20
-_MAX_BROADCAST_FILES = 1_000_000
+_SPLIT = ["_file", "_block"]
+# A whole quoted cell, and a quote that opens one.
+_QUOTED_CELL = r'(^|,)"(?:[^"]++|"")*+"[^,]*+'
+_OPENING = r'(^|,)"'
+# A cell longer than this is an unclosed quote, not data.
+_LONGEST_RECORD = 131_072
+# Up to so many rows, a sample's lines are taken by the driver, which stops the scan early.
+_DRIVER_SAMPLE = 100_000
+
+
+def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Every line with its file, the start of its split and its number in the reading task."""
+    record = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _RECORD_BITS) - 1))
+    return spark.read.text(path if isinstance(path, str) else list(path)).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        record.alias("_record"))
 
 
-def _check_split_size(spark: SparkSession) -> None:
-    for key in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
-        digits = spark.conf.get(key).lower().rstrip("b")
-        if digits.isdigit() and int(digits) < _SLOT_BYTES:
-            raise ValueError(f"{key} must be at least {_SLOT_BYTES} bytes to keep row order")
+def _place_rows(staged: DataFrame, header_lines: bool) -> DataFrame:
+    """Number staged lines from 0 over files by name, splits and lines; drop header lines.
 
+    A split's records are numbered one after another, so a row's place is its distance from the
+    split's first record plus the rows of all earlier splits.  That holds for splits of any
+    size and for tasks that read several.  The table of splits has one row per split.
+    """
+    splits = staged.groupBy(*_SPLIT).agg(F.min("_record").alias("_first"), F.count("*").alias("_n"))
+    earlier = W.orderBy(*_SPLIT).rowsBetween(W.unboundedPreceding, -1)
+    of_file = W.partitionBy("_file").orderBy("_block")
+    starts = splits.select(*_SPLIT, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
+                           (F.row_number().over(of_file) == 1).alias("_heads"))
+    placed = staged.join(starts, _SPLIT)
+    if header_lines:
+        placed = placed.filter(~F.col("_heads") | (F.col("_record") > F.col("_first")))
+    ordinal = F.col("_start") + F.col("_record") - F.col("_first")
+    return placed.withColumn(ORDINAL, ordinal).drop("_block", "_record", "_first", "_start", "_heads")
 
-def _place_rows(df: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Turn ``_file``, ``_block`` and ``_record`` into an ordinal.
 
-    The ordinal is (slot of the split over all files, record number within its task).  It
-    follows file names, then lines, and needs no pass to count rows and no shuffle.
-    """
-    slots = F.floor(F.col("_block") / _SLOT_BYTES).cast("long")
-    if len(paths) == 1:
-        base = F.lit(0).cast("long")
-    else:
-        listed = df.sparkSession.read.format("binaryFile").load(list(paths)).select(
-            F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
-        span = F.floor(F.col("_size") / _SLOT_BYTES).cast("long") + 1
-        earlier = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
-        files = listed.select("_file", F.coalesce(F.sum(span).over(earlier), F.lit(0)).alias("_base"))
-        # One row per file: broadcast while the listing is known to be short.
-        df = df.join(F.broadcast(files) if len(paths) <= _MAX_BROADCAST_FILES else files, "_file")
-        base = F.col("_base")
-    ordinal = F.shiftleft(base + slots, _RECORD_BITS) + F.col("_record")
-    return df.withColumn(ORDINAL, ordinal).drop("_block", "_record", "_base")
-
-
-def _drop_header_lines(staged: DataFrame, files: int) -> DataFrame:
-    """Without the first row of each file."""
-    if files == 1:
-        first = staged.agg(F.min(ORDINAL)).first()[0]
-        return staged if first is None else staged.filter(F.col(ORDINAL) != first)
-    heads = staged.groupBy("_file").agg(F.min(ORDINAL).alias(ORDINAL)).select(ORDINAL)
-    return staged.join(heads, ORDINAL, "left_anti")
-
-
-def _coordinates() -> list:
-    record = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _RECORD_BITS) - 1))
-    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-            record.alias("_record")]
+def _ends_inside(line: Column) -> Column:
+    """Does a line that begins outside quotes end inside a quoted cell?"""
+    return line.contains('"') & F.regexp_replace(line, _QUOTED_CELL, "$1").rlike(_OPENING)
+
 
+def _joined_lines(placed: DataFrame) -> DataFrame:
+    """Put lines together whose quoted cell goes on in the next line.
 
-def read_header(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Header cells of the first file; one line is read."""
-    line = (
-        spark.read.text(paths[0])
-        .filter(F.col("_metadata.file_block_start") == 0).select("value").first()
-    )
-    if line is None:
-        raise ValueError(f"no header line in {paths[0]}")
-    return next(csv.reader([line["value"].removeprefix(BYTE_ORDER_MARK)]), [])
+    A line maps "begins inside quotes" to "ends inside quotes": it keeps it, flips it, or sets
+    it.  Where a line begins is the last setting before it and the number of flips since, and
+    both are look-backs.  A cell may not be longer than what a CSV reader takes.
+    """
+    outside = _ends_inside(F.col("value"))
+    inside = F.when(F.col("value").contains('"'), _ends_inside(F.concat(F.lit('"'), F.col("value")))).otherwise(F.lit(True))
+    mapped = stage_table(placed.select("_file", ORDINAL, "value", outside.alias("_out"), inside.alias("_in")), "quoted-lines")
+    sets = F.when(F.col("_out") == F.col("_in"), F.struct(F.col(ORDINAL).alias("at"), F.col("_out").alias("open")))
+    seen = look_back(mapped, {"_set": sets}, ["_file"], ORDINAL)
+    flips = (seen.filter("_out AND NOT _in")
+             .withColumn("_flips", F.row_number().over(W.partitionBy("_file", "_set.at").orderBy(ORDINAL)))
+             .select(ORDINAL, F.struct(F.col("_set.at").alias("at"), F.col("_flips").alias("n")).alias("_flip")))
+    flipped = look_back(seen.join(flips, ORDINAL, "left"), {"_last": F.col("_flip")}, ["_file"], ORDINAL)
+    count = F.when(F.col("_last.at").eqNullSafe(F.col("_set.at")) & F.col("_last").isNotNull(), F.col("_last.n")).otherwise(F.lit(0))
+    begins_inside = F.coalesce(F.col("_set.open"), F.lit(False)) != (count % 2 == 1)
+    started = stage_table(flipped.select("_file", ORDINAL, "value", begins_inside.alias("_inside")), "line-starts")
+    begun = look_back(started, {"_begun": F.when(~F.col("_inside"), F.col(ORDINAL))}, ["_file"], ORDINAL)
+    rows = begun.withColumn("_begun", F.when(F.col("_inside"), F.coalesce("_begun", ORDINAL)).otherwise(F.col(ORDINAL)))
+    lengths = rows.groupBy("_begun").agg(F.count("*").alias("_n"), F.sum(F.length("value") + 1).alias("_length")).filter("_n > 1")
+    if lengths.filter(F.col("_length") > _LONGEST_RECORD).limit(1).count():
+        raise ValueError(f"a quoted cell is not closed within {_LONGEST_RECORD} characters")
+    whole = (rows.join(lengths.select("_begun"), "_begun", "left_semi").groupBy("_file", "_begun")
+             .agg(F.sort_array(F.collect_list(F.struct(ORDINAL, "value"))).alias("_parts"))
+             .select("_file", F.col("_begun").alias(ORDINAL), F.array_join(F.col("_parts.value"), "\n").alias("value")))
+    single = rows.join(lengths.select("_begun"), "_begun", "left_anti").select("_file", ORDINAL, "value")
+    return single.unionByName(whole)
+
+
+def _drop_first(rows: DataFrame) -> DataFrame:
+    """Without the first record of each file, of which there is one row."""
+    heads = rows.groupBy("_file").agg(F.min(ORDINAL).alias("_head"))
+    return rows.join(heads, "_file").filter(F.col(ORDINAL) > F.col("_head")).drop("_head")
+
+
+def _files(spark: SparkSession, path: str | Sequence[str]) -> Iterator[str]:
+    """Paths by name, a few at a time; their contents are not read."""
+    listed = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path")
+    return (row.path for row in listed.orderBy("path").toLocalIterator())
+
+
+def _first_lines(spark: SparkSession, file: str, records: int) -> list[str]:
+    """The lines that hold the first ``records`` records of a file.  Taking lines reads the
+    first splits alone."""
+    wanted = records
+    while True:
+        lines = [row.value for row in spark.read.text(file).take(wanted)]
+        reader = csv.reader(line + "\n" for line in lines)
+        found = 0
+        while found < records and next(reader, None) is not None:
+            found += 1
+        if len(lines) < wanted:
+            return lines[:reader.line_num] if found == records else lines
+        if found == records and reader.line_num < wanted:
+            return lines[:reader.line_num]
+        if found == records and reader.line_num == wanted and not _open_at_end(lines):
+            return lines
+        wanted *= 2
+
+
+def _open_at_end(lines: Sequence[str]) -> bool:
+    """Would the last record go on in the next line?"""
+    return list(csv.reader([*(line + "\n" for line in lines), '"'])) == list(csv.reader(line + "\n" for line in lines))
+
+
+def read_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """Header cells of the first file that has any; cells may hold line breaks."""
+    for file in _files(spark, path):
+        lines = _first_lines(spark, file, 1)
+        if lines:
+            lines[0] = lines[0].removeprefix(BYTE_ORDER_MARK)
+            return next(csv.reader(line + "\n" for line in lines), [])
+    raise ValueError(f"no header line in {path}")
+
+
+def _sample_lines(spark: SparkSession, path: str | Sequence[str], rows: int, header_lines: bool) -> DataFrame:
+    """The lines of the first ``rows`` records, as :func:`_lines` gives them."""
+    taken: list[tuple[str, str, int, int]] = []
+    left = rows
+    for number, file in enumerate(_files(spark, path)):
+        lines = _first_lines(spark, file, left + header_lines)
+        taken += [(value, f"{number:09d}", 0, at) for at, value in enumerate(lines)]
+        left -= max(0, sum(1 for _ in csv.reader(line + "\n" for line in lines)) - header_lines)
+        if left <= 0:
+            break
+    return spark.createDataFrame(taken, "value string, _file string, _block long, _record long")
 
 
 def read_cells(spark: SparkSession, path: str | Sequence[str], headers: Sequence[str] | None = None,
-               multi_line: bool = False, row_limit: int | None = None) -> tuple[DataFrame, list[str]]:
-    """Every cell as text: columns ``c0..``, the ordinal and the row-length flag.
+               row_limit: int | None = None, time: tuple[str, str] | None = None) -> tuple[DataFrame, list[str]]:
+    """Every cell as trimmed text: columns ``c0..``, the ordinal and the row-length flag.
 
-    Short rows are padded with blanks, long rows cut.  Lines are parsed one by one, so blank
-    lines stay rows and large files are split.  ``multi_line=True`` takes cells that contain
-    line breaks; Spark then reads each file in one task and leaves blank lines out.
-    With ``headers`` given, the files have no header line.  ``row_limit`` keeps the first rows.
+    Short rows are padded with blanks, long rows cut.  Blank lines stay rows, quoted cells may
+    hold line breaks, and large files are split; files in which no quote stays open at a line's
+    end, which is seen while cells are staged, are never gone through again.  With ``headers``
+    given, the files have no header line.  ``row_limit`` keeps the first rows and reads no
+    further than needed.  ``time`` (header, format) adds the parsed time as ``_ts``.
 
-    Record numbers belong to one planning of the scan, so the cells are staged once with
-    their ordinal; later steps also read single columns of it instead of whole lines.
+    Record numbers belong to one planning of the scan, so cells are staged once with them,
+    trimmed and parsed; later steps read single columns of that table instead of whole lines.
     """
-    _check_split_size(spark)
-    paths = sorted(spark.read.text(path if isinstance(path, str) else list(path)).inputFiles())
-    if not paths:
-        raise FileNotFoundError(f"no input files at {path}")
-    names = list(headers) if headers is not None else read_header(spark, paths)
+    names = list(headers) if headers is not None else read_header(spark, path)
     fields = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{f} string" for f in [*fields, _CORRUPT])
-    header_lines = headers is None and not multi_line
-
-    if multi_line:
-        source = spark.read.options(**_OPTIONS).schema(schema).csv(paths, header=headers is None, multiLine=True)
-        placed = _place_rows(source.select("*", *_coordinates()), paths)
-    else:
-        placed = _place_rows(spark.read.text(paths).select("value", *_coordinates()), paths)
-    if row_limit is not None:
-        placed = first_rows(placed, row_limit + (len(paths) if header_lines else 0), ORDINAL)
-    if multi_line:
-        mismatch = F.col(_CORRUPT).isNotNull()
+    header_lines = headers is None
+    if row_limit is not None and row_limit <= _DRIVER_SAMPLE:
+        lines = stage_table(_sample_lines(spark, path, row_limit, header_lines), "sample-lines")
     else:
-        parsed = placed.withColumn("_cells", F.from_csv("value", F.lit(schema), _OPTIONS))
-        placed = parsed.select("value", "_file", ORDINAL, "_cells.*")
+        lines = _lines(spark, path)
+
+    def parsed(rows: DataFrame) -> DataFrame:
+        split = rows.withColumn("_cells", F.from_csv("value", F.lit(schema), _OPTIONS))
         # The parser leaves the corrupt column empty for a line without any text.
-        mismatch = F.col(_CORRUPT).isNotNull() | (F.col("value") == "")
-    blanks = [F.coalesce(F.col(f), F.lit("")).alias(f) for f in fields]
-    kept = ["_file"] if header_lines and len(paths) > 1 else []
-    staged = stage_table(placed.select(*kept, ORDINAL, *blanks, mismatch.alias(MISMATCH)), "cells")
-    rows = _drop_header_lines(staged, len(paths)) if header_lines else staged
-    cells = rows.select(ORDINAL, *fields, MISMATCH)
+        mismatch = F.col(f"_cells.{_CORRUPT}").isNotNull() | (F.col("value") == "")
+        texts = F.transform(F.array(*[F.coalesce(f"_cells.{f}", F.lit("")) for f in fields]), strip)
+        kept = [c for c in rows.columns if c != "value"]
+        shaped = split.select(*kept, texts.alias("_texts"), mismatch.alias(MISMATCH), _ends_inside(F.col("value")).alias("_opens"))
+        when = [parse_time(F.col("_texts")[names.index(time[0])], time[1]).alias(TIME)] if time and time[0] in names else []
+        return shaped.select(*kept, *[F.col("_texts")[i].alias(f) for i, f in enumerate(fields)], MISMATCH, "_opens", *when)
+
+    staged = stage_table(parsed(lines), "cells")
+    if staged.filter("_opens").limit(1).count():
+        whole = _joined_lines(_place_rows(stage_table(lines, "lines"), False))
+        rows = stage_table(parsed(_drop_first(whole) if header_lines else whole), "cells")
+    else:
+        rows = _place_rows(staged, header_lines)
+    cells = rows.select(ORDINAL, *fields, MISMATCH, *([TIME] if TIME in rows.columns else []))
     return (first_rows(cells, row_limit) if row_limit is not None else cells), names
 
 
@@ -135,19 +209,23 @@ def repair_row_shape(df: DataFrame, cells: str, width: int) -> DataFrame:
 
 
 def read_series(spark: SparkSession, config: SeriesConfig, path: str | Sequence[str] | None = None,
-                headers: Sequence[str] | None = None, multi_line: bool = False,
+                headers: Sequence[str] | None = None,
                 row_limit: int | None = None) -> tuple[DataFrame, list[HeaderField]]:
     """One configured series: trimmed cells under clean names, and the header mapping.
 
-    The time cell is called ``time_raw``.  ``row_limit`` keeps the first rows in file order.
+    The time cell is called ``time_raw``, its parsed form ``_ts``.  ``row_limit`` keeps the
+    first rows in file order.
     """
-    cells, names = read_cells(spark, path or config.path, headers, multi_line, row_limit)
+    cells, names = read_cells(spark, path or config.path, headers, row_limit, ("Time", config.time_format))
     mapping = header_mapping(names, config)
-    renamed = [
-        strip(F.col(f"c{i}")).alias("time_raw" if field.role == "time" else field.clean)
-        for i, field in enumerate(mapping)
-    ]
-    return cells.select(F.lit(config.name).alias("source_dataset"), ORDINAL, *renamed, MISMATCH), mapping
+    renamed = [F.col(f"c{i}").alias("time_raw" if field.role == "time" else field.clean) for i, field in enumerate(mapping)]
+    return cells.select(F.lit(config.name).alias("source_dataset"), ORDINAL, TIME, *renamed, MISMATCH), mapping
+
+
+def read_named(spark: SparkSession, path: str | Sequence[str], row_limit: int | None = None) -> DataFrame:
+    """Trimmed cells under the file's own headers, with the ordinal."""
+    cells, names = read_cells(spark, path, None, row_limit)
+    return cells.select(ORDINAL, *[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
 
 
 def first_rows(df: DataFrame, n: int = 1000, ordinal: str = ORDINAL) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tickwright.functions.cells import as_number, strip
 from tickwright.functions.names import named
 from tickwright.operators.wide import per_column
+from tickwright.sources.delimited import ORDINAL, read_named
 
 # Cell texts that a typed load takes as missing.
 MISSING_TEXTS = (
@@ -28,14 +29,15 @@ FALSE_TEXTS = ("False", "FALSE", "false")
 def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Read a table by its suffix: .csv (typed by its values), .parquet or .json.
 
-    Types are found with one aggregate over the file; give ``schema`` to skip that pass.
+    Cells can hold line breaks.  Cells of a text file are staged once and their types found
+    there; give ``schema`` to skip that, at the price of one task per file.
     """
     suffix = PurePosixPath(path.rstrip("/")).suffix.lower()
     try:
         if suffix == ".csv":
             if schema is not None:
-                return spark.read.csv(path, header=True, schema=schema, escape='"')
-            return infer_types(spark.read.csv(path, header=True, escape='"'))
+                return spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=True)
+            return infer_types(read_named(spark, path).drop(ORDINAL))
         if suffix == ".parquet":
             return (spark.read.schema(schema) if schema else spark.read).parquet(path)
         if suffix == ".json":
