@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.llm.bpe import Memory
-from tickwright.llm.common import in_batches, remainder, texts
+from tickwright.llm.common import in_batches, remainder, stage, texts
 
 MOST_LABELLED = 20_000
 MOST_TERMS = 500
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED,
 
     Without labelled rows nothing is learned and every score is near 0.
     """
-    sample = _labelled(docs, labels, most_labelled)
+    sample = stage(_labelled(docs, labels, most_labelled), "labelled")
     terms = learn_terms(sample, most_terms)
     if not terms:
         return ToxicityModel([])
