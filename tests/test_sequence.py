@@ -128,3 +128,14 @@ def test_delta_ratio_matches_a_loop(spark, bits, levels):
                 ratio = (p - before[0]) / (q - before[1])
             assert got[name, i] == ratio
             before = (p, q)
+
+
+def test_a_null_series_is_a_series(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(None, i, start + timedelta(seconds=60 * (i // 10))) for i in range(10)] + [("a", i, start) for i in range(3)]
+    df = spark.createDataFrame(rows, "source_dataset string, ordinal long, ts timestamp_ntz")
+    flagged = sequence.flag_sequence(df, 600, bits=1)
+    counts = {r[0]: r[1] for r in flagged.groupBy("source_dataset").agg(F.count_if("flag_duplicate_timestamp")).collect()}
+    assert counts == {None: 9, "a": 2}
+    runs = {tuple(r) for r in sequence.duplicate_run_lengths(flagged, bits=1).collect()}
+    assert runs == {(None, 10, 1), ("a", 3, 1)}

@@ -214,7 +214,7 @@ def test_from_dirty_file_to_scaled_rows(spark, tmp_path):
                                              ordinal="row_order", output=out)
     assert scaled.count() == 20 == spark.read.parquet(out).count()
     order = [r["row_order"] for r in scaled.orderBy("row_order").collect()]
-    assert order == [*range(10), *range(11, 21)]
+    assert order == [*range(1, 11), *range(12, 22)]  # the header is line 0
     audit = spark.read.parquet(result.audit_path)
     from tickwright.operators.quality import qc_filter
     assert qc_filter(audit).count() == qc_filter(written).count() == 20
@@ -364,7 +364,7 @@ def test_dictionary_flow(spark, tmp_path):
     assert list(rows) == ["Time", "Net Flow", "Valve", "Note v1.0"]
     flow = rows["Net Flow"]
     assert (flow["type"], flow["minimum"], flow["mean"], flow["median"], flow["range"], flow["unit"]) == (
-        "integer", "1.000000", "4.000000", "3.000000", "7.000000", "L/min")
+        "integer", "1", "4", "3", "7", "L/min")
     assert flow["definition"] == "Injection water flow rate from Triplex pump."
     assert float(flow["std_dev"]) == pytest.approx(3.605551)
     time = rows["Time"]
@@ -380,6 +380,36 @@ def test_dictionary_flow(spark, tmp_path):
     assert document["fields"][1]["mean"] == 4.0 and document["fields"][0]["mean"] is None
 
 
+def test_dictionary_follows_files_lines_and_formats(spark, tmp_path):
+    """First-seen order is that of files by name; a cell may hold a line break; own time formats."""
+    folder = tmp_path / "logs.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('When,Note,N\n1/2/24 3:04:05,"first\nline",9007199254740993\n')
+    (folder / "b.csv").write_text("When,Note,N\n" + "".join(f"1/{d % 28 + 1}/24 0:0:0,second,{9007199254740992 + d % 2}\n" for d in range(2000)))
+    dictionary.build_dictionary(spark, str(folder), str(tmp_path / "out"), formats=["%m/%d/%y %H:%M:%S"])
+    rows = {r["term"]: r for r in spark.read.parquet(str(tmp_path / "out/data_dictionary")).collect()}
+    assert rows["Note"]["example_values"] == "first\nline, second"
+    assert rows["When"]["type"] == "datetime" and rows["When"]["minimum"].startswith("2024-01-01")
+    assert (rows["N"]["minimum"], rows["N"]["maximum"], rows["N"]["range"], rows["N"]["unique_count"]) == (
+        "9007199254740992", "9007199254740993", "1", 2)
+    assert rows["Note"]["count"] == 2001
+
+
+def test_small_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([(0.0, 1), (2e-9, 2)], "x double, _o int")
+    terms, _ = dictionary.profile_table(df, "x", "_o")
+    row = terms.first()
+    assert float(row["Maximum"]) == 2e-9 and float(row["Mean"]) == 1e-9 and row["Minimum"] == "0"
+
+
+def test_named_reads_keep_text_and_skip_blank_lines(spark, tmp_path):
+    path = tmp_path / "n.csv"
+    path.write_text("a,,a\n x ,1,2\n\ny,,3\n")
+    df = delimited.read_named(spark, str(path), trim=False)
+    assert df.columns == [delimited.ORDINAL, "a", "Unnamed: 1", "a.1"]
+    assert [tuple(r)[1:] for r in df.orderBy(delimited.ORDINAL).collect()] == [(" x ", "1", "2"), ("y", "", "3")]
+
+
 def test_profile_table_uses_scan_order(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",)], "t string").coalesce(1)
     terms, summary = dictionary.profile_table(df, "x")

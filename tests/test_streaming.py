@@ -34,6 +34,30 @@ def test_flags_over_batches_equal_the_batch_result(spark, tmp_path):
     assert got == want
 
 
+def test_runs_over_batches_equal_the_batch_result(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    steps = [0, 0, 0, 600, 0, 0, None, 0, 600, 0, 0, 0, 0, 600, 600, 0]
+    rows, clock = [], 0
+    for i, step in enumerate(steps * 3):
+        clock += step or 0
+        rows.append(("a" if i % 7 else None, i, None if step is None else start + timedelta(seconds=clock), 1.0))
+    flagger = StreamFlagger(str(tmp_path / "flags"), 600)
+    edges = [0, 3, 4, 11, 12, 30, len(rows)]
+    for epoch, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+        for _ in range(2):  # each batch twice
+            flagger.process(spark.createDataFrame(rows[low:high], SCHEMA), epoch)
+    flagged = sequence.flag_sequence(spark.createDataFrame(rows, SCHEMA), 600)
+    want = {tuple(r) for r in sequence.duplicate_run_lengths(flagged).select("source_dataset", "run_length", "runs").collect()}
+    assert {tuple(r) for r in flagger.run_lengths(spark).select("source_dataset", "run_length", "runs").collect()} == want
+
+
+def test_batches_out_of_order_are_an_error(spark, tmp_path):
+    rows, flagger = feed_rows(40), StreamFlagger(str(tmp_path / "flags"), 600)
+    flagger.process(spark.createDataFrame(rows[20:], SCHEMA), 0)
+    with pytest.raises(ValueError, match="order"):
+        flagger.process(spark.createDataFrame(rows[:20], SCHEMA), 1)
+
+
 def test_a_batch_run_twice_changes_nothing(spark, tmp_path):
     rows, flagger = feed_rows(60), StreamFlagger(str(tmp_path / "flags"), 600)
     batches = [spark.createDataFrame(rows[:30], SCHEMA), spark.createDataFrame(rows[30:], SCHEMA)]

@@ -47,7 +47,7 @@ def flag_rows(cells: DataFrame, mapping: Sequence[HeaderField], config: SeriesCo
 
 def audit_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame:
     """Everything as text, states and booleans in lower case, flags ``true``/``false``; a pump
-    state is known by its name here.  ``row_order`` keeps the order of the file."""
+    state is known by its name here.  ``row_order`` is the record's place in the file."""
 
     def cell(field: HeaderField) -> Column:
         text = named(field.clean)
@@ -63,7 +63,7 @@ def audit_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame
 
 def ml_ready_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame:
     """Numbers as doubles, states and booleans as 1/0/NULL, flags 1/0; no raw time or index.
-    ``row_order`` keeps the order of the file."""
+    ``row_order`` is the record's place in the file."""
     place = {clean: at for at, clean in enumerate(numeric_fields(mapping))}
 
     def cell(field: HeaderField) -> Column:

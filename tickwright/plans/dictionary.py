@@ -42,7 +42,7 @@ def build_dictionary(spark: SparkSession, path: str | Sequence[str], output: str
     label = path if isinstance(path, str) else ", ".join(path)
     with Staged(spark):
         if label.rstrip("/").lower().endswith(".csv"):
-            typed, ordinal = infer_types(read_named(spark, path)), ORDINAL
+            typed, ordinal = infer_types(read_named(spark, path, trim=False)), ORDINAL
         else:
             typed = load_table(spark, path)
             typed, ordinal = stage_table(typed.withColumn(ROW, F.monotonically_increasing_id()), "profile"), ROW

@@ -158,8 +158,10 @@ def _sample_lines(spark: SparkSession, path: str | Sequence[str], rows: int, hea
 
 
 def read_cells(spark: SparkSession, path: str | Sequence[str], headers: Sequence[str] | None = None,
-               row_limit: int | None = None, time: tuple[str, str] | None = None) -> tuple[DataFrame, list[str]]:
-    """Every cell as trimmed text: columns ``c0..``, the ordinal and the row-length flag.
+               row_limit: int | None = None, time: tuple[str, str] | None = None,
+               trim: bool = True) -> tuple[DataFrame, list[str]]:
+    """Every cell as text, trimmed unless ``trim`` is off: columns ``c0..``, the ordinal and the
+    row-length flag.
 
     Short rows are padded with blanks, long rows cut.  Blank lines stay rows, quoted cells may
     hold line breaks, and large files are split; files in which no quote stays open at a line's
@@ -183,7 +185,8 @@ def read_cells(spark: SparkSession, path: str | Sequence[str], headers: Sequence
         split = rows.withColumn("_cells", F.from_csv("value", F.lit(schema), _OPTIONS))
         # The parser leaves the corrupt column empty for a line without any text.
         mismatch = F.col(f"_cells.{_CORRUPT}").isNotNull() | (F.col("value") == "")
-        texts = F.transform(F.array(*[F.coalesce(f"_cells.{f}", F.lit("")) for f in fields]), strip)
+        texts = F.array(*[F.coalesce(f"_cells.{f}", F.lit("")) for f in fields])
+        texts = F.transform(texts, strip) if trim else texts
         kept = [c for c in rows.columns if c != "value"]
         shaped = split.select(*kept, texts.alias("_texts"), mismatch.alias(MISMATCH), _ends_inside(F.col("value")).alias("_opens"))
         when = [parse_time(F.col("_texts")[names.index(time[0])], time[1]).alias(TIME)] if time and time[0] in names else []
@@ -222,10 +225,20 @@ def read_series(spark: SparkSession, config: SeriesConfig, path: str | Sequence[
     return cells.select(F.lit(config.name).alias("source_dataset"), ORDINAL, TIME, *renamed, MISMATCH), mapping
 
 
-def read_named(spark: SparkSession, path: str | Sequence[str], row_limit: int | None = None) -> DataFrame:
-    """Trimmed cells under the file's own headers, with the ordinal."""
-    cells, names = read_cells(spark, path, None, row_limit)
-    return cells.select(ORDINAL, *[F.col(f"c{i}").alias(name) for i, name in enumerate(names)])
+def read_named(spark: SparkSession, path: str | Sequence[str], row_limit: int | None = None, trim: bool = True) -> DataFrame:
+    """Cells under the file's own headers, with the ordinal; blank lines are left out.
+
+    A header without text is called ``Unnamed: <place>``, a repeated one ``<name>.<count>``.
+    """
+    cells, names = read_cells(spark, path, None, row_limit, trim=trim)
+    given: dict[str, int] = {}
+    columns = []
+    for i, name in enumerate(names):
+        name = name if name.strip() else f"Unnamed: {i}"
+        columns.append(f"{name}.{given[name]}" if name in given else name)
+        given[name] = given.get(name, 0) + 1
+    blank = F.col(MISMATCH) & F.forall(F.array(*[f"c{i}" for i in range(len(names))]), lambda c: c == "")
+    return cells.filter(~blank).select(ORDINAL, *[F.col(f"c{i}").alias(name) for i, name in enumerate(columns)])
 
 
 def first_rows(df: DataFrame, n: int = 1000, ordinal: str = ORDINAL) -> DataFrame:

@@ -37,7 +37,7 @@ def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         if suffix == ".csv":
             if schema is not None:
                 return spark.read.csv(path, header=True, schema=schema, escape='"', multiLine=True)
-            return infer_types(read_named(spark, path).drop(ORDINAL))
+            return infer_types(read_named(spark, path, trim=False).drop(ORDINAL))
         if suffix == ".parquet":
             return (spark.read.schema(schema) if schema else spark.read).parquet(path)
         if suffix == ".json":
