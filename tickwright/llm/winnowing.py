@@ -89,7 +89,7 @@ def fingerprint_entries(text: Column, gram: int = GRAM, window: int = WINDOW) ->
 
 
 def entry_hashes(entries: Column) -> Column:
-    return F.transform(entries, lambda e: F.shiftright(e, 31))
+    return F.transform(entries, lambda e: F.shiftright(e, 31).cast("int"))
 
 
 def entry_positions(entries: Column) -> Column:
@@ -144,17 +144,18 @@ def edited_fingerprints(df: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     Rows that share an id each give a row; their successor is the next different id, and where
     that id has several texts the smallest head stands for it.  A null id comes first.
     """
-    docs = texts(df)
+    docs = texts(df).select(F.struct("doc_id").alias("key"), "text")  # a struct, so that a null id joins
     half = F.floor(F.char_length("text") / 2).cast("int")
-    wanted = next_ids(docs.select("doc_id", half.alias("half"))).select("half", F.col("doc_id").alias("for_id"), F.col("next_id"))
-    heads = (docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("next_id")))
-             .select("for_id", F.struct(F.substring("text", F.lit(1), F.col("half")).alias("head"),
+    wanted = next_ids(docs.select("key.doc_id", half.alias("half"))).select(
+        "half", F.struct("doc_id").alias("for_key"), F.struct(F.col("next_id").alias("doc_id")).alias("next_key"))
+    heads = (docs.join(wanted, F.col("key") == F.col("next_key"))
+             .select("for_key", F.struct(F.substring("text", F.lit(1), F.col("half")).alias("head"),
                                         entry_hashes(fingerprint_entries(F.col("text"), gram, window)).alias("hashes")).alias("next"))
-             .groupBy("for_id").agg(F.min("next").alias("next")))
+             .groupBy("for_key").agg(F.min("next").alias("next")))
     n = F.char_length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.head"), F.lit(1), half))
-    joined = (docs.join(heads, F.col("doc_id").eqNullSafe(F.col("for_id")))
-              .select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("next.hashes").alias("next_hashes")))
+    joined = (docs.join(heads, F.col("key") == F.col("for_key"))
+              .select("key.doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("next.hashes").alias("next_hashes")))
     made = joined.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "next_hashes",
                          fingerprint_entries(F.col("text"), gram, window).alias("own"),
                          fingerprint_entries(F.col("edited"), gram, window).alias("other"))
