@@ -7,7 +7,8 @@ a key are candidates.
 Documents with equal shingle sets are merged before anything else.  In each bucket the members
 are compared with the bucket's smallest id, and the links found are put together into
 components.  A bucket is done when its members are in one component, since more links in it
-could change nothing.  In the others, eight times as many members as before are compared with
+could change nothing.  Sizes and sketches rule most unlike pairs out before any set is read.
+In the other buckets, eight times as many members as before are compared with
 all members of other components, until each has been: no bucket is capped, no candidate pair
 that could join two components is left out, and a bucket of near copies never becomes pairs.
 """
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.llm.bpe import Memory
@@ -28,8 +29,11 @@ from tickwright.llm.common import broadcast_if_small, in_batches, stage, texts
 from tickwright.llm.components import connected_components
 
 SHINGLE, PERCENT = 2, 80
-#: Tuples per collection and minhashes per tuple: 64 tables of 4 minhashes each from 32.
-SIDE, TUPLE = 8, 2
+#: Tuples per collection and minhashes per tuple: 100 tables of 6 minhashes each from 60.
+SIDE, TUPLE = 10, 3
+#: Minhashes that give two bits each to a document's sketch, and how many deviations below its
+#: expected agreement a linked pair's sketches may agree (once in a million pairs they don't).
+SKETCH, DEVIATIONS = 64, 4.8
 #: Factors of the mixing functions, odd and fixed.
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 _BLOCK = 1 << 15
@@ -62,8 +66,9 @@ def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
     return numbers[0] * np.uint64(2) + np.uint64(1), numbers[1]
 
 
-def minhash_tuples(shingles: np.ndarray, count: int, length: int) -> np.ndarray:
-    """``count`` tuples of ``length`` minhashes, each tuple hashed to one number."""
+def minhash_tuples(shingles: np.ndarray, count: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` tuples of ``length`` minhashes, each tuple hashed to one number, and a sketch:
+    two bits of each of the first minhashes, in two numbers."""
     factors, shifts = _factors(count * length)
     least = np.full(count * length, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), _BLOCK):
@@ -72,26 +77,48 @@ def minhash_tuples(shingles: np.ndarray, count: int, length: int) -> np.ndarray:
     keys = np.full(count, np.uint64(length), dtype=np.uint64)
     for part in least.reshape(count, length).T:
         keys = _mix(keys * _C1 + part * _C2)
-    return keys.view(np.int64)
+    bits = np.zeros(SKETCH, dtype=np.uint64)
+    bits[:min(SKETCH, len(least))] = (least[:SKETCH] >> np.uint64(30)) & np.uint64(3)
+    sketch = (bits.reshape(2, SKETCH // 2) << np.arange(0, SKETCH, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    return keys.view(np.int64), sketch.view(np.int64)
+
+
+def could_link(a: str, b: str, percent: int, minhashes: int) -> Column:
+    """Neither sizes nor sketches of two members rule a link out.  Sizes are exact; sketches
+    are off once in a million linked pairs."""
+    n = min(SKETCH, minhashes)
+    agree = 0.75 * percent / 100 + 0.25
+    differing = n - max(0, int(n * agree - DEVIATIONS * (n * agree * (1 - agree)) ** 0.5))
+
+    def count(half: str) -> Column:
+        bits = F.col(f"{a}.{half}").bitwiseXOR(F.col(f"{b}.{half}"))
+        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+
+    small, large = (f(F.col(f"{a}.n"), F.col(f"{b}.n")) for f in (F.least, F.greatest))
+    return (100 * small >= percent * large) & (count("s1") + count("s2") <= differing)
 
 
 def signatures(df: DataFrame, width: int = SHINGLE, side: int = SIDE, length: int = TUPLE) -> DataFrame:
-    """(doc_id, n_shingles, set_high, set_low, tuples): the set's 128-bit digest and both collections."""
+    """(doc_id, n_shingles, set_high, set_low, s1, s2, tuples): the set's 128-bit digest, its
+    sketch and both collections."""
 
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sizes, digests, tuples = [], [], []
+        sizes, digests, tuples, sketches = [], [], [], []
         for text in batch.column("text").to_pylist():
             own = shingle_set(text, width)
             sizes.append(len(own))
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            tuples.append(minhash_tuples(own, 2 * side, length))
+            keys, sketch = minhash_tuples(own, 2 * side, length)
+            tuples.append(keys)
+            sketches.append(sketch)
         ends = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * 2 * side, pa.int32()), pa.array(np.concatenate(tuples)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ends[:, 0]), pa.array(ends[:, 1]), lists],
-            names=["doc_id", "n_shingles", "set_high", "set_low", "tuples"])
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ends[:, 0]), pa.array(ends[:, 1]),
+             *map(pa.array, np.stack(sketches).T), lists],
+            names=["doc_id", "n_shingles", "set_high", "set_low", "s1", "s2", "tuples"])
 
-    return in_batches(texts(df), sign, "doc_id long, n_shingles long, set_high long, set_low long, tuples array<long>")
+    return in_batches(texts(df), sign, "doc_id long, n_shingles long, set_high long, set_low long, s1 long, s2 long, tuples array<long>")
 
 
 def _sets_of(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -127,31 +154,38 @@ def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     """
     signed = stage(signatures(df, width, side, length), "signatures")
     filled = signed.filter("n_shingles > 0")
-    classes = stage(filled.groupBy("set_high", "set_low").agg(F.min("doc_id").alias("id"), F.first("tuples").alias("tuples")), "classes")
+    classes = stage(filled.groupBy("set_high", "set_low").agg(
+        F.min("doc_id").alias("id"), F.first(F.struct(F.col("n_shingles").alias("n"), "s1", "s2")).alias("own"),
+        F.first("tuples").alias("tuples")), "classes")
     keys = F.flatten(F.transform(F.slice("tuples", 1, side), lambda u, i: F.transform(
         F.slice("tuples", side + 1, side), lambda v, j: F.xxhash64(u, v, i, j))))
-    entries = classes.filter("id IS NOT NULL").select("id", F.explode(keys).alias("key"))
+    # One exchange by key serves the count and the join with it; most keys have one document.
+    entries = classes.filter("id IS NOT NULL").select("id", F.explode(keys).alias("key")).repartition("key")
     buckets = entries.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = stage(entries.join(buckets, "key"), "buckets")
-    pairs = stage(members.filter("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    candidates = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    kept = stage(entries.join(buckets.hint("shuffle_hash"), "key"), "buckets")
+    linkable = could_link("own", "leading", percent, 2 * side * length)
+    own = classes.select("id", "own")
+    members = stage(kept.join(own, "id"), "members")
+    leading = members.join(own.select(F.col("id").alias("leader"), F.col("own").alias("leading")), "leader")
+    pairs = stage(leading.filter((F.col("id") > F.col("leader")) & linkable)
+                  .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    sets = _sets_of(df, broadcast_if_small(members.select("id").distinct(), "candidates", 500_000), width)
     classed = classes.select("id", "set_high")
-    sets = _sets_of(df, broadcast_if_small(candidates, "candidates", 500_000), width)
     sets = stage(sets.join(classed, ["id", "set_high"], "left_semi").dropDuplicates(["id"]), "sets")
     links = stage(_verified(pairs, sets, percent), "links")
     labels = connected_components(links)
     reach = 8
     while True:
         labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_buckets = (labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("n").alias("size"))
-                        .filter(f"low < high AND size > 2 AND size > {reach // 8}").select("key"))
-        left = stage(labelled.join(open_buckets, "key", "left_semi"), "open-buckets")
-        if left.limit(1).count() == 0:
+        open_buckets = stage(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("n").alias("size"))
+                             .filter(f"low < high AND size > 2 AND size > {reach // 8}").select("key"), "open-buckets")
+        if open_buckets.limit(1).count() == 0:
             break
         turn = F.pmod(F.xxhash64("id", "key"), F.col("n"))
         first = reach // 8 if reach > 8 else 0
-        leaders = left.filter((turn >= first) & (turn < reach)).select("key", F.col("id").alias("one"), F.col("label").alias("one_label"))
-        pairs = (left.join(leaders, "key").filter("label <> one_label")
+        leaders = (labelled.filter((turn >= first) & (turn < reach)).join(open_buckets, "key", "left_semi").select(
+            "key", F.col("id").alias("one"), F.col("label").alias("one_label"), F.col("own").alias("leading")))
+        pairs = (labelled.join(leaders, "key").filter((F.col("label") != F.col("one_label")) & linkable)
                  .select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).distinct())
         found = stage(_verified(pairs, sets, percent), "links")
         if found.limit(1).count():
@@ -160,6 +194,6 @@ def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
         reach *= 8
     kinds = classes.select("set_high", "set_low", "id").join(labels, "id", "left").select(
         "set_high", "set_low", F.coalesce("label", "id").alias("component"))
-    joined = signed.drop("tuples").join(kinds, ["set_high", "set_low"], "left")
+    joined = signed.drop("tuples", "s1", "s2").join(kinds, ["set_high", "set_low"], "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(component), F.lit(False)).alias("kept"))
