@@ -49,8 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 1024."""
-    return pack_documents(docs)
+    """Token pieces, of which the first may be shorter, and their places in sequences of 1024."""
+    return pack_documents(docs, first_short=True)
 
 
 STAGES = [("language", language), ("lines", lines), ("near", near), ("mix", mix), ("pack", pack)]

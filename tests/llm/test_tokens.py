@@ -11,8 +11,10 @@ import pytest
 from rows import TEXTS, empty_table, odd_rows, odd_table
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 from tickwright.llm import bpe, packing, token_counts
+from tickwright.llm.queries import QUERIES
 
 VOCABULARY = bpe.default_vocabulary()
 
@@ -103,6 +105,33 @@ def test_packing_of_odd_rows_is_a_round_trip(spark, library):
     assert packing.pack_documents(empty_table(spark)).count() == 0
 
 
+@pytest.mark.parametrize("path", ["query", "pipeline"])
+def test_first_piece_may_be_shorter(spark, library, path, tmp_path):
+    n = {doc_id: len(ids_of(library, text)) + 1 for doc_id, text in TEXTS.items()}
+    folder = str(tmp_path / "docs")
+    odd_table(spark).filter("doc_id IN (1, 5, 8, 9)").dropDuplicates(["doc_id"]).write.parquet(f"{folder}/documents.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = (QUERIES["op8_best_fit_packing"](spark, folder) if path == "query" else corpus_pipeline.pack(spark, docs, folder)).collect()
+    assert n[8] > 1024 and n[8] % 1024 and {r.doc_id for r in rows} == {1, 5, 8, 9}
+    for doc_id in (1, 5, 8, 9):
+        own = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.piece)
+        ids = np.array([*ids_of(library, TEXTS[doc_id]), packing.END_ID], dtype="<u4")
+        assert [r.length for r in own] == [n[doc_id] % 1024 or 1024] + [1024] * (len(own) - 1)
+        assert [r.start for r in own] == [sum(r.length for r in own[:at]) for at in range(len(own))]
+        assert sum(r.length for r in own) == n[doc_id]
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes()) for r in own)
+        assert all(r.offset + r.length <= 1024 for r in own)
+
+
+def test_bounds_of_pieces():
+    for n in range(1, 20):
+        for first_short in (False, True):
+            bounds = packing.piece_bounds(n, 5, first_short)
+            assert bounds[0][0] == 0 and bounds[-1][1] == n and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:], strict=False))
+            whole = bounds[1:] if first_short else bounds[:-1]
+            assert all(b - a == 5 for a, b in whole) and all(0 < b - a <= 5 for a, b in bounds)
+
+
 def test_packing_is_close_to_the_least_number_of_sequences(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = packing.pack_documents(docs).agg(F.sum("length").alias("tokens"), F.countDistinct("sequence_id").alias("n")).first()
