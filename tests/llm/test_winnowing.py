@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -10,6 +11,7 @@ import xxhash
 from rows import TEXTS, empty_table, odd_rows, odd_table
 
 from tickwright.llm import winnowing
+from tickwright.llm.queries import QUERIES
 
 
 def brute(text, gram=winnowing.GRAM, window=winnowing.WINDOW):
@@ -85,3 +87,43 @@ def test_edits_of_odd_rows(spark):
     assert len({r.fingerprint for r in rows if r.doc_id in (1, 2)}) == 1
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert winnowing.edited_fingerprints(empty_table(spark)).count() == 0
+
+
+def test_texts_without_white_space_share_passages(spark):
+    draw = random.Random(11)
+    for alphabet in ([chr(0x4E00 + i) for i in range(2000)], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        passage, before, after = ("".join(draw.choices(alphabet, k=n)) for n in (60, 37, 101))
+        changed = passage[:30] + "#" + passage[31:]
+        rows = [(1, passage), (2, before + passage + after), (3, f"some words {passage} {after}"), (4, changed), (5, after)]
+        found = {r.doc_id: set(r.hashes) for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found[1] & found[2] and found[1] & found[3] and found[1] & found[4] and not found[1] & found[5]
+        assert len(found[1]) >= 60 // 8 - 1
+
+
+def test_passages_of_385_characters_are_found(spark):
+    draw = random.Random(12)
+    rows, n = [], 40
+    for at in range(n):
+        longest = draw.choice([3, 9, 32, 33, 40, 500])
+        passage, size = "", 0
+        while size < 385:
+            word = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=min(draw.randint(1, longest), 385 - size)))
+            passage, size = passage + " " * bool(passage) + word, size + len(word)
+        for side in (0, 1):
+            around = ["".join(draw.choices("ABCDEFG ", k=draw.randint(0, 50))) for _ in range(2)]
+            rows.append((2 * at + side, around[0] + passage + around[1]))
+    found = {r.doc_id: set(r.hashes) for r in winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[2 * at] & found[2 * at + 1] for at in range(n))
+
+
+def test_query_finds_the_unchanged_half_of_short_texts(spark, tmp_path):
+    draw = random.Random(13)
+    texts = ["handkerchief", "an apple", "a quick brown fox", "it was a fine night for a cat of five", "QmFzZTY0IGlzIG5vdCB0ZXh0LCBidXQgaXQgaXM=",
+             "春眠不觉晓处处闻啼鸟夜来风雨声花落知多少", "Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich und noch einmal zurück bis an das Meer"]
+    texts += ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz    ", k=n)) for n in (4, 6, 30, 60, 120, 240)]
+    rows = [(at, text if at % 2 == 0 else "0123456789" * 30) for at in range(2 * len(texts)) for text in [texts[at // 2]]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in QUERIES["op1_winnowing"](spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
+    for at, text in enumerate(texts):
+        assert found[2 * at].near_edited > 0 and found[2 * at].near_next < 0.2, text

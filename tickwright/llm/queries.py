@@ -15,11 +15,11 @@ from tickwright.llm.packing import pack_documents
 from tickwright.llm.posting_lists import nearest
 from tickwright.llm.secret_scan import scan_secrets
 from tickwright.llm.token_counts import token_counts
-from tickwright.llm.winnowing import edited_fingerprints
+from tickwright.llm.winnowing import SHORT, edited_fingerprints
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edited_fingerprints(documents(spark, sf_dir))
+    return edited_fingerprints(documents(spark, sf_dir), short=SHORT)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
