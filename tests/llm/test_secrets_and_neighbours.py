@@ -68,6 +68,24 @@ def test_allow_list_touches_entropy_alone():
     assert secret_scan.find_secrets("/usr/share/documents/reports-and-papers/summer") == []
 
 
+@pytest.mark.parametrize("allowed", ["example", "sample", "dummy", "1234567890", "abcdefghij", "123e4567-e89b-12d3-a456-426614174000"])
+def test_allowed_word_far_from_a_key_leaves_it(allowed):
+    key = "f3A9kLm2Qx7Zt0Bv5Rw8Yd1Ns6"
+    for text in (f"//api.{allowed}.com/reset/{key}", f"{key}{'.aaa' * 20}.{allowed}", f"{allowed}{'/aa' * 30}.{key}.{'x/' * 30}{allowed}"):
+        at = text.index(key)
+        assert any(k == "entropy_alnum" and a <= at and at + len(key) <= b for a, k, b in secret_scan.find_secrets(text)), text
+
+
+def test_allowed_word_inside_a_long_blob_leaves_the_rest():
+    draw = random.Random(15)
+    blob = ["".join(draw.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=400)) for _ in range(2)]
+    spans = [(a, b) for a, kind, b in secret_scan.find_secrets(f"{blob[0]}sample{blob[1]}") if kind == "entropy_alnum"]
+    covered = {at for a, b in spans for at in range(a, b)}
+    reach = secret_scan.REACH
+    assert not covered & set(range(400 - reach, 406 + reach))
+    assert len(covered) > 0.9 * (800 - 2 * reach)
+
+
 def test_query_over_odd_rows(spark):
     found = secret_scan.scan_secrets(odd_table(spark)).collect()
     assert len(found) == len(odd_rows())

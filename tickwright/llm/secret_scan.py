@@ -4,7 +4,8 @@ Entropy is looked at only in candidate strings, the longest runs of characters t
 are written in.  Within a candidate each class has its own runs, window and threshold; the
 entropy of a sliding window follows from counts that change by one character in and one out.
 Windows over the threshold are joined into spans.  An allow-list suppresses what only looks
-random; it never touches the spans of the fixed patterns.
+random: of a span that overlaps it what lies within ``REACH``, or a candidate that is all names
+and paths.  It never touches the spans of the fixed patterns.
 """
 
 from __future__ import annotations
@@ -48,13 +49,16 @@ CLASSES = (
 )
 KINDS = ("assign", "access", "hex", *(c.kind for c in CLASSES))
 
-#: Strings that look random and are none: identifiers, examples, counting, names, paths.
+#: Strings that look random and are none: identifiers, examples, counting.
 ALLOW = tuple(re.compile(p) for p in (
     r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
     r"(?i)example|sample|placeholder|changeme|dummy|x{8,}",
     r"0123456789|1234567890|abcdefghij|ABCDEFGHIJ",
-    r"^(?:[A-Za-z]+[-_.=/+]+)+[A-Za-z]*$",
 ))
+#: Characters before and after an allowed string that it speaks for, about the length of a key.
+REACH = 40
+#: Names and paths; a whole candidate or nothing.
+ALLOW_WHOLE = re.compile(r"(?:[A-Za-z]+[-_.=/+]+)+[A-Za-z]*")
 
 
 def _runs(classes: tuple[CharacterClass, ...]) -> list[tuple[CharacterClass, re.Pattern]]:
@@ -87,6 +91,23 @@ def entropy_spans(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     return spans
 
 
+def spans_beside(run: str, allowed: list[tuple[int, int]], window: int, bits: float) -> list[tuple[int, int]]:
+    """``entropy_spans`` without what the allowed places of ``run`` suppress."""
+    spans = []
+    for start, end in entropy_spans(run, window, bits):
+        at = start
+        for begin, stop in sorted(place for place in allowed if start < place[1] and place[0] < end):
+            until = min(begin - REACH, end)
+            if until - at >= window:
+                spans += [(at + a, at + b) for a, b in entropy_spans(run[at:until], window, bits)]
+            at = max(at, stop + REACH)
+        if at == start:
+            spans.append((start, end))
+        elif end - at >= window:
+            spans += [(at + a, at + b) for a, b in entropy_spans(run[at:end], window, bits)]
+    return spans
+
+
 def find_secrets(text: str, classes: tuple[CharacterClass, ...] = CLASSES) -> list[tuple[int, str, int]]:
     """(start, kind, end) in code points, by start and then by kind as listed."""
     found: list[tuple[int, str, int]] = []
@@ -98,12 +119,15 @@ def find_secrets(text: str, classes: tuple[CharacterClass, ...] = CLASSES) -> li
             own, base = candidate[0], candidate.start()
             found += [(base + m.start(), "access", base + m.end()) for m in ACCESS.finditer(own) if m.end() - m.start() >= LEAST_ACCESS]
             found += [(base + m.start(), "hex", base + m.end()) for m in HEX.finditer(own)]
-            if any(pattern.search(own) for pattern in ALLOW):
+            if ALLOW_WHOLE.fullmatch(own):
                 continue
+            allowed = [m.span() for pattern in ALLOW for m in pattern.finditer(own)]
             for kind, pattern in _runs(classes):
                 for run in pattern.finditer(own):
-                    found += [(base + run.start() + start, kind.kind, base + run.start() + end)
-                              for start, end in entropy_spans(run[0], kind.window, kind.bits)]
+                    at = run.start()
+                    own_allowed = [(begin - at, stop - at) for begin, stop in allowed]
+                    found += [(base + at + start, kind.kind, base + at + end)
+                              for start, end in spans_beside(run[0], own_allowed, kind.window, kind.bits)]
     order = {kind: at for at, kind in enumerate(KINDS)}
     return sorted(found, key=lambda span: (span[0], order.get(span[1], len(order)), span[2]))
 
