@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickwright.llm import toxicity
 from tickwright.llm.common import documents
+from tickwright.llm.fill_middle import fill_in_middle, restored
 from tickwright.llm.language_id import identify_documents
 from tickwright.llm.line_dedup import dedup_lines
 from tickwright.llm.minhash import near_duplicates
@@ -79,6 +80,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(documents(spark, sf_dir))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_secret_scan": op2_secret_scan,
@@ -90,6 +97,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_counts": op10_token_counts,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 ORACLE = {
@@ -157,4 +165,25 @@ ORACLE = {
         SELECT doc_id, size, source_size, round(target, 6) AS target,
                (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
         FROM placed""",
+    "op12_fill_in_middle": r"""
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS text, list_transform(range(4), lambda g: list_reduce(
+                list_transform(range(8), lambda d: (instr('0123456789abcdef', substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), (8 * g + d + 1)::BIGINT, 1)) - 1)::BIGINT),
+                lambda x, y: 16 * x + y)) AS h
+            FROM documents),
+        units AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS u FROM drawn),
+        cut AS (
+            SELECT *, len(u)::BIGINT AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS low,
+                   greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS high,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+                        WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM units),
+        parts AS (
+            SELECT *, array_to_string(u[1:low], '') AS p, array_to_string(u[low + 1:high], '') AS m, array_to_string(u[high + 1:], '') AS s FROM cut)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+        FROM parts""",
 }
