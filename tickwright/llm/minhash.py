@@ -2,15 +2,13 @@
 
 Two collections of ``side`` short minhash tuples are computed.  A table's key is a pair of one
 tuple from each, so ``side * side`` tables cost only ``2 * side`` tuples.  Documents that share
-a key are candidates.
-
-Documents with equal shingle sets are merged before anything else.  In each bucket the members
-are compared with the bucket's smallest id, and the links found are put together into
-components.  A bucket is done when its members are in one component, since more links in it
-could change nothing.  Sizes and sketches rule most unlike pairs out before any set is read.
-In the other buckets, eight times as many members as before are compared with
-all members of other components, until each has been: no bucket is capped, no candidate pair
-that could join two components is left out, and a bucket of near copies never becomes pairs.
+a key are candidates: they have a tuple of either collection in common.  Keys are formed only of
+tuples that another document has too, so a document that is like no other forms hardly any.
+
+Documents with equal shingle sets are merged before anything else.  Candidates are verified on
+full sets in groups around the most typical document of each table's bucket (``groups.py``): no
+bucket is capped, no candidate pair that could join two components is left out, and a bucket of
+near copies never becomes pairs.
 """
 
 from __future__ import annotations
@@ -21,19 +19,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.llm.bpe import Memory
-from tickwright.llm.common import broadcast_if_small, in_batches, stage, texts
+from tickwright.llm.common import in_batches, stage, texts
 from tickwright.llm.components import connected_components
+from tickwright.llm.groups import BLOCK_ROWS, BLOCK_SHINGLES, grouped_links
+from tickwright.session import Staged
 
 SHINGLE, PERCENT = 2, 80
-#: Tuples per collection and minhashes per tuple: 100 tables of 6 minhashes each from 60.
-SIDE, TUPLE = 10, 3
-#: Minhashes that give two bits each to a document's sketch, and how many deviations below its
-#: expected agreement a linked pair's sketches may agree (once in a million pairs they don't).
-SKETCH, DEVIATIONS = 64, 4.8
+#: Tuples per collection and minhashes per tuple: 256 tables of 6 minhashes each from 96.
+SIDE, TUPLE = 16, 3
 #: Factors of the mixing functions, odd and fixed.
 _C1, _C2, _C3 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 _BLOCK = 1 << 15
@@ -66,9 +63,8 @@ def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
     return numbers[0] * np.uint64(2) + np.uint64(1), numbers[1]
 
 
-def minhash_tuples(shingles: np.ndarray, count: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """``count`` tuples of ``length`` minhashes, each tuple hashed to one number, and a sketch:
-    two bits of each of the first minhashes, in two numbers."""
+def minhash_tuples(shingles: np.ndarray, count: int, length: int) -> np.ndarray:
+    """``count`` tuples of ``length`` minhashes, each tuple hashed to one number."""
     factors, shifts = _factors(count * length)
     least = np.full(count * length, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(shingles), _BLOCK):
@@ -77,123 +73,84 @@ def minhash_tuples(shingles: np.ndarray, count: int, length: int) -> tuple[np.nd
     keys = np.full(count, np.uint64(length), dtype=np.uint64)
     for part in least.reshape(count, length).T:
         keys = _mix(keys * _C1 + part * _C2)
-    bits = np.zeros(SKETCH, dtype=np.uint64)
-    bits[:min(SKETCH, len(least))] = (least[:SKETCH] >> np.uint64(30)) & np.uint64(3)
-    sketch = (bits.reshape(2, SKETCH // 2) << np.arange(0, SKETCH, 2, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-    return keys.view(np.int64), sketch.view(np.int64)
-
-
-def could_link(a: str, b: str, percent: int, minhashes: int) -> Column:
-    """Neither sizes nor sketches of two members rule a link out.  Sizes are exact; sketches
-    are off once in a million linked pairs."""
-    n = min(SKETCH, minhashes)
-    agree = 0.75 * percent / 100 + 0.25
-    differing = n - max(0, int(n * agree - DEVIATIONS * (n * agree * (1 - agree)) ** 0.5))
+    return keys.view(np.int64)
 
-    def count(half: str) -> Column:
-        bits = F.col(f"{a}.{half}").bitwiseXOR(F.col(f"{b}.{half}"))
-        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
-    small, large = (f(F.col(f"{a}.n"), F.col(f"{b}.n")) for f in (F.least, F.greatest))
-    return (100 * small >= percent * large) & (count("s1") + count("s2") <= differing)
+def shingle_sets(df: DataFrame, width: int, side: int = 0, length: int = TUPLE) -> DataFrame:
+    """(doc_id, n_shingles, set_high, set_low, shingles, tuples, row): the set with its 128-bit
+    digest, both collections of minhash tuples if ``side`` is given, and a number of the row.
+    Written, since the numbers belong to one run."""
 
+    def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = [shingle_set(text, width) for text in batch.column("text").to_pylist()]
+        tuples = [minhash_tuples(own, 2 * side, length) for own in sets] if side else []
+        ends = np.frombuffer(b"".join(hashlib.blake2b(own.tobytes(), digest_size=16).digest() for own in sets), dtype=np.int64).reshape(-1, 2)
+        sizes = np.array([len(own) for own in sets], dtype=np.int64)
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
 
-def signatures(df: DataFrame, width: int = SHINGLE, side: int = SIDE, length: int = TUPLE) -> DataFrame:
-    """(doc_id, n_shingles, set_high, set_low, s1, s2, tuples): the set's 128-bit digest, its
-    sketch and both collections."""
+        def lists(places: np.ndarray, values: list[np.ndarray]) -> pa.Array:
+            joined = np.concatenate(values).view(np.int64) if values else np.empty(0, dtype=np.int64)
+            return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(joined))
 
-    def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sizes, digests, tuples, sketches = [], [], [], []
-        for text in batch.column("text").to_pylist():
-            own = shingle_set(text, width)
-            sizes.append(len(own))
-            digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            keys, sketch = minhash_tuples(own, 2 * side, length)
-            tuples.append(keys)
-            sketches.append(sketch)
-        ends = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * 2 * side, pa.int32()), pa.array(np.concatenate(tuples)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ends[:, 0]), pa.array(ends[:, 1]),
-             *map(pa.array, np.stack(sketches).T), lists],
-            names=["doc_id", "n_shingles", "set_high", "set_low", "s1", "s2", "tuples"])
-
-    return in_batches(texts(df), sign, "doc_id long, n_shingles long, set_high long, set_low long, s1 long, s2 long, tuples array<long>")
+            [batch.column("doc_id"), pa.array(sizes), pa.array(ends[:, 0]), pa.array(ends[:, 1]),
+             lists(offsets, sets), lists(np.arange(len(sets) + 1) * 2 * side, tuples)],
+            names=["doc_id", "n_shingles", "set_high", "set_low", "shingles", "tuples"])
 
+    signed = in_batches(texts(df), sign, "doc_id long, n_shingles long, set_high long, set_low long, shingles array<long>, tuples array<long>")
+    return stage(signed.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
 
-def _sets_of(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, version, shingles) of the wanted documents."""
 
-    def shingles(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        sets = [shingle_set(text, width) for text in batch.column("text").to_pylist()]
-        offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-        digests = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[:, 0]), lists], names=["id", "set_high", "shingles"])
+def classes_of(signed: DataFrame) -> DataFrame:
+    """(set_high, set_low, row, id): a row for each set that isn't empty, one row that has it
+    and the smallest id that has it."""
+    filled = signed.filter("n_shingles > 0").groupBy("set_high", "set_low")
+    return stage(filled.agg(F.min("row").alias("row"), F.min("doc_id").alias("id")), "classes")
 
-    found = texts(df).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return in_batches(found, shingles, "id long, set_high long, shingles array<long>")
 
+def components_of(signed: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row, given links between class rows."""
+    labelled = (classes.join(connected_components(links).withColumnRenamed("id", "row"), "row", "left")
+                .withColumn("label", F.coalesce("label", "row")))
+    least = labelled.groupBy("label").agg(F.min("id").alias("component"))
+    kinds = labelled.join(least, "label").select("set_high", "set_low", "component")
+    joined = signed.select("doc_id", "n_shingles", "set_high", "set_low").join(kinds, ["set_high", "set_low"], "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right"))
-    shared = (pairs.join(left, "a").join(right, "b")
-              .select("a", "b", F.size(F.array_intersect("left", "right")).cast("long").alias("shared"),
-                      (F.size("left") + F.size("right")).cast("long").alias("total")))
-    return shared.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
+def bucket_entries(signed: DataFrame, classes: DataFrame, side: int) -> DataFrame:
+    """(row, key, n, weight): the table keys of each class whose both tuples another class has.
 
-def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, side: int = SIDE, length: int = TUPLE) -> DataFrame:
+    A row's weight counts how often its tuples occur: in a group of copies it is largest for
+    the text that most of the others were made from.
+    """
+    rows = signed.join(classes.select("row"), "row", "left_semi").select("row", F.col("n_shingles").alias("n"), "tuples")
+    single = stage(rows.select("row", "n", F.posexplode("tuples").alias("place", "value")), "tuples")
+    often = single.groupBy("place", "value").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = single.join(often, ["place", "value"])
+    first = F.col("place") < side
+    pair = F.struct("place", "value")
+    sides = shared.groupBy("row", "n").agg(
+        F.collect_list(F.when(first, pair)).alias("one"), F.collect_list(F.when(~first, pair)).alias("other"), F.sum("times").alias("weight"))
+    keys = F.flatten(F.transform("one", lambda u: F.transform("other", lambda v: F.xxhash64(u, v))))
+    return sides.select("row", "n", "weight", F.explode(keys).alias("key"))
+
+
+def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, side: int = SIDE, length: int = TUPLE,
+                    block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of (doc_id, text).
 
     Two documents are linked if ``100 * shared >= percent * united`` shingles.  Null texts and
     texts without words are linked with nothing.  ``component_id`` is the smallest id reachable;
     a row is kept if that is its own id, so rows that repeat an id and a kept text are all kept.
-    Other columns are ignored.
+    Texts that share an id are linked each by its own words.  A row without an id takes part and
+    is kept only where no row with an id is reachable.  Other columns are ignored.
     """
-    signed = stage(signatures(df, width, side, length), "signatures")
-    filled = signed.filter("n_shingles > 0")
-    classes = stage(filled.groupBy("set_high", "set_low").agg(
-        F.min("doc_id").alias("id"), F.first(F.struct(F.col("n_shingles").alias("n"), "s1", "s2")).alias("own"),
-        F.first("tuples").alias("tuples")), "classes")
-    keys = F.flatten(F.transform(F.slice("tuples", 1, side), lambda u, i: F.transform(
-        F.slice("tuples", side + 1, side), lambda v, j: F.xxhash64(u, v, i, j))))
-    # One exchange by key serves the count and the join with it; most keys have one document.
-    entries = classes.filter("id IS NOT NULL").select("id", F.explode(keys).alias("key")).repartition("key")
-    buckets = entries.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    kept = stage(entries.join(buckets.hint("shuffle_hash"), "key"), "buckets")
-    linkable = could_link("own", "leading", percent, 2 * side * length)
-    own = classes.select("id", "own")
-    members = stage(kept.join(own, "id"), "members")
-    leading = members.join(own.select(F.col("id").alias("leader"), F.col("own").alias("leading")), "leader")
-    pairs = stage(leading.filter((F.col("id") > F.col("leader")) & linkable)
-                  .select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    sets = _sets_of(df, broadcast_if_small(members.select("id").distinct(), "candidates", 500_000), width)
-    classed = classes.select("id", "set_high")
-    sets = stage(sets.join(classed, ["id", "set_high"], "left_semi").dropDuplicates(["id"]), "sets")
-    links = stage(_verified(pairs, sets, percent), "links")
-    labels = connected_components(links)
-    reach = 8
-    while True:
-        labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_buckets = stage(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.first("n").alias("size"))
-                             .filter(f"low < high AND size > 2 AND size > {reach // 8}").select("key"), "open-buckets")
-        if open_buckets.limit(1).count() == 0:
-            break
-        turn = F.pmod(F.xxhash64("id", "key"), F.col("n"))
-        first = reach // 8 if reach > 8 else 0
-        leaders = (labelled.filter((turn >= first) & (turn < reach)).join(open_buckets, "key", "left_semi").select(
-            "key", F.col("id").alias("one"), F.col("label").alias("one_label"), F.col("own").alias("leading")))
-        pairs = (labelled.join(leaders, "key").filter((F.col("label") != F.col("one_label")) & linkable)
-                 .select(F.least("id", "one").alias("a"), F.greatest("id", "one").alias("b")).distinct())
-        found = stage(_verified(pairs, sets, percent), "links")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = connected_components(links)
-        reach *= 8
-    kinds = classes.select("set_high", "set_low", "id").join(labels, "id", "left").select(
-        "set_high", "set_low", F.coalesce("label", "id").alias("component"))
-    joined = signed.drop("tuples", "s1", "s2").join(kinds, ["set_high", "set_low"], "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id").eqNullSafe(component), F.lit(False)).alias("kept"))
+    with Staged(df.sparkSession) as between:
+        signed = shingle_sets(df, width, side, length)
+        classes = classes_of(signed)
+        links = grouped_links(bucket_entries(signed, classes, side), signed, percent, block_shingles, block_rows)
+        found = stage(components_of(signed, classes, links), "near-duplicates")
+        between.take_last()
+    component = F.col("component_id")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id").eqNullSafe(component), F.lit(False)))
