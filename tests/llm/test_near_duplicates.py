@@ -1,17 +1,19 @@
-"""Near-duplicates against all pairs of a small table, and components against a plain search."""
+"""Near-duplicates and the n-gram join against all pairs of a small table, SQL and each other."""
 
 from __future__ import annotations
 
 import itertools
 import random
 
+import numpy as np
 import pytest
 from rows import TEXTS, empty_table, odd_rows, odd_table
 
 import corpus_pipeline
 from checks.compare import connect, differences
-from tickwright.llm import minhash
+from tickwright.llm import minhash, signature_tree
 from tickwright.llm.components import connected_components
+from tickwright.llm.ngram_join import ngram_join
 from tickwright.llm.queries import ORACLE, QUERIES
 
 
@@ -72,8 +74,93 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(empty_table(spark)).count() == 0
 
 
-def test_query_agrees_with_sql(spark, sf):
-    assert differences(QUERIES["op3_near_duplicates"](spark, sf), ORACLE["op3_near_duplicates"], connect(sf)) is None
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("name", ["op3_near_duplicates", "op13_ngram_join"])
+def test_query_agrees_with_sql(spark, name, scale):
+    folder = f"/root/testdata/{scale}"
+    assert differences(QUERIES[name](spark, folder), ORACLE[name], connect(folder)) is None
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_every_link_is_found(spark, width):
+    """Against the join by rare shingles, which leaves no pair out by chance."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found, exact = (sorted((r.doc_id, r.component_id) for r in frame.collect())
+                    for frame in (minhash.near_duplicates(docs, width, 80), ngram_join(docs, width, 80)))
+    assert found == exact and len({c for _, c in exact}) < len(exact)
+
+
+@pytest.mark.parametrize(("width", "percent", "seed"), [(4, 85, 3), (2, 80, 4), (1, 60, 8), (3, 100, 9)])
+def test_join_of_chains(spark, width, percent, seed):
+    rows = near_copies(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute(rows, width, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(docs, width, percent).collect()} == expected
+    cut = ngram_join(docs, width, percent, block_shingles=300, block_rows=5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in cut.collect()} == expected
+
+
+@pytest.mark.parametrize("seed", [11])
+def test_one_large_group_in_cells(spark, seed):
+    """Copies of one text at all distances, most of them linked to it and some to each other alone."""
+    draw, base = random.Random(seed), [f"b{i}" for i in range(80)]
+    rows = []
+    for doc_id in range(150):
+        words = list(base if not rows or draw.random() < 0.6 else draw.choice(rows)[1].split())
+        for _ in range(draw.randint(0, 9)):
+            words[draw.randrange(len(words))] = f"x{draw.randint(0, 40)}"
+        rows.append((doc_id, " ".join(words[:draw.randint(60, 80)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent, function in ((2, 80, minhash.near_duplicates), (4, 85, ngram_join), (1, 90, ngram_join)):
+        expected = brute(rows, width, percent)
+        for blocks in [{"block_shingles": 700, "block_rows": 12}]:
+            found = function(docs, width, percent, **blocks).collect()
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected, (width, blocks)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_tree_finds_what_all_pairs_find(seed):
+    random_numbers = np.random.default_rng(seed)
+    base = random_numbers.integers(0, 1 << 62, 400)
+    sets = []
+    for _ in range(120):
+        size = random_numbers.integers(1, 60)
+        own = base[random_numbers.integers(0, 300) + np.arange(size)]
+        sets.append(np.unique(np.where(random_numbers.random(size) < 0.1, random_numbers.integers(0, 1 << 62, size), own)))
+    label = np.arange(len(sets)) if seed % 2 else random_numbers.integers(0, 100, len(sets))
+    side = random_numbers.integers(1, 3, len(sets)) if seed > 1 else np.zeros(len(sets), dtype=int)
+    percent = 60
+    parent = {("l", int(v)): ("l", int(v)) for v in label}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        shared = len(np.intersect1d(sets[a], sets[b]))
+        if (seed < 2 or side[a] != side[b]) and 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
+            parent[root(("l", int(label[a])))] = root(("l", int(label[b])))
+    expected = len({root(x) for x in parent})
+    found = signature_tree.forest(np.concatenate(sets), np.array([len(s) for s in sets]), label.copy(), side, percent)
+    assert len(set(label.tolist())) - len(found) == expected  # a forest: each link joins two components
+    assert not any(label[a] == label[b] for a, b in found)
+
+
+def test_texts_that_share_an_id(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "quite another text of its own"), (1, base), (5, base + " more"), (None, base), (None, "alone without an id here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for function in (minhash.near_duplicates, ngram_join):
+        found = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in function(docs, 2, 80).collect()), key=str)
+        assert found == sorted([(1, 5, 1), (1, 39, 1), (5, 40, 1), (None, 39, 1), (None, 4, None)], key=str)
+
+
+def test_join_of_odd_rows(spark):
+    found = ngram_join(odd_table(spark)).collect()
+    assert len(found) == len(odd_rows())
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == brute(list(TEXTS.items()), 4, 85)
+    assert ngram_join(empty_table(spark)).count() == 0
 
 
 def test_stage_keeps_one_of_each_group(spark):

@@ -12,6 +12,7 @@ from tickwright.llm.language_id import identify_documents
 from tickwright.llm.line_dedup import dedup_lines
 from tickwright.llm.minhash import near_duplicates
 from tickwright.llm.mixing import mixing_plan
+from tickwright.llm.ngram_join import ngram_join
 from tickwright.llm.packing import pack_documents
 from tickwright.llm.posting_lists import nearest
 from tickwright.llm.secret_scan import scan_secrets
@@ -86,6 +87,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_secret_scan": op2_secret_scan,
@@ -98,17 +103,18 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_token_counts": op10_token_counts,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ngram_join": op13_ngram_join,
 }
 
-ORACLE = {
-    "op3_near_duplicates": r"""
+#: Components of all pairs with enough shingles in common, each text merged with its equals.
+_COMPONENTS = r"""
         WITH RECURSIVE worded AS (
             SELECT doc_id, regexp_extract_all(
                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
             FROM documents),
         sets AS (
-            SELECT doc_id, CASE WHEN len(words) < 2 THEN words ELSE list_sort(list_distinct(
-                list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) END AS shingles
+            SELECT doc_id, CASE WHEN len(words) < {width} THEN list_slice([array_to_string(words, ' ')], 1, len(words)) ELSE list_sort(list_distinct(
+                list_transform(range(1, len(words) - {width} + 2), lambda i: array_to_string(words[i:i + {width} - 1], ' ')))) END AS shingles
             FROM worded),
         classes AS (
             SELECT min(doc_id) AS id, shingles, len(shingles) AS n FROM sets WHERE len(shingles) > 0 GROUP BY shingles),
@@ -116,8 +122,8 @@ ORACLE = {
         links AS (
             SELECT a.id AS a, b.id AS b
             FROM entries a JOIN entries b ON a.shingle = b.shingle AND a.id < b.id
-                 AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
-            GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+                 AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+            GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
         reach AS (
             SELECT id AS a, id AS b FROM classes
             UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a),
@@ -125,7 +131,16 @@ ORACLE = {
         found AS (
             SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(l.component, s.doc_id) AS component_id
             FROM sets s LEFT JOIN classes c ON s.shingles = c.shingles LEFT JOIN labels l ON c.id = l.id)
-        SELECT *, doc_id = component_id AS kept FROM found""",
+        """
+
+
+def _components_sql(width: int, percent: int) -> str:
+    return _COMPONENTS.replace("{width}", str(width)).replace("{percent}", str(percent))
+
+
+ORACLE = {
+    "op3_near_duplicates": _components_sql(2, 80) + "SELECT *, doc_id = component_id AS kept FROM found",
+    "op13_ngram_join": _components_sql(4, 85) + "SELECT * FROM found",
     "op9_source_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source,
