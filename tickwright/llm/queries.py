@@ -15,6 +15,7 @@ from tickwright.llm.mixing import mixing_plan
 from tickwright.llm.ngram_join import ngram_join
 from tickwright.llm.packing import pack_documents
 from tickwright.llm.posting_lists import nearest
+from tickwright.llm.repair import repair_damaged
 from tickwright.llm.secret_scan import scan_secrets
 from tickwright.llm.token_counts import token_counts
 from tickwright.llm.winnowing import SHORT, edited_fingerprints
@@ -69,7 +70,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document over 1024 ids is cut so that its first piece may be shorter."""
-    return pack_documents(documents(spark, sf_dir), first_short=True)
+    return pack_documents(documents(spark, sf_dir))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_in_middle(documents(spark, sf_dir))
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
@@ -102,6 +107,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_source_mixing": op9_source_mixing,
     "op10_token_counts": op10_token_counts,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_ngram_join": op13_ngram_join,
 }
@@ -180,6 +186,69 @@ ORACLE = {
         SELECT doc_id, size, source_size, round(target, 6) AS target,
                (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
         FROM placed""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE fated AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS id
+            FROM conversations),
+        bytes AS (SELECT *, list_transform(range(octet_length(id)), lambda i: ('0x' || substr(hex(id), (2 * i + 1)::BIGINT, 2))::BIGINT) AS b FROM fated),
+        crc AS (
+            SELECT *, list_reduce(b, lambda h, x: list_reduce([xor(h, x), 1, 1, 1, 1, 1, 1, 1, 1],
+                       lambda v, one: CASE WHEN v % 2 = one THEN xor(v >> 1, 3988292384) ELSE v >> 1 END), 4294967295::BIGINT) AS h
+            FROM bytes),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                   CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM (SELECT *, xor(h, 4294967295) % 20 AS fate FROM crc)),
+        seen AS (
+            SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+                   regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last
+            FROM damaged),
+        faulty AS (
+            SELECT *, left(role, 1) AS initial, CASE WHEN last = '' THEN 'blank' WHEN again > 1 THEN 'duplicate'
+                   WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+            FROM seen),
+        inserts(place, cost, edits, lines, upto) AS (VALUES
+            (0, 0, '', '', 0), (0, 5, 'I', 'user:', 2), (0, 10, 'II', 'user:' || chr(10) || 'assistant:', 3),
+            (1, 0, '', '', 1), (1, 5, 'I', 'user:', 2), (1, 10, 'II', 'user:' || chr(10) || 'assistant:', 3),
+            (2, 0, '', '', 2), (2, 5, 'I', 'assistant:', 3), (2, 10, 'II', 'assistant:' || chr(10) || 'user:', 2),
+            (3, 0, '', '', 3), (3, 5, 'I', 'user:', 2), (3, 10, 'II', 'user:' || chr(10) || 'assistant:', 3)),
+        follows(place, initial, next) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+        edits(edit, cost) AS (VALUES ('K', 0), ('R', 1), ('D', 2)),
+        best(c, i, place, cost, audit, lines) AS (
+            SELECT DISTINCT c, 0::BIGINT, 0, 0, '', '' FROM faulty
+            UNION ALL
+            SELECT c, i, place, least.cost, least.audit, least.lines FROM (
+                SELECT c, i, place, min({'cost': cost, 'audit': audit, 'lines': lines}) AS least FROM (
+                    SELECT b.c, f.i, CASE WHEN e.edit = 'D' THEN n.upto ELSE w.next END AS place,
+                           (b.cost + n.cost + e.cost + CASE WHEN e.edit <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END)::INTEGER AS cost,
+                           b.audit || n.edits || e.edit AS audit,
+                           array_to_string(list_filter([b.lines, n.lines, CASE e.edit WHEN 'K' THEN f.role || ':' || f.text
+                               WHEN 'R' THEN CASE w.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text ELSE '' END], lambda x: x <> ''), chr(10)) AS lines
+                    FROM best b JOIN faulty f ON f.c = b.c AND f.i = b.i + 1 JOIN inserts n ON n.place = b.place CROSS JOIN edits e
+                         LEFT JOIN follows w ON w.place = n.upto AND (e.edit = 'K' AND w.initial = f.initial OR e.edit = 'R' AND w.initial <> 's')
+                    WHERE e.edit = 'D' OR (w.next IS NOT NULL AND f.fault NOT IN ('blank', 'duplicate'))) AS ways
+                GROUP BY c, i, place) AS chosen),
+        ended AS (
+            SELECT c, min({'cost': b.cost + n.cost, 'audit': b.audit || n.edits,
+                           'lines': array_to_string(list_filter([b.lines, n.lines], lambda x: x <> ''), chr(10))}) AS least
+            FROM best b JOIN (SELECT c AS d, max(i) AS n FROM faulty GROUP BY c) m ON m.d = b.c AND m.n = b.i
+                 JOIN inserts n ON n.place = b.place AND n.upto IN (0, 3)
+            GROUP BY c),
+        counted AS (
+            SELECT c, any_value(conv_id) AS conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+                   count_if(i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM faulty GROUP BY c)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(least.cost, 0)::BIGINT AS cost,
+               coalesce(least.audit, '') AS audit, sha256(coalesce(least.lines, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted t ON o.conv_id IS NOT DISTINCT FROM t.conv_id
+             LEFT JOIN ended USING (c)""",
     "op12_fill_in_middle": r"""
         WITH drawn AS (
             SELECT doc_id, coalesce(text, '') AS text, list_transform(range(4), lambda g: list_reduce(
