@@ -83,3 +83,14 @@ def test_stage_takes_what_the_plan_says(spark):
             words[row.doc_id] += len(re.findall(r"[^\x20\x09-\x0D]+", row.text or ""))
             assert (texts[row.doc_id] or "").startswith(row.text or "")
         assert all(words[d] == taken for (d, _, _), taken in plan.items())
+
+
+def test_repeated_rows_at_the_cut_are_taken_alike(spark):
+    """Ten equal rows and a budget inside them: all are cut alike, by the first one's place."""
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 10 + [(9, "x " * 60, "t")], "doc_id long, text string, source string")
+    plan = mixing.mixing_plan(docs).collect()
+    mixed = mixing.mix_documents(docs).collect()
+    for source, repeats in (("s", 30), ("t", 60)):
+        planned = sum(r.taken for r in plan if r.source == source)
+        words = sum(len((r.text or "").split()) for r in mixed if r.source == source)
+        assert planned <= words < planned + repeats

@@ -88,8 +88,9 @@ def check_packed(rows, texts, library, capacity):
         expected = collections.Counter()
         for text in group:
             ids = np.array([*ids_of(library, text), packing.END_ID], dtype="<u4")
-            for piece, at in enumerate(range(0, len(ids), capacity)):
-                own = ids[at:at + capacity]
+            cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
+            for piece, at in enumerate(cuts[:-1]):
+                own = ids[at:cuts[piece + 1]]
                 expected[(piece, at, len(own), zlib.crc32(own.tobytes()))] += 1
         assert collections.Counter((r.piece, r.start, r.length, r.ids_crc32) for r in pieces[doc_id]) == expected
     return len(sequences)
@@ -125,11 +126,9 @@ def test_first_piece_may_be_shorter(spark, library, path, tmp_path):
 
 def test_bounds_of_pieces():
     for n in range(1, 20):
-        for first_short in (False, True):
-            bounds = packing.piece_bounds(n, 5, first_short)
-            assert bounds[0][0] == 0 and bounds[-1][1] == n and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:], strict=False))
-            whole = bounds[1:] if first_short else bounds[:-1]
-            assert all(b - a == 5 for a, b in whole) and all(0 < b - a <= 5 for a, b in bounds)
+        bounds = packing.piece_bounds(n, 5)
+        assert bounds[0][0] == 0 and bounds[-1][1] == n and all(a[1] == b[0] for a, b in zip(bounds, bounds[1:], strict=False))
+        assert all(b - a == 5 for a, b in bounds[1:]) and 0 < bounds[0][1] <= 5
 
 
 def test_packing_is_close_to_the_least_number_of_sequences(spark):

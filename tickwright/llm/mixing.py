@@ -105,6 +105,8 @@ def mix_documents(df: DataFrame, weights: Sequence[float] = WEIGHTS, most_epochs
 
     Each source's cut is one place in its order, so one row per source says what to take and
     texts are not shuffled.  A document without words is taken as its place in the order says.
+    Rows equal in source, id and size are taken alike: where the cut falls on such a row, all of
+    them are cut at its place, so the source's words exceed the plan by less than those rows hold.
     """
     plan = stage(mixing_plan(df, weights, most_epochs, seed), "mix-plan")
     reached = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest"))

@@ -68,17 +68,15 @@ class OpenBins:
         return number, self.capacity - free
 
 
-def piece_bounds(n: int, capacity: int, first_short: bool) -> list[tuple[int, int]]:
-    """Start and end of the pieces of ``n`` ids, all of ``capacity`` but the first or the last."""
-    cuts = range(n % capacity or capacity, n, capacity) if first_short else range(capacity, n, capacity)
+def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
+    """Start and end of the pieces of ``n`` ids, all of ``capacity`` but the first."""
+    cuts = range(n % capacity or capacity, n, capacity)
     return list(zip([0, *cuts], [*cuts, n], strict=True))
 
 
-def token_pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
-                 first_short: bool = False) -> DataFrame:
+def token_pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece of (doc_id, text): ids of the text, then ``end_id``, cut into pieces
-    of ``capacity`` if longer (the last may be shorter, or the first with ``first_short``);
-    null and empty texts are the end id."""
+    of ``capacity`` if longer (the first may be shorter); null and empty texts are the end id."""
     vocabulary = vocabulary or bpe.default_vocabulary()
     end = int(end_id).to_bytes(4, "little")
 
@@ -86,7 +84,7 @@ def token_pieces(df: DataFrame, vocabulary: str | None = None, capacity: int = C
         rows: list[tuple] = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             ids = bpe.ids_bytes(text, vocabulary) + end
-            for piece, (start, stop) in enumerate(piece_bounds(len(ids) // 4, capacity, first_short)):
+            for piece, (start, stop) in enumerate(piece_bounds(len(ids) // 4, capacity)):
                 rows.append((doc_id, piece, start, stop - start, zlib.crc32(ids[4 * start:4 * stop])))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
@@ -128,8 +126,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OP
 
 
 def pack_documents(df: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
-                   open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK, first_short: bool = False) -> DataFrame:
-    """Tokenise, cut and pack (doc_id, text); other columns are ignored.  The query and the
-    pipeline cut with ``first_short``."""
-    pieces = stage(token_pieces(df, vocabulary, capacity, end_id, first_short), "pieces")
+                   open_bins: int = OPEN_BINS, pieces_per_task: int = PIECES_PER_TASK) -> DataFrame:
+    """Tokenise, cut and pack (doc_id, text); other columns are ignored."""
+    pieces = stage(token_pieces(df, vocabulary, capacity, end_id), "pieces")
     return pack_pieces(pieces, capacity, open_bins, pieces_per_task)
