@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.inputs import flagged_readings
-from tickwright.operators import features, sequence
+from tickwright.operators import features, quality, sequence
 from tickwright.operators.ordered import sorted_positions
 
 START = datetime(2024, 1, 1)
@@ -71,6 +71,67 @@ def test_flags_and_runs_match_the_row_loop(spark, seed, rows, bits, levels, spar
         assert backward + repeat + gap + bad <= 1
 
 
+@pytest.fixture
+def plain_plans(spark):
+    """Plans as they are without broadcasts and without changes at run time."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_rows_are_exchanged_once(spark, plain_plans):
+    """Window, and the join with the chunk table, share one exchange and one sort of the rows."""
+    wide = spark.createDataFrame([("s", i, START, f"x{i}") for i in range(9)], "source_dataset string, ordinal long, ts timestamp_ntz, payload string")
+    flagged = sequence.flag_sequence(wide, CADENCE)
+    stepped = features.delta_ratio(wide.withColumns({"p": F.length("payload"), "q": F.length("payload")}), "p", "q", ordinal="ordinal")
+    for frame in (flagged, stepped):
+        tree = frame._jdf.queryExecution().executedPlan()
+        # Exchanges of the chunk tables have no payload.
+        assert nodes_with(tree, "Exchange", "payload") == 1
+        assert nodes_with(tree, "Sort", "payload") == 1
+
+
+def nodes_of(tree):
+    yield tree
+    children = tree.children()
+    for at in range(children.size()):
+        yield from nodes_of(children.apply(at))
+
+
+def nodes_with(tree, kind, column):
+    return sum(1 for node in nodes_of(tree) if node.nodeName() == kind and f"{column}#" in node.output().toString())
+
+
+def test_a_series_without_a_name_is_a_series(spark):
+    data = [(None if n == "hot" else n, o, t) for n, o, t in random_series(12, 300)]
+    df = spark.createDataFrame(data, "source_dataset string, ordinal long, ts timestamp_ntz").repartition(4)
+    want, want_runs = row_loop([("none" if n is None else n, o, t) for n, o, t in data])
+    flagged = sequence.flag_sequence(df, CADENCE, bits=3)
+    got = {(r["source_dataset"] or "none", r["ordinal"]): r["prev_valid_time"] for r in flagged.collect()}
+    assert got == {key: flags[-1] for key, flags in want.items()}
+    runs = sequence.duplicate_run_lengths(flagged, bits=3).collect()
+    assert Counter({(r["source_dataset"] or "none", r["run_length"]): r["runs"] for r in runs}) == want_runs
+    placed = sequence.row_index(df, "ts", "ordinal", ("source_dataset",)).collect()
+    assert len(placed) == len(data)
+    for name in {n for n, _, _ in data}:
+        own = sorted((r for r in placed if r["source_dataset"] == name), key=lambda r: r["row_index"])
+        assert [r["row_index"] for r in own] == list(range(len(own)))
+        order = [(r["ts"] is not None, r["ts"] or START, r["ordinal"]) for r in own]
+        assert order == sorted(order)
+    summary = {r["source_dataset"]: r for r in quality.qa_summary(flagged.withColumns(
+        {"flag_row_length_mismatch": F.lit(False), "flag_non_numeric_in_numeric_field": F.lit(True), "n": F.lit("x")}), ["n"]).collect()}
+    mine = summary[None]
+    times = Counter(t for n, _, t in data if n is None and t is not None)
+    assert mine["duplicate_timestamp_keys"] == sum(c > 1 for c in times.values()) > 0
+    assert len(mine["duplicate_timestamp_examples"]) == min(10, mine["duplicate_timestamp_keys"])
+    assert mine["consecutive_duplicate_run_lengths"] == {str(n): c for (name, n), c in want_runs.items() if name == "none"}
+    assert mine["offending_numeric_columns"] == {"n": sum(n is None for n, _, _ in data)}
+
+
 def test_runs_that_span_whole_chunks(spark):
     data = [("s", i, START) for i in range(100)] + [("s", 100, None)] + [("s", i, START) for i in range(101, 120)]
     df = spark.createDataFrame(data, "source_dataset string, ordinal long, ts timestamp_ntz")

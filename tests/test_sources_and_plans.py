@@ -248,11 +248,11 @@ def test_clean_flow(spark, log_file, tmp_path):
     assert [tuple(r[f] for f in FLAGS) for r in flagged] == want
 
     audit = spark.read.parquet(result.audit_path)
-    assert audit.count() == len(LINES) and len(audit.columns) == 3 + 4 + 6
+    assert audit.count() == len(LINES) and len(audit.columns) == 1 + 3 + 4 + 6
     assert audit.filter("valve_a = 'maybe,not'").count() == 1
-    assert {d for _, d in audit.drop("source_dataset").dtypes} == {"string"}
+    assert {d for _, d in audit.drop("source_dataset", "row_order").dtypes} == {"string"}
     ml = spark.read.parquet(result.ml_path)
-    assert len(ml.columns) == 2 + 4 + 6 and "time_raw" not in ml.columns
+    assert len(ml.columns) == 1 + 2 + 4 + 6 and "time_raw" not in ml.columns
     assert dict(ml.dtypes)["net_flow"] == "double" and dict(ml.dtypes)[FLAGS[0]] == "int"
     assert ml.agg(F.sum("valve_a"), F.count("valve_a")).first() == (6, 8)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tickwright.functions.cells import is_non_numeric
 from tickwright.functions.times import canonical_time
+from tickwright.operators.ordered import join_series
 from tickwright.operators.sequence import SERIES, duplicate_run_lengths
 from tickwright.operators.wide import per_column
 
@@ -115,7 +116,7 @@ def qa_summary(flagged: DataFrame, numeric: Sequence[str], ts: str = "ts",
 
     joined = qa_counts(flagged, ts, series)
     for part in (key_counts, examples, runs, bad):
-        joined = joined.join(part, key, "left")
+        joined = join_series(joined, part, key)
     run_map = F.map_from_entries(F.transform(
         F.coalesce("__runs", F.array().cast("array<struct<run_length:bigint,runs:bigint>>")),
         lambda r: F.struct(r["run_length"].cast("string"), r["runs"])))

@@ -9,7 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickwright.functions.times import plus_seconds
-from tickwright.operators.ordered import CHUNK_BITS, LEVELS, inherit_last, join_series, look_back, sorted_positions, with_chunk
+from tickwright.operators.ordered import (
+    CHUNK_BITS,
+    LEVELS,
+    SERIES_KEY,
+    inherit_last,
+    look_back,
+    sorted_positions,
+    with_chunk,
+    with_series,
+)
 
 SERIES = ("source_dataset",)
 FLAGS = (
@@ -62,22 +71,23 @@ def duplicate_run_groups(flagged: DataFrame, series: Sequence[str] = SERIES,
     time the chunks are put together.
     """
     repeat = F.col(dup)
-    rows = with_chunk(flagged.select(*series, ordinal, dup), ordinal, bits)
-    inside = W.partitionBy(*series, "__chunk").orderBy(ordinal)
+    rows = with_chunk(with_series(flagged.select(*series, ordinal, dup), series), ordinal, bits)
+    inside = W.partitionBy(SERIES_KEY, "__chunk").orderBy(ordinal)
     start_here = F.last(F.when(~repeat, F.col(ordinal)), ignorenulls=True).over(inside)
     parts = (
         rows.withColumn("__start", start_here).filter(repeat)
-        .groupBy(*series, "__chunk", "__start").agg(F.count("*").alias("__repeats"))
+        .groupBy(SERIES_KEY, "__chunk", "__start").agg(F.count("*").alias("__repeats"))
     )
-    ends = rows.groupBy(*series, "__chunk").agg(
+    ends = rows.groupBy(SERIES_KEY, "__chunk").agg(
         F.max(F.when(~repeat, F.col(ordinal))).alias("__open"))
-    inherited = inherit_last(ends, series, "__chunk", ["__open"], bits, levels)
-    return (
-        join_series(parts, inherited, series, ["__chunk"])
+    inherited = inherit_last(ends, "__chunk", ["__open"], bits, levels)
+    found = (
+        parts.join(inherited, [SERIES_KEY, "__chunk"], "left")
         .withColumn("run_start", F.coalesce("__start", "__open"))
-        .groupBy(*series, "run_start")
+        .groupBy(SERIES_KEY, "run_start")
         .agg((F.sum("__repeats") + 1).alias("run_length"))
     )
+    return found.select(*[F.col(SERIES_KEY)[c].alias(c) for c in series], "run_start", "run_length")
 
 
 def duplicate_run_lengths(flagged: DataFrame, series: Sequence[str] = SERIES,
