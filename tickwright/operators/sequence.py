@@ -43,11 +43,15 @@ def flag_sequence(df: DataFrame, cadence: Column | int, ts: str = "ts",
                   series: Sequence[str] = SERIES, ordinal: str = "ordinal",
                   bits: int = CHUNK_BITS, levels: int = LEVELS,
                   initial: DataFrame | None = None, name: str = "prev_valid_time") -> DataFrame:
-    """Add the four time flags; they compare each row with the previous valid time.
+    """Add the four time flags; they compare each row with the previous valid time."""
+    return time_flags(previous_valid_time(df, ts, name, series, ordinal, bits, levels, initial), cadence, ts, name)
+
+
+def time_flags(seen: DataFrame, cadence: Column | int, ts: str = "ts", name: str = "prev_valid_time") -> DataFrame:
+    """The flags of rows that know the previous valid time.
 
     Steps count in whole seconds: less than one second either way is a repeat.
     """
-    seen = previous_valid_time(df, ts, name, series, ordinal, bits, levels, initial)
     now, before = F.col(ts), F.col(name)
 
     def holds(condition: Column) -> Column:
@@ -63,12 +67,13 @@ def flag_sequence(df: DataFrame, cadence: Column | int, ts: str = "ts",
 
 def duplicate_run_groups(flagged: DataFrame, series: Sequence[str] = SERIES,
                          ordinal: str = "ordinal", dup: str = "flag_duplicate_timestamp",
-                         bits: int = CHUNK_BITS, levels: int = LEVELS) -> DataFrame:
+                         bits: int = CHUNK_BITS, levels: int = LEVELS, initial: DataFrame | None = None) -> DataFrame:
     """One row per run of consecutive repeats: (series, start ordinal, run length).
 
     A run is the row before the repeats plus the repeats.  Rows are counted per chunk and
     run first, so a run that holds much of the series is only a few partial counts by the
-    time the chunks are put together.
+    time the chunks are put together.  ``initial`` (series, run_start) says where the last row
+    before these that is no repeat is; repeats that go on from it have that start.
     """
     repeat = F.col(dup)
     rows = with_chunk(with_series(flagged.select(*series, ordinal, dup), series), ordinal, bits)
@@ -80,6 +85,9 @@ def duplicate_run_groups(flagged: DataFrame, series: Sequence[str] = SERIES,
     )
     ends = rows.groupBy(SERIES_KEY, "__chunk").agg(
         F.max(F.when(~repeat, F.col(ordinal))).alias("__open"))
+    if initial is not None:
+        before = with_series(initial, series).select(SERIES_KEY, F.lit(-1).cast("long").alias("__chunk"), F.col("run_start").alias("__open"))
+        ends = ends.unionByName(before)
     inherited = inherit_last(ends, "__chunk", ["__open"], bits, levels)
     found = (
         parts.join(inherited, [SERIES_KEY, "__chunk"], "left")

@@ -1,25 +1,27 @@
 """QA flags on a stream of sensor rows.
 
 Each micro-batch is flagged with the same chunked look-back as a batch table, starting from
-the state that the batch before left: the last valid time of each series and its open run of repeats.  A state kept per
-key inside the stream would put a busy series into one task; here its rows spread over
-chunks.  Rows are in ordinal order inside a batch, and batches must follow each other in
-ordinal order; one that does not is an error.
+the state that the batch before left: of each series the last valid time, the last ordinal and
+the last row that is no repeat.  A state kept per key inside the stream would put a busy series
+into one task; here its rows spread over chunks.  Rows are in ordinal order inside a batch, and
+batches must follow each other in ordinal order; one that does not is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from tickwright.operators.ordered import join_series
-from tickwright.operators.sequence import SERIES, duplicate_run_groups, flag_sequence
+from tickwright.operators.ordered import look_back
+from tickwright.operators.sequence import SERIES, duplicate_run_groups, time_flags
 from tickwright.session import Staged, delete_path, stage_table
 
 REPEAT = "flag_duplicate_timestamp"
+# One level of chunks: a micro-batch of a hundred million rows has some 24,000 of them.
+LEVELS = 1
 
 
 class StreamFlagger:
@@ -40,60 +42,46 @@ class StreamFlagger:
     def process(self, batch: DataFrame, epoch: int) -> None:
         """Flag one micro-batch, which is evaluated once, and hand its state on.
 
-        The state per series: last valid time, last ordinal, and how many rows long the run of
-        repeats is that the batch ends in.  Runs that ended are written per epoch.
+        Three writes: the rows, with the check of their order on the way; how many repeats each
+        run has in this batch; the state.  A run that goes on from an earlier batch has the same
+        start there, so counts of its parts add up and nothing is closed or kept open.
         """
         spark, keys = batch.sparkSession, self.series
         rows = stage_table(self.prepare(batch) if self.prepare else batch, "micro-batch")
         state_type = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields]
-        schema = ", ".join([*state_type, "prev_valid_time timestamp_ntz", "last_ordinal long", "open_run long"])
-        before = spark.read.schema(schema).parquet(self._part("state", epoch - 1)) if epoch > 0 \
-            else spark.createDataFrame([], schema)
-        early = join_series(rows.groupBy(*keys).agg(F.min(self.ordinal).alias("first")), before, keys, [])
-        if early.filter(F.col("first") <= F.col("last_ordinal")).limit(1).count():
+        schema = ", ".join([*state_type, "prev_valid_time timestamp_ntz", "last_ordinal long", "run_start long"])
+        before = spark.read.schema(schema).parquet(self._part("state", epoch - 1)) if epoch > 0 else None
+
+        carried = {"prev_valid_time": F.col(self.ts), "last_ordinal": F.lit(None).cast("long")}
+        seen = look_back(rows, carried, keys, self.ordinal, levels=LEVELS, initial=before)
+        flagged = time_flags(seen, self.cadence, self.ts)
+        order = Observation()
+        checked = flagged.observe(order, F.count_if(F.col(self.ordinal) <= F.col("last_ordinal")).alias("early"))
+        kept = checked.drop("prev_valid_time", "last_ordinal")
+        kept.write.mode("overwrite").parquet(self._part("rows", epoch))
+        if order.get["early"]:
             raise ValueError(f"micro-batch {epoch} holds rows before the end of an earlier one; batches must come in order of {self.ordinal}")
-        flagged = flag_sequence(rows, self.cadence, self.ts, keys, self.ordinal, initial=before.select(*keys, "prev_valid_time"))
-        flagged.drop("prev_valid_time").write.mode("overwrite").parquet(self._part("rows", epoch))
-        written = spark.read.schema(flagged.drop("prev_valid_time").schema).parquet(self._part("rows", epoch))
-
-        now = written.groupBy(*keys).agg(
-            F.max_by(self.ts, F.when(F.col(self.ts).isNotNull(), F.col(self.ordinal))).alias("__now"),
-            F.max(self.ordinal).cast("long").alias("__last"),
-            F.max(F.when(~F.col(REPEAT), F.col(self.ordinal))).cast("long").alias("__unrepeated"))
-        # Runs of this batch; one that began in an earlier batch has no row before it here.
-        runs = duplicate_run_groups(written, keys, self.ordinal)
-        ends = join_series(runs, now, keys, [])
-        still = F.col("run_start").eqNullSafe(F.col("__unrepeated"))  # the batch ends in this run
-        carried = join_series(ends, before.select(*keys, "open_run"), keys, [])
-        length = F.when(F.col("run_start").isNull(), F.col("run_length") - 1 + F.coalesce("open_run", F.lit(1))).otherwise(F.col("run_length"))
-        runs = stage_table(carried.select(*keys, length.alias("run_length"), still.alias("still"), F.col("run_start").isNull().alias("went_on")), "runs")
-        unended = join_series(now, runs.filter("still").select(*keys, F.col("run_length").alias("__open")), keys, [])
-        # A run left open that the batch did not go on with ended where the batch began.
-        went_on = join_series(before.filter("open_run > 1"), runs.filter("went_on").select(*keys, F.lit(True).alias("on")), keys, [])
-        seen = join_series(went_on, now.select(*keys, F.lit(True).alias("here")), keys, [])
-        closed = (runs.filter(~F.col("still")).select(*keys, "run_length")
-                  .unionByName(seen.filter("here AND on IS NULL").select(*keys, F.col("open_run").alias("run_length"))))
-        closed.write.mode("overwrite").parquet(self._part("runs", epoch))
-
-        old = before.withColumnsRenamed({c: f"__old_{c}" for c in ("prev_valid_time", "last_ordinal", "open_run")})
-        known = before.select(*keys).unionByName(now.select(*keys)).distinct()
-        joined = join_series(join_series(known, old, keys, []), unended, keys, [])
-        joined.select(
-            *keys, F.coalesce("__now", "__old_prev_valid_time").alias("prev_valid_time"),
-            F.coalesce("__last", "__old_last_ordinal").alias("last_ordinal"),
-            F.when(F.col("__last").isNull(), F.coalesce("__old_open_run", F.lit(1).cast("long")))
-            .otherwise(F.coalesce("__open", F.lit(1).cast("long"))).alias("open_run"),
-        ).write.mode("overwrite").parquet(self._part("state", epoch))
+
+        written = spark.read.schema(kept.schema).parquet(self._part("rows", epoch)).select(*keys, self.ordinal, self.ts, REPEAT)
+        runs = duplicate_run_groups(written, keys, self.ordinal, levels=LEVELS, initial=before)
+        runs.select(*keys, "run_start", (F.col("run_length") - 1).alias("repeats")).write.mode("overwrite").parquet(self._part("runs", epoch))
+
+        at = F.col(self.ordinal).cast("long")
+        now = written.select(*keys, F.col(self.ts).alias("prev_valid_time"), at.alias("last_ordinal"),
+                             F.when(~F.col(REPEAT), at).alias("run_start"))
+        known = now.unionByName(before) if before is not None else now
+        timed = F.when(F.col("prev_valid_time").isNotNull(), F.col("last_ordinal"))
+        known.groupBy(*keys).agg(
+            F.max_by("prev_valid_time", timed).alias("prev_valid_time"), F.max("last_ordinal").alias("last_ordinal"),
+            F.max("run_start").alias("run_start")).write.mode("overwrite").parquet(self._part("state", epoch))
         if epoch > 1:  # a batch that runs again needs the state before it, none before that
             delete_path(spark, self._part("state", epoch - 2))
 
     def run_lengths(self, spark: SparkSession) -> DataFrame:
         """How many runs of repeats there are of each length, with those still open."""
-        closed = spark.read.parquet(f"{self.folder}/runs").select(*self.series, "run_length")
-        newest = spark.read.parquet(f"{self.folder}/state")
-        last = newest.agg(F.max("epoch")).first()[0]
-        still = newest.filter((F.col("epoch") == last) & (F.col("open_run") > 1)).select(*self.series, F.col("open_run").alias("run_length"))
-        return closed.unionByName(still).groupBy(*self.series, "run_length").agg(F.count("*").alias("runs"))
+        parts = spark.read.parquet(f"{self.folder}/runs")
+        runs = parts.groupBy(*self.series, "run_start").agg((F.sum("repeats") + 1).alias("run_length"))
+        return runs.groupBy(*self.series, "run_length").agg(F.count("*").alias("runs"))
 
     def _owned(self, batch: DataFrame, epoch: int) -> None:
         with Staged(batch.sparkSession):
