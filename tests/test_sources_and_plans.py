@@ -129,6 +129,42 @@ def test_an_unclosed_quote_is_an_error(spark, tmp_path):
         delimited.read_cells(spark, str(path))
 
 
+def test_a_long_record_of_shorter_cells_is_read(spark, tmp_path):
+    """The limit is on a cell, not on the record that it is in."""
+    path, part = tmp_path / "l.csv", "z" * 50_000
+    path.write_text(f'Time,A,B,C\n2024-01-01 00:00:00,"{part}\n{part}",{part},"{part}\n"\n2024-01-01 00:00:01,1,2,3\n')
+    cells, _ = delimited.read_cells(spark, str(path), trim=False)
+    rows = cells.orderBy(delimited.ORDINAL).collect()
+    assert [r["c1"] for r in rows] == [f"{part}\n{part}", "1"] and rows[0]["c3"] == part + "\n"
+    path.write_text(f"Time,A\n2024-01-01 00:00:00,{part * 3}\n")
+    with pytest.raises(ValueError, match="not closed"):
+        delimited.read_cells(spark, str(path))
+
+
+def test_row_numbers_move_no_cells(spark, tmp_path):
+    """Split starts are broadcast even where Spark would not: the cell table has no exchange."""
+    path = tmp_path / "n.csv"
+    path.write_text("Time,N\n" + "".join(f"2024-01-01 00:00:00,{i}\n" for i in range(1000)))
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.files.maxPartitionBytes": "2048"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        cells, _ = delimited.read_cells(spark, str(path))
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
+        assert sorted((r[0], r["c1"]) for r in cells.select(delimited.ORDINAL, "c1").collect()) == [(i + 1, str(i)) for i in range(1000)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_splits_with_equal_hashes_take_another_seed(spark):
+    splits = spark.createDataFrame([("f", 0), ("f", 1)], "_file string, _block long")
+    key, keyed = delimited._split_keys(splits)
+    assert keyed.select("_key").distinct().count() == 2 and "xxhash64" in str(key)
+
+
 def test_splits_of_any_size_keep_every_row(spark, tmp_path):
     path = tmp_path / "n.csv"
     path.write_text("Time,N\n" + "".join(f"2024-01-01 00:00:00,{i}\n" for i in range(60_000)))

@@ -30,7 +30,10 @@ _SPLIT = ["_file", "_block"]
 _QUOTED_CELL = r'(^|,)"(?:[^"]++|"")*+"[^,]*+'
 _OPENING = r'(^|,)"'
 # A cell longer than this is an unclosed quote, not data.
-_LONGEST_RECORD = 131_072
+_LONGEST_CELL = 131_072
+_UNCLOSED = f"a quoted cell is not closed within {_LONGEST_CELL} characters"
+# Starts of so many splits are broadcast, some 100 MB; 100 TB in splits of 128 MB have 800,000.
+_MOST_SPLITS = 4_000_000
 # Up to so many rows, a sample's lines are taken by the driver, which stops the scan early.
 _DRIVER_SAMPLE = 100_000
 
@@ -43,23 +46,39 @@ def _lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         record.alias("_record"))
 
 
+def _split_keys(splits: DataFrame) -> tuple[Column, DataFrame]:
+    """A 64-bit number for each split, and the splits with it.  No two have the same one: if
+    two hashes agree, the next seed is taken."""
+    total, seed = splits.count(), 0
+    while True:
+        key = F.xxhash64(F.lit(seed), *_SPLIT)
+        if splits.select(key.alias("_key")).distinct().count() == total:
+            return key, splits.withColumn("_key", key)
+        seed += 1
+
+
 def _place_rows(staged: DataFrame, header_lines: bool) -> DataFrame:
     """Number staged lines from 0 over files by name, splits and lines; drop header lines.
 
     A split's records are numbered one after another, so a row's place is its distance from the
     split's first record plus the rows of all earlier splits.  That holds for splits of any
-    size and for tasks that read several.  The table of splits has one row per split.
+    size and for tasks that read several.  The table of splits has one row per split, which is
+    a few numbers under a 64-bit key: up to ``_MOST_SPLITS`` of them are broadcast and the rows
+    stay where they are.
     """
     splits = staged.groupBy(*_SPLIT).agg(F.min("_record").alias("_first"), F.count("*").alias("_n"))
+    splits = stage_table(splits, "splits")
+    key, keyed = _split_keys(splits)
     earlier = W.orderBy(*_SPLIT).rowsBetween(W.unboundedPreceding, -1)
     of_file = W.partitionBy("_file").orderBy("_block")
-    starts = splits.select(*_SPLIT, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
-                           (F.row_number().over(of_file) == 1).alias("_heads"))
-    placed = staged.join(starts, _SPLIT)
+    starts = keyed.select("_key", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
+                          F.when(F.row_number().over(of_file) == 1, F.col("_first")).alias("_head"))
+    starts = stage_table(starts, "split-starts")
+    starts = F.broadcast(starts) if starts.limit(_MOST_SPLITS + 1).count() <= _MOST_SPLITS else starts
+    placed = staged.withColumn("_key", key).join(starts, "_key")
     if header_lines:
-        placed = placed.filter(~F.col("_heads") | (F.col("_record") > F.col("_first")))
-    ordinal = F.col("_start") + F.col("_record") - F.col("_first")
-    return placed.withColumn(ORDINAL, ordinal).drop("_block", "_record", "_first", "_start", "_heads")
+        placed = placed.filter(F.col("_head").isNull() | (F.col("_record") > F.col("_head")))
+    return placed.withColumn(ORDINAL, F.col("_shift") + F.col("_record")).drop("_key", "_block", "_record", "_shift", "_head")
 
 
 def _ends_inside(line: Column) -> Column:
@@ -67,12 +86,13 @@ def _ends_inside(line: Column) -> Column:
     return line.contains('"') & F.regexp_replace(line, _QUOTED_CELL, "$1").rlike(_OPENING)
 
 
-def _joined_lines(placed: DataFrame) -> DataFrame:
+def _joined_lines(placed: DataFrame, cells: int) -> DataFrame:
     """Put lines together whose quoted cell goes on in the next line.
 
     A line maps "begins inside quotes" to "ends inside quotes": it keeps it, flips it, or sets
     it.  Where a line begins is the last setting before it and the number of flips since, and
-    both are look-backs.  A cell may not be longer than what a CSV reader takes.
+    both are look-backs.  No record is put together that is longer than ``cells`` cells of the
+    greatest length may be.
     """
     outside = _ends_inside(F.col("value"))
     inside = F.when(F.col("value").contains('"'), _ends_inside(F.concat(F.lit('"'), F.col("value")))).otherwise(F.lit(True))
@@ -89,8 +109,8 @@ def _joined_lines(placed: DataFrame) -> DataFrame:
     begun = look_back(started, {"_begun": F.when(~F.col("_inside"), F.col(ORDINAL))}, ["_file"], ORDINAL)
     rows = begun.withColumn("_begun", F.when(F.col("_inside"), F.coalesce("_begun", ORDINAL)).otherwise(F.col(ORDINAL)))
     lengths = rows.groupBy("_begun").agg(F.count("*").alias("_n"), F.sum(F.length("value") + 1).alias("_length")).filter("_n > 1")
-    if lengths.filter(F.col("_length") > _LONGEST_RECORD).limit(1).count():
-        raise ValueError(f"a quoted cell is not closed within {_LONGEST_RECORD} characters")
+    if lengths.filter(F.col("_length") > cells * (_LONGEST_CELL + 3)).limit(1).count():
+        raise ValueError(_UNCLOSED)
     whole = (rows.join(lengths.select("_begun"), "_begun", "left_semi").groupBy("_file", "_begun")
              .agg(F.sort_array(F.collect_list(F.struct(ORDINAL, "value"))).alias("_parts"))
              .select("_file", F.col("_begun").alias(ORDINAL), F.array_join(F.col("_parts.value"), "\n").alias("value")))
@@ -185,19 +205,24 @@ def read_cells(spark: SparkSession, path: str | Sequence[str], headers: Sequence
         split = rows.withColumn("_cells", F.from_csv("value", F.lit(schema), _OPTIONS))
         # The parser leaves the corrupt column empty for a line without any text.
         mismatch = F.col(f"_cells.{_CORRUPT}").isNotNull() | (F.col("value") == "")
-        texts = F.array(*[F.coalesce(f"_cells.{f}", F.lit("")) for f in fields])
-        texts = F.transform(texts, strip) if trim else texts
+        whole = F.array(*[F.coalesce(f"_cells.{f}", F.lit("")) for f in fields])
+        texts = F.transform(whole, strip) if trim else whole
+        long = F.exists(whole, lambda cell: F.length(cell) > _LONGEST_CELL) if fields else F.lit(False)
         kept = [c for c in rows.columns if c != "value"]
-        shaped = split.select(*kept, texts.alias("_texts"), mismatch.alias(MISMATCH), _ends_inside(F.col("value")).alias("_opens"))
+        shaped = split.select(*kept, texts.alias("_texts"), mismatch.alias(MISMATCH), _ends_inside(F.col("value")).alias("_opens"), long.alias("_long"))
         when = [parse_time(F.col("_texts")[names.index(time[0])], time[1]).alias(TIME)] if time and time[0] in names else []
-        return shaped.select(*kept, *[F.col("_texts")[i].alias(f) for i, f in enumerate(fields)], MISMATCH, "_opens", *when)
+        return shaped.select(*kept, *[F.col("_texts")[i].alias(f) for i, f in enumerate(fields)], MISMATCH, "_opens", "_long", *when)
 
     staged = stage_table(parsed(lines), "cells")
-    if staged.filter("_opens").limit(1).count():
-        whole = _joined_lines(_place_rows(stage_table(lines, "lines"), False))
+    opens, long = staged.agg(F.max("_opens"), F.max("_long")).first()
+    if opens:
+        whole = _joined_lines(_place_rows(stage_table(lines, "lines"), False), len(fields) + 1)
         rows = stage_table(parsed(_drop_first(whole) if header_lines else whole), "cells")
+        long = rows.agg(F.max("_long")).first()[0]
     else:
         rows = _place_rows(staged, header_lines)
+    if long:
+        raise ValueError(_UNCLOSED)
     cells = rows.select(ORDINAL, *fields, MISMATCH, *([TIME] if TIME in rows.columns else []))
     return (first_rows(cells, row_limit) if row_limit is not None else cells), names
 
