@@ -4,23 +4,26 @@ Each key has a leader, the most typical of its rows, so that rows which share ma
 share a leader too.  All rows that share a key with a leader are its group.  Two rows that share
 a key are in the group of that key's leader, so groups hold every candidate pair.
 
-A small group is one block, in which links are found exactly.  In a large one every row is
-compared with the leader first.  Then it is cut into cells by size, by distance from the leader
-and at random, none larger than a block, and cells are compared in pairs: not those that sizes
-or the triangle inequality of the Jaccard distance keep apart, and not those whose rows are all
-linked to the leader already, which is most of a large group of copies.
+Groups that overlap are put together as far as they make one block, in which links are found
+exactly; there each row comes once.  Of what is larger, each group goes by itself, and a large
+one as follows.  Every row is compared with the leader first.  Then the group is cut into cells
+by size, by distance from the leader and at random, none larger than a block, and cells are
+compared in pairs: not those that sizes or the triangle inequality of the Jaccard distance keep
+apart, and not those whose rows are all linked to the leader already, which is most of a large
+group of copies.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwright.llm.common import broadcast_if_small, stage, with_package
+from tickwright.llm.common import stage, with_package
 from tickwright.llm.components import connected_components
 from tickwright.llm.signature_tree import forest
 
@@ -46,29 +49,45 @@ def _links_of_blocks(blocks: DataFrame, keys: list[str], percent: int) -> DataFr
     return with_package(blocks).groupBy(*keys).applyInArrow(run, "a long, b long")
 
 
-def grouped_links(entries: DataFrame, sets: DataFrame, percent: int,
+def grouped_links(entries: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int,
                   block_shingles: int = BLOCK_SHINGLES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links (a, b) whose components are those of all similar pairs that share a key.
 
     ``entries``: (row, key, n, weight) with the set's size and how typical the row is, the same
-    for all keys of a row.  ``sets``: (row, shingles), unlike, without empty ones.
+    for all keys of a row.  ``classes``: (row, ...), with sets that are unlike and not empty.
+    ``sets_of`` gives the rows it is given with their ``shingles``.
     """
     entries = stage(entries.select("row", "key", "n", "weight"), "entries")
     leaders = (entries.groupBy("key").agg(F.max(F.struct("weight", "row")).alias("top"), F.count("*").alias("rows"))
                .filter("rows > 1").select("key", F.col("top.row").alias("leader")))
     members = stage(entries.join(leaders, "key").select("leader", "row", "n").distinct(), "members")
-    wanted = broadcast_if_small(members.select("row").distinct(), "wanted", 500_000)
-    sets = stage(sets.join(wanted, "row", "left_semi").select("row", "shingles"), "sets")
+    reach = connected_components(members.filter("leader <> row").select(F.col("leader").alias("a"), F.col("row").alias("b")))
+    near = members.select("row", "n").distinct().join(reach.select(F.col("id").alias("row"), F.col("label").alias("cluster")), "row")
+    is_large = (F.sum("n") > block_shingles) | (F.count("*") > block_rows)
+    sizes = near.groupBy("cluster").agg(is_large.alias("large"))
+    wanted = stage(near.join(sizes, "cluster").select("row", "cluster", "large").join(classes, "row"), "wanted")
+    blocks = sets_of(wanted.filter("NOT large")).select(
+        "cluster", "row", F.col("row").alias("label"), F.lit(0).alias("side"), "shingles")
+    links = stage(_links_of_blocks(blocks, ["cluster"], percent), "links")
+    large = wanted.filter("large")
+    if large.limit(1).count() == 0:
+        return links
+    sets = stage(sets_of(large).select("row", "shingles"), "sets")
+    groups = stage(members.join(large.select("row"), "row"), "large-members")
+    return links.unionByName(_links_of_groups(groups, sets, percent, block_shingles, block_rows))
+
+
+def _links_of_groups(members: DataFrame, sets: DataFrame, percent: int, block_shingles: int, block_rows: int) -> DataFrame:
     size = members.groupBy("leader").agg(F.sum("n").alias("total"), F.count("*").alias("rows"))
     is_large = (F.col("total") > block_shingles) | (F.col("rows") > block_rows)
-    large = stage(size.filter(is_large).select("leader"), "large")
-    there = large.limit(1).count() > 0
-    small = members.join(F.broadcast(large) if large.limit(50_000).count() < 50_000 else large, "leader", "left_anti") if there else members
-    blocks = small.join(sets, "row").select("leader", "row", F.col("row").alias("label"), F.lit(0).alias("side"), "shingles")
+    sized = stage(members.join(size.select("leader", is_large.alias("large")), "leader"), "sized-members")
+    blocks = sized.filter("NOT large").join(sets, "row").select(
+        "leader", "row", F.col("row").alias("label"), F.lit(0).alias("side"), "shingles")
     links = stage(_links_of_blocks(blocks, ["leader"], percent), "links")
-    if not there:
+    large = sized.filter("large").drop("large")
+    if large.limit(1).count() == 0:
         return links
-    return links.unionByName(_links_of_large(members.join(large, "leader", "left_semi"), sets, links, percent, block_shingles, block_rows))
+    return links.unionByName(_links_of_large(large, sets, links, percent, block_shingles, block_rows))
 
 
 def _links_of_large(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int,

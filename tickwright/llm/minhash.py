@@ -14,7 +14,7 @@ near copies never becomes pairs.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.llm.bpe import Memory
-from tickwright.llm.common import in_batches, stage, texts
+from tickwright.llm.common import broadcast_if_small, in_batches, stage, texts
 from tickwright.llm.components import connected_components
 from tickwright.llm.groups import BLOCK_ROWS, BLOCK_SHINGLES, grouped_links
 from tickwright.session import Staged
@@ -76,29 +76,48 @@ def minhash_tuples(shingles: np.ndarray, count: int, length: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def shingle_sets(df: DataFrame, width: int, side: int = 0, length: int = TUPLE) -> DataFrame:
-    """(doc_id, n_shingles, set_high, set_low, shingles, tuples, row): the set with its 128-bit
-    digest, both collections of minhash tuples if ``side`` is given, and a number of the row.
-    Written, since the numbers belong to one run."""
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(own) for own in sets])))
+    joined = np.concatenate(sets).view(np.int64) if sets else np.empty(0, dtype=np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(joined))
+
+
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Both halves of each set's 128-bit digest."""
+    digests = b"".join(hashlib.blake2b(own.tobytes(), digest_size=16).digest() for own in sets)
+    return [pa.array(half) for half in np.frombuffer(digests, dtype=np.int64).reshape(-1, 2).T]
+
+
+def signatures(df: DataFrame, width: int, marks: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(doc_id, n_shingles, set_high, set_low, marks, row): the size and digest of the set, what
+    ``marks`` makes of it, and a number of the row.  Written, since the numbers belong to one run."""
 
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(text, width) for text in batch.column("text").to_pylist()]
-        tuples = [minhash_tuples(own, 2 * side, length) for own in sets] if side else []
-        ends = np.frombuffer(b"".join(hashlib.blake2b(own.tobytes(), digest_size=16).digest() for own in sets), dtype=np.int64).reshape(-1, 2)
-        sizes = np.array([len(own) for own in sets], dtype=np.int64)
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(own) for own in sets], pa.int64()), *_digests(sets), _lists([marks(own) for own in sets])],
+            names=["doc_id", "n_shingles", "set_high", "set_low", "marks"])
 
-        def lists(places: np.ndarray, values: list[np.ndarray]) -> pa.Array:
-            joined = np.concatenate(values).view(np.int64) if values else np.empty(0, dtype=np.int64)
-            return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(joined))
+    signed = in_batches(texts(df), sign, "doc_id long, n_shingles long, set_high long, set_low long, marks array<long>")
+    return stage(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes), pa.array(ends[:, 0]), pa.array(ends[:, 1]),
-             lists(offsets, sets), lists(np.arange(len(sets) + 1) * 2 * side, tuples)],
-            names=["doc_id", "n_shingles", "set_high", "set_low", "shingles", "tuples"])
 
-    signed = in_batches(texts(df), sign, "doc_id long, n_shingles long, set_high long, set_low long, shingles array<long>, tuples array<long>")
-    return stage(signed.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
+def sets_of(df: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The wanted classes (id, set_high, set_low, ...) with their ``shingles``, from the texts of
+    documents that have their ids."""
+
+    def shingles(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = [shingle_set(text, width) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*_digests(sets), _lists(sets)], names=["set_high", "set_low", "shingles"])
+
+    wanted = broadcast_if_small(wanted, "wanted", 500_000)
+    own = wanted.select(F.col("id").alias("own_id")).distinct()
+    found = texts(df).join(own, F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
+    # Where no id repeats, each class is found once.
+    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    shaped = in_batches(found, shingles, "set_high long, set_low long, shingles array<long>")
+    shaped = shaped.dropDuplicates(["set_high", "set_low"]) if repeated else shaped
+    return shaped.join(wanted, ["set_high", "set_low"])
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
@@ -114,7 +133,7 @@ def components_of(signed: DataFrame, classes: DataFrame, links: DataFrame) -> Da
                 .withColumn("label", F.coalesce("label", "row")))
     least = labelled.groupBy("label").agg(F.min("id").alias("component"))
     kinds = labelled.join(least, "label").select("set_high", "set_low", "component")
-    joined = signed.select("doc_id", "n_shingles", "set_high", "set_low").join(kinds, ["set_high", "set_low"], "left")
+    joined = signed.drop("marks", "row").join(kinds, ["set_high", "set_low"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -124,16 +143,15 @@ def bucket_entries(signed: DataFrame, classes: DataFrame, side: int) -> DataFram
     A row's weight counts how often its tuples occur: in a group of copies it is largest for
     the text that most of the others were made from.
     """
-    rows = signed.join(classes.select("row"), "row", "left_semi").select("row", F.col("n_shingles").alias("n"), "tuples")
-    single = stage(rows.select("row", "n", F.posexplode("tuples").alias("place", "value")), "tuples")
-    often = single.groupBy("place", "value").agg(F.count("*").alias("times")).filter("times > 1")
-    shared = single.join(often, ["place", "value"])
-    first = F.col("place") < side
-    pair = F.struct("place", "value")
-    sides = shared.groupBy("row", "n").agg(
-        F.collect_list(F.when(first, pair)).alias("one"), F.collect_list(F.when(~first, pair)).alias("other"), F.sum("times").alias("weight"))
-    keys = F.flatten(F.transform("one", lambda u: F.transform("other", lambda v: F.xxhash64(u, v))))
-    return sides.select("row", "n", "weight", F.explode(keys).alias("key"))
+    rows = signed.join(classes.select("row"), "row", "left_semi")
+    tuples = stage(rows.select("row", F.col("n_shingles").alias("n"), "marks"), "tuples")
+    # A tuple's number goes into its hash, so equal tuples have equal numbers.
+    single = tuples.select("row", F.explode(F.transform("marks", lambda value, at: F.xxhash64(value, at).bitwiseAND(F.lit(-2)) + F.when(at < side, 0).otherwise(1))).alias("tuple"))
+    often = single.groupBy("tuple").agg(F.count("*").cast("int").alias("times")).filter("times > 1")
+    shared = single.join(often, "tuple").groupBy("row").agg(F.collect_list("tuple").alias("shared"), F.sum("times").alias("weight"))
+    one, other = (F.filter("shared", lambda t: t.bitwiseAND(F.lit(1)) == 0), F.filter("shared", lambda t: t.bitwiseAND(F.lit(1)) == 1))
+    keys = F.flatten(F.transform(one, lambda u: F.transform(other, lambda v: F.xxhash64(u, v))))
+    return shared.join(tuples.select("row", "n"), "row").select("row", "n", "weight", F.explode(keys).alias("key"))
 
 
 def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT, side: int = SIDE, length: int = TUPLE,
@@ -147,9 +165,10 @@ def near_duplicates(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     is kept only where no row with an id is reachable.  Other columns are ignored.
     """
     with Staged(df.sparkSession) as between:
-        signed = shingle_sets(df, width, side, length)
+        signed = signatures(df, width, lambda own: minhash_tuples(own, 2 * side, length))
         classes = classes_of(signed)
-        links = grouped_links(bucket_entries(signed, classes, side), signed, percent, block_shingles, block_rows)
+        links = grouped_links(bucket_entries(signed, classes, side), classes, lambda wanted: sets_of(df, wanted, width),
+                              percent, block_shingles, block_rows)
         found = stage(components_of(signed, classes, links), "near-duplicates")
         between.take_last()
     component = F.col("component_id")

@@ -1,45 +1,69 @@
 """Similarity self-join on word n-grams: signature trees over the documents that can have a link.
 
-Two sets that are similar enough share one of the rarest shingles of either, since even without
-all of those too little would be left to share.  Shingles that one document alone has are rarest
-of all; a document with too many of them is linked with nothing and goes no further.  Documents
-that share a rare shingle come into one group, and links inside a group are found by signature
-trees: nodes with OR-combined bitmaps and size ranges, two trees gone through together, pairs of
-nodes left aside by their largest possible overlap (``signature_tree.py``).  Large groups are cut
-into cells by size, the upper level of the trees, which Spark compares in pairs (``groups.py``).
+All shingles are put in one order, that of their hashes.  Two sets that are similar enough share
+one of the first shingles of either, and some more of those that follow, since even without all
+of these too little would be left to share.  So each document gives only the head of its set.  A
+document of whose head too little occurs elsewhere is linked with nothing and goes no further;
+the others come into one group with those that share a first shingle.  Links inside a group are
+found by signature trees: nodes with OR-combined bitmaps and size ranges, two trees gone through
+together, pairs of nodes left aside by their largest possible overlap (``signature_tree.py``).
+Large groups are cut into cells by size, the upper level of the trees, which Spark compares in
+pairs (``groups.py``).
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwright.llm.common import stage
+from tickwright.llm.common import broadcast_if_small, stage
 from tickwright.llm.groups import BLOCK_ROWS, BLOCK_SHINGLES, grouped_links
-from tickwright.llm.minhash import classes_of, components_of, shingle_sets
+from tickwright.llm.minhash import classes_of, components_of, sets_of, signatures
 from tickwright.session import Staged
 
 SHINGLE, PERCENT = 4, 85
 
 
-def rare_shingles(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(row, key, n, weight): the rarest shingles of a class, of which each class that it is
-    linked with has one too; none for classes that cannot have a link.
+#: Shingles of a head beyond those that must hold one in common, in percent of the set.
+MORE = 10
+_SIGN = np.uint64(1 << 63)
 
-    A row's weight is how often its shingles occur on average: in a group of copies it is
-    largest for the text that most of the others were made from.
+
+def first_count(n: int, percent: int) -> int:
+    """So many shingles of a set of ``n`` hold one that every similar enough set has too."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def head(own: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles in order and ``MORE`` percent that follow, as signed numbers in the
+    same order."""
+    return (own[:first_count(len(own), percent) + MORE * len(own) // 100] ^ _SIGN).view(np.int64)
+
+
+def head_entries(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(row, key, n, weight): the first shingles of each class that can have a link, of which
+    each class that it is linked with has one too.
+
+    Of the heads of two similar sets take the one that ends first in the order.  Its set has
+    ``needed`` shingles less 1 and ``MORE`` percent after it, and the sets have ``needed`` in
+    common, so the heads have 1 and ``MORE`` percent in common.  The other set may be the smaller
+    one, but it is no smaller than ``needed``.
+
+    A row's weight is how often the shingles of its head occur on average: in a group of copies
+    it is largest for the text that most of the others were made from.
     """
-    single = signed.select("row", F.col("n_shingles").cast("int").alias("n"), F.explode("shingles").alias("shingle"))
-    often = single.groupBy("shingle").agg(F.count("*").cast("int").alias("times")).filter("times > 1")
-    shared = single.join(often, "shingle").groupBy("row", "n").agg(
-        F.collect_list(F.struct("times", "shingle")).alias("shared"), F.avg("times").alias("weight"))
-    # 100 * shared >= percent * n, in whole numbers
-    needed = F.expr(f"({percent} * CAST(n AS LONG) + 99) DIV 100")
-    keys = F.slice(F.array_sort("shared"), F.lit(1), (F.size("shared") - needed + 1).cast("int"))
-    able = shared.filter(F.size("shared") >= needed)
-    found = stage(able.select("row", F.col("n").cast("long").alias("n"), "weight", keys["shingle"].alias("keys")), "rare-shingles")
-    # Rows with equal sets have equal keys; one of them goes on.
-    return found.join(classes.select("row"), "row", "left_semi").select("row", "n", "weight", F.explode("keys").alias("key"))
+    # Rows whose set another row stands for take no part.
+    copies = signed.select("row", "set_high", "set_low").join(classes.select("set_high", "set_low", F.col("row").alias("own")), ["set_high", "set_low"])
+    copies = broadcast_if_small(copies.filter("row <> own").select("row"), "copies", 500_000)
+    single = signed.join(copies, "row", "left_anti").select("row", F.explode("marks").alias("key"))
+    often = single.groupBy("key").agg(F.count("*").cast("int").alias("times")).filter("times > 1")
+    shared = single.join(often, "key").groupBy("row").agg(F.collect_list("key").alias("keys"), F.avg("times").alias("weight"))
+    needed = f"(({percent} * n_shingles + 99) DIV 100)"
+    sized = signed.select("row", F.col("n_shingles").alias("n"), F.expr(f"get(marks, int(n_shingles - {needed}))").alias("edge"),
+                          F.expr(f"1 + {MORE} * {needed} DIV 100").alias("least"))
+    found = shared.join(sized, "row").filter(F.size("keys") >= F.col("least"))
+    return found.select("row", "n", "weight", F.explode(F.filter("keys", lambda key: key <= F.col("edge"))).alias("key"))
 
 
 def ngram_join(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
@@ -54,9 +78,10 @@ def ngram_join(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     id is reachable.  Other columns are ignored.
     """
     with Staged(df.sparkSession) as between:
-        signed = shingle_sets(df, width)
+        signed = signatures(df, width, lambda own: head(own, percent))
         classes = classes_of(signed)
-        links = grouped_links(rare_shingles(signed, classes, percent), signed, percent, block_shingles, block_rows)
+        links = grouped_links(head_entries(signed, classes, percent), classes, lambda wanted: sets_of(df, wanted, width),
+                              percent, block_shingles, block_rows)
         found = stage(components_of(signed, classes, links), "ngram-join")
         between.take_last()
     return found
