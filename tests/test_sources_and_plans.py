@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickwright.config import ScalerConfig, SeriesConfig, SeriesRegistry
+from tickwright.functions.names import infer_definition, infer_unit
 from tickwright.operators.sequence import FLAGS
 from tickwright.plans import clean, dictionary, model_prep, variants
 from tickwright.sources import delimited, sinks, tables
@@ -291,6 +292,11 @@ def test_clean_flow(spark, log_file, tmp_path):
     assert len(ml.columns) == 1 + 2 + 4 + 6 and "time_raw" not in ml.columns
     assert dict(ml.dtypes)["net_flow"] == "double" and dict(ml.dtypes)[FLAGS[0]] == "int"
     assert ml.agg(F.sum("valve_a"), F.count("valve_a")).first() == (6, 8)
+    about = ml.schema["net_flow"].metadata
+    assert about["role"] == "numeric" and about["source"] == result.mapping[2].source and about["unit"] == infer_unit(about["source"])
+    terms = {r["Term"]: r for r in dictionary.profile_table(ml, "ml", "row_order")[0].collect()}
+    assert terms["valve_a"]["Definition"] == infer_definition("Valve A (True/False)")
+    assert terms["net_flow"]["Definition"] == infer_definition(about["source"]) and terms["net_flow"]["Unit"] == about["unit"]
 
     summary = spark.read.json(result.summary_path).first()
     assert summary["dataset"] == "s" and summary["mode"] == "full" and summary["row_limit"] is None

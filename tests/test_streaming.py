@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickwright.operators import resample, sequence
-from tickwright.streaming.averages import start_to_parquet, stream_window_average
+from tickwright.streaming.averages import late_rows, start_to_parquet, stream_window_average
 from tickwright.streaming.flags import StreamFlagger
 
 SCHEMA = "source_dataset string, ordinal long, ts timestamp_ntz, value double"
@@ -91,3 +91,18 @@ def test_window_averages_drop_only_late_rows(spark, tmp_path, zone):
         assert got == {w: v for w, v in want.items() if w + timedelta(hours=1) <= newest}
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    feed, start = str(tmp_path / "feed"), datetime(2024, 1, 1)
+    counts = []
+    for number, minutes in enumerate(([0, 10, 70, 200], [210, 5], [400])):  # minute 5 comes after the watermark passed its hour
+        rows = [("s", number, start + timedelta(minutes=m), 1.0) for m in minutes]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(SCHEMA).parquet(feed)
+        query = start_to_parquet(stream_window_average(stream, ["value"]), str(tmp_path / "out"))
+        query.awaitTermination()
+        counts.append(late_rows(query))
+    assert counts == [0, 1, 0]
+    found = {r["window_start"]: r["rows"] for r in spark.read.parquet(str(tmp_path / "out/rows")).collect()}
+    assert found[start] == 2

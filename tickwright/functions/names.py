@@ -176,6 +176,21 @@ def infer_unit(name: str) -> str:
     return next((unit for pattern, _, unit in _RULES if re.search(pattern, low)), "")
 
 
+def field_metadata(field: HeaderField) -> dict[str, str]:
+    """What a column's schema entry says of it; parquet keeps it with the column."""
+    return {"source": field.source, "role": field.role, "unit": infer_unit(field.source.strip()),
+            "definition": infer_definition(field.source.strip())}
+
+
+def schema_values(df: DataFrame, column: Column, key: str) -> Column:
+    """What the schema's metadata says under ``key`` of the column that ``column`` names; NULL
+    where it says nothing."""
+    known = [(f.name, f.metadata[key]) for f in df.schema.fields if f.metadata.get(key)]
+    if not known:
+        return F.lit(None).cast("string")
+    return F.element_at(F.create_map(*[F.lit(x) for pair in known for x in pair]), column)
+
+
 # A catalog of headers as a table ---------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickwright.functions.cells import missing_percent, round_half_even, strip
-from tickwright.functions.names import definition_column, named, unit_column
+from tickwright.functions.names import definition_column, named, schema_values, unit_column
 from tickwright.functions.times import epoch_micros, from_epoch_micros, parse_time
 from tickwright.operators.quality import count_cells
 from tickwright.operators.quantiles import exact_percentiles, numeric_column
@@ -238,7 +238,8 @@ def column_stats(df: DataFrame, ordinal: str, exclude: Sequence[str] = (), **lim
 def data_dictionary(df: DataFrame, ordinal: str, exclude: Sequence[str] = (), stats: DataFrame | None = None,
                     **limits: int) -> DataFrame:
     """The dictionary table: fifteen text fields per column, in column order.  ``stats`` can hold
-    statistics that were computed before."""
+    statistics that were computed before.  Definitions and units that the schema's metadata has,
+    as in what the cleaning flow writes, are taken from there."""
     stats = column_stats(df, ordinal, exclude, **limits) if stats is None else stats
 
     def shown(name: str) -> Column:
@@ -248,12 +249,14 @@ def data_dictionary(df: DataFrame, ordinal: str, exclude: Sequence[str] = (), st
 
     seconds = F.timestamp_diff("SECOND", F.col("minimum_time"), F.col("maximum_time"))
     described = definition_column(stats, "column", "__definition")
+    definition = F.coalesce(schema_values(df, F.col("column"), "definition"), F.col("__definition"))
+    unit = F.coalesce(schema_values(df, F.col("column"), "unit"), unit_column(F.col("column")))
     return described.orderBy("position").select(
-        F.col("column").alias("Term"), F.col("__definition").alias("Definition"), F.col("type").alias("Type"),
+        F.col("column").alias("Term"), definition.alias("Definition"), F.col("type").alias("Type"),
         shown("minimum").alias("Minimum"), shown("maximum").alias("Maximum"), shown("mean").alias("Mean"),
         shown("median").alias("Median"),
         F.coalesce(F.col("whole_range").cast("string"), number_text(F.col("range")), F.concat(seconds.cast("string"), F.lit(" s"))).alias("Range"),
-        unit_column(F.col("column")).alias("Unit"), number_text(F.col("std_dev")).alias("Std Dev"),
+        unit.alias("Unit"), number_text(F.col("std_dev")).alias("Std Dev"),
         F.col("count").alias("Count"), F.col("missing_count").alias("Missing Count"),
         F.col("missing_percent").alias("Missing Percent"), F.col("unique_count").alias("Unique Count"),
         F.coalesce("example_values", F.lit("")).alias("Example Values"),
@@ -270,9 +273,11 @@ def dictionary_document(df: DataFrame, ordinal: str, dataset: str, description:
     """One row {dataset, description, fields[]}; the list has one entry per column."""
     stats = column_stats(df, ordinal, exclude, **limits) if stats is None else stats
     stats = definition_column(stats, "column", "definition")
+    definition = F.coalesce(schema_values(df, F.col("column"), "definition"), F.col("definition")).alias("definition")
+    unit = F.coalesce(schema_values(df, F.col("column"), "unit"), unit_column(F.col("column"))).alias("unit")
     field = F.struct(
-        "position", F.col("column").alias("term"), "definition", "type", "minimum", "maximum", "mean",
-        "median", "range", unit_column(F.col("column")).alias("unit"), "std_dev", "count",
+        "position", F.col("column").alias("term"), definition, "type", "minimum", "maximum", "mean",
+        "median", "range", unit, "std_dev", "count",
         "missing_count", "missing_percent", "unique_count", "example_values")
     fields = F.transform(F.array_sort(F.collect_list(field)), lambda f: f.dropFields("position"))
     return stats.agg(fields.alias("fields")).select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,14 +27,32 @@ COUNTERS = {
 }
 
 
-def qa_counts(flagged: DataFrame, ts: str = "ts", series: Sequence[str] = SERIES) -> DataFrame:
-    """Row counters and first and last time per series, in one aggregate."""
-    return flagged.groupBy(*series).agg(
-        F.count("*").alias("rows_processed"),
+def _counters(ts: str) -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("rows_processed"),
         *[F.count_if(F.col(flag)).alias(name) for name, flag in COUNTERS.items()],
         canonical_time(F.min(ts)).alias("time_min"),
         canonical_time(F.max(ts)).alias("time_max"),
-    )
+    ]
+
+
+def qa_counts(flagged: DataFrame, ts: str = "ts", series: Sequence[str] = SERIES) -> DataFrame:
+    """Row counters and first and last time per series, in one aggregate."""
+    return flagged.groupBy(*series).agg(*_counters(ts))
+
+
+def with_counters(flagged: DataFrame, ts: str = "ts", series: str = SERIES[0]) -> tuple[DataFrame, Callable[[str], DataFrame]]:
+    """The rows of one series, counted while they are written, and a function that gives
+    :func:`qa_counts` of the named series once they are: no row, if there was none."""
+    seen = Observation()
+
+    def counts(name: str) -> DataFrame:
+        found = seen.get
+        schema = f"{series} string, rows_processed long, {', '.join(f'{c} long' for c in COUNTERS)}, time_min string, time_max string"
+        row = (name, found["rows_processed"], *[found[c] for c in COUNTERS], found["time_min"], found["time_max"])
+        return flagged.sparkSession.createDataFrame([row] if found["rows_processed"] else [], schema)
+
+    return flagged.observe(seen, *_counters(ts)), counts
 
 
 def duplicate_keys(flagged: DataFrame, ts: str = "ts", series: Sequence[str] = SERIES) -> DataFrame:
@@ -97,9 +115,11 @@ def qc_filter(df: DataFrame, flags: Sequence[str] = ("flag_duplicate_timestamp",
 
 def qa_summary(flagged: DataFrame, numeric: Sequence[str], ts: str = "ts",
                series: Sequence[str] = SERIES, ordinal: str = "ordinal",
-               constants: dict[str, Column] | None = None) -> DataFrame:
+               constants: dict[str, Column] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """One nested row per series: counters, repeated keys, runs, offending columns.
 
+    ``counts`` are the counters, if they were taken before (:func:`with_counters`).
+
     Every input of the joins is one row per series.  The collected groups are small by
     construction: ten examples, one entry per column, one entry per distinct run length.
     """
@@ -114,7 +134,7 @@ def qa_summary(flagged: DataFrame, numeric: Sequence[str], ts: str = "ts",
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("column", "bad_cells"))))
         .alias("offending_numeric_columns"))
 
-    joined = qa_counts(flagged, ts, series)
+    joined = qa_counts(flagged, ts, series) if counts is None else counts
     for part in (key_counts, examples, runs, bad):
         joined = join_series(joined, part, key)
     run_map = F.map_from_entries(F.transform(

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tickwright.config import SeriesConfig, SeriesRegistry
 from tickwright.functions.cells import as_number, encode_boolean, encode_state, flag_int, flag_text, normalize_word
-from tickwright.functions.names import PUMP_STATE_FIELD, HeaderField, named
+from tickwright.functions.names import PUMP_STATE_FIELD, HeaderField, field_metadata, named
 from tickwright.functions.times import canonical_time, parse_time
-from tickwright.operators.quality import BAD_CELLS, qa_summary
+from tickwright.operators.quality import BAD_CELLS, qa_summary, with_counters
 from tickwright.operators.sequence import FLAGS, flag_sequence
 from tickwright.session import Staged, delete_path, stage_table
 from tickwright.sources.delimited import ORDINAL, TIME, read_series
@@ -52,7 +52,7 @@ def audit_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame
     def cell(field: HeaderField) -> Column:
         text = named(field.clean)
         word = field.role in ("boolean", "state") or field.clean == PUMP_STATE_FIELD
-        return (normalize_word(text) if word else text).alias(field.clean)
+        return (normalize_word(text) if word else text).alias(field.clean, metadata=field_metadata(field))
 
     return flagged.select(
         "source_dataset", F.col(ORDINAL).alias(ROW_ORDER), "time_raw", canonical_time(F.col(TIME)).alias("time"),
@@ -63,14 +63,15 @@ def audit_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame
 
 def ml_ready_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame:
     """Numbers as doubles, states and booleans as 1/0/NULL, flags 1/0; no raw time or index.
-    ``row_order`` is the record's place in the file."""
+    ``row_order`` is the record's place in the file.  Each column's schema entry holds its
+    header, role, unit and definition."""
     place = {clean: at for at, clean in enumerate(numeric_fields(mapping))}
 
     def cell(field: HeaderField) -> Column:
         if field.role == "numeric":
-            return F.col(NUMBERS)[place[field.clean]].alias(field.clean)
+            return F.col(NUMBERS)[place[field.clean]].alias(field.clean, metadata=field_metadata(field))
         coded = {"boolean": encode_boolean, "state": encode_state}[field.role](named(field.clean))
-        return coded.alias(field.clean)
+        return coded.alias(field.clean, metadata=field_metadata(field))
 
     return flagged.select(
         "source_dataset", F.col(ORDINAL).alias(ROW_ORDER), canonical_time(F.col(TIME)).alias("time"),
@@ -108,7 +109,8 @@ def clean_series(spark: SparkSession, config: SeriesConfig, output: str, mode: s
 
     Flagged rows are staged once in shared storage.  The three outputs read only the columns
     they need from there; none of them repeats the parse or the sort, and a lost executor
-    costs no more than the tasks it was running.  All staged tables but the flagged rows are
+    costs no more than the tasks it was running.  The summary's counters are taken on the way
+    to the audit table and need no scan of their own.  All staged tables but the flagged rows are
     deleted at the end, and those by ``release()`` on the result.
     """
     limit = sample_rows if mode == "sample" else None
@@ -121,10 +123,11 @@ def clean_series(spark: SparkSession, config: SeriesConfig, output: str, mode: s
     qa_folder = f"{output}/qa" if mode == "full" else f"{output}/qa/{mode}"
     paths = (f"{folder}/{config.name}_cleaned", f"{folder}/{config.name}_ml_ready",
              f"{qa_folder}/{config.name}_summary")
-    write_by_series(audit_table(flagged, mapping), paths[0], fmt)
+    counted, counters = with_counters(flagged, TIME)
+    write_by_series(audit_table(counted, mapping), paths[0], fmt)
     write_by_series(ml_ready_table(flagged, mapping), paths[1], fmt)
     pairs = F.array(*[F.struct(F.lit(f.source).alias("source"), F.lit(f.clean).alias("clean")) for f in mapping])
-    summary = qa_summary(flagged, numeric_fields(mapping), TIME, ordinal=ORDINAL, constants={
+    summary = qa_summary(flagged, numeric_fields(mapping), TIME, ordinal=ORDINAL, counts=counters(config.name), constants={
         "mode": F.lit(mode), "row_limit": F.lit(limit).cast("int"), "input_path": F.lit(config.path),
         "output_path": F.lit(paths[0]), "ml_ready_output_path": F.lit(paths[1]), "header_mapping": pairs,
     })

@@ -30,3 +30,11 @@ def start_to_parquet(averages: DataFrame, folder: str, **trigger) -> StreamingQu
         .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress")
         .trigger(**(trigger or {"availableNow": True})).start()
     )
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed their window, as the query's progress
+    counts them: rows of one window in one task are put together before they are dropped, so it
+    is 0 only if none was late and else a lower bound.  Spark keeps the progress of the last
+    ``spark.sql.streaming.numRecentProgressUpdates`` batches."""
+    return sum(operator.numRowsDroppedByWatermark for progress in query.recentProgress for operator in progress.stateOperators)
