@@ -177,6 +177,8 @@ ORACLE["row_index"] = f"""WITH {PARSED} SELECT row_number() OVER (ORDER BY ts NU
   ordinal, ts AS time FROM parsed"""
 ORACLE["row_index_per_series"] = """SELECT row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS row_index,
   event_type, event_id AS ordinal, ts AS time FROM events"""
+ORACLE["row_index_null_series"] = """WITH e AS (SELECT CASE WHEN event_id % 3 <> 0 THEN event_type END AS event_type, event_id, ts FROM events)
+SELECT row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS row_index, event_type, event_id AS ordinal, ts AS time FROM e"""
 RATIO = """CASE WHEN q = lag(q) OVER w THEN 0.0
     ELSE coalesce((p - lag(p) OVER w) / (q - lag(q) OVER w), 0.0) END"""
 ORACLE["delta_ratio"] = f"""WITH s AS (SELECT event_id AS ordinal, value AS p, CAST(user_id AS DOUBLE) AS q FROM events)
@@ -211,6 +213,21 @@ SELECT counts.*, (SELECT count(*) FROM keys) AS duplicate_timestamp_keys,
   (SELECT 'flow_raw=' || count(*) FROM flagged WHERE flag_non_numeric_in_numeric_field) AS offending_numeric_columns
 FROM counts"""
 
+ORACLE["qa_summary_null_series"] = f"""WITH {PARSED}, checked AS (
+  SELECT p.* REPLACE (CASE WHEN e.event_id % 3 <> 0 THEN e.event_type END AS source_dataset), n_cells <> 5 AS flag_row_length_mismatch,
+    flow_raw <> '' AND try_cast(flow_raw AS DOUBLE) IS NULL AS flag_non_numeric_in_numeric_field
+  FROM parsed p JOIN events e ON e.event_id = p.ordinal),
+{sequence_flags('checked', '600')}, {RUNS[len(FLAGGED) + 2:]}, counts AS ({COUNTS}), keys AS ({KEYS.format('flagged')}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source_dataset ORDER BY time) AS place FROM keys),
+lengths AS (SELECT source_dataset, run_length || '=' || count(*) AS entry FROM runs GROUP BY source_dataset, run_length)
+SELECT c.*, (SELECT count(*) FROM keys k WHERE k.source_dataset IS NOT DISTINCT FROM c.source_dataset) AS duplicate_timestamp_keys,
+  coalesce((SELECT string_agg(time || '=' || count, ', ' ORDER BY time || '=' || count) FROM ranked k
+    WHERE place <= 10 AND k.source_dataset IS NOT DISTINCT FROM c.source_dataset), '') AS duplicate_timestamp_examples,
+  coalesce((SELECT string_agg(entry, ', ' ORDER BY entry) FROM lengths l WHERE l.source_dataset IS NOT DISTINCT FROM c.source_dataset), '') AS consecutive_duplicate_run_lengths,
+  (SELECT CASE WHEN count(*) > 0 THEN 'flow_raw=' || count(*) ELSE '' END FROM flagged f
+    WHERE flag_non_numeric_in_numeric_field AND f.source_dataset IS NOT DISTINCT FROM c.source_dataset) AS offending_numeric_columns
+FROM counts c"""
+
 SHAPED = """, shaped AS (SELECT * REPLACE (
     CASE WHEN n_cells = 3 THEN '' ELSE pump_raw END AS pump_raw,
     CASE WHEN n_cells = 3 THEN '' ELSE ec_raw END AS ec_raw) FROM flagged)"""

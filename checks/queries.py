@@ -206,6 +206,14 @@ def row_index_per_series(spark, sf):
     return sequence.row_index(rows, series=["event_type"])
 
 
+@query
+def row_index_null_series(spark, sf):
+    """A third of the events have no series name; they are one series."""
+    series = F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("event_type")
+    rows = table(spark, sf, "events").select(series, F.col("event_id").alias("ordinal"), F.col("ts").alias("time"))
+    return sequence.row_index(rows, series=["event_type"])
+
+
 @query
 def delta_ratio(spark, sf):
     changed = features.delta_ratio(sensor_series(spark, sf), "pressure", "flow", places=9)
@@ -246,8 +254,10 @@ def qa_summary(spark, sf):
     """The nested summary with its lists and maps printed as text."""
     flagged = stage_table(flagged_readings(spark, sf).select(
         "source_dataset", "ordinal", "ts", "flow_raw", "ec_raw", *sequence.FLAGS), "flagged")
-    summary = quality.qa_summary(flagged, ["flow_raw", "ec_raw"])
+    return _qa_shown(quality.qa_summary(flagged, ["flow_raw", "ec_raw"]))
+
 
+def _qa_shown(summary):
     def listed(entries, key, value):
         shown = F.transform(entries, lambda e: F.concat(e[key], F.lit("="), e[value].cast("string")))
         return F.array_join(F.array_sort(shown), ", ")
@@ -259,6 +269,19 @@ def qa_summary(spark, sf):
     })
 
 
+@query
+def qa_summary_null_series(spark, sf):
+    """The summary by event type, of which every third event has none."""
+    typed = table(spark, sf, "events").select(
+        F.col("event_id").alias("ordinal"), F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("kind"))
+    rows = parsed_readings(spark, sf).join(typed, "ordinal").withColumns({
+        "source_dataset": F.col("kind"), "flag_row_length_mismatch": F.col("n_cells") != 5,
+        "flag_non_numeric_in_numeric_field": cells.is_non_numeric(F.col("flow_raw"))})
+    flagged = stage_table(sequence.flag_sequence(rows, CADENCE).select(
+        "source_dataset", "ordinal", "ts", "flow_raw", "ec_raw", *sequence.FLAGS), "flagged")
+    return _qa_shown(quality.qa_summary(flagged, ["flow_raw", "ec_raw"]))
+
+
 @query
 def audit_table(spark, sf):
     flagged = clean.flag_rows(cleaned_cells(spark, sf), MAPPING, CONFIG)
