@@ -1,4 +1,4 @@
-"""Connected components of a link table, by passing on the smallest label and jumping ahead."""
+"""Connected components of a link table, by hooking to the smallest neighbour and contracting."""
 
 from __future__ import annotations
 
@@ -8,22 +8,38 @@ from pyspark.sql import functions as F
 from tickwright.llm.common import stage
 
 
+def _roots(step: DataFrame) -> DataFrame:
+    """Follow labels to the end; each is the smaller end of a link, so the ways halve and end."""
+    while True:
+        ahead = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        jumped = stage(step.join(ahead, "label").select("id", F.col("label").alias("old"), F.col("next").alias("label")), "labels")
+        if jumped.filter("label < old").limit(1).count() == 0:
+            return jumped.select("id", "label")
+        step = jumped.select("id", "label")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable over ``links`` (a, b); ids without links don't occur.
 
-    Each round a node takes the smallest label around it, merged before the shuffle, and then
-    that label's own label, so chains shorten by halves.  Every round is a written table; the
-    driver sees only how many labels changed.
+    Each round a node takes its smallest neighbour's label and then that label's end, so every
+    tree of such steps becomes one node, and only links between different nodes go on: later
+    rounds are over fewer and fewer links.  Every round is a written table; the driver sees only
+    whether anything is left.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = stage(both, "links")
-    labels = stage(both.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("id"), F.least("a", "n").alias("label")), "labels")
+    ordered = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links, labels = stage(ordered.distinct(), "links"), None
     while True:
-        around = (both.join(labels.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("label").alias("near"))
-                  .withColumnRenamed("b", "id"))
-        taken = stage(labels.join(around, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
-        ahead = taken.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        jumped = stage(taken.join(ahead, "label").select("id", "old", F.least("label", "next").alias("label")), "labels")
-        if jumped.filter("label < old").limit(1).count() == 0:
-            return jumped.select("id", "label")
-        labels = jumped.select("id", "label")
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("id"), F.least("a", "near").alias("label"))
+        step = _roots(stage(step, "labels"))
+        if labels is None:
+            labels = step
+        else:
+            moved = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
+            labels = stage(labels.join(moved, "label", "left").select("id", F.coalesce("root", "label").alias("label")), "labels")
+        one, other = (step.select(F.col("id").alias(end), F.col("label").alias(f"{end}_root")) for end in ("a", "b"))
+        left = (links.join(one, "a").join(other, "b").filter("a_root <> b_root")
+                .select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b")))
+        links = stage(left.distinct(), "links")
+        if links.limit(1).count() == 0:
+            return labels
