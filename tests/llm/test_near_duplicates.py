@@ -142,7 +142,7 @@ def test_tree_finds_what_all_pairs_find(seed):
         if (seed < 2 or side[a] != side[b]) and 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
             parent[root(("l", int(label[a])))] = root(("l", int(label[b])))
     expected = len({root(x) for x in parent})
-    found = signature_tree.forest(np.concatenate(sets), np.array([len(s) for s in sets]), label.copy(), side, percent)
+    found = signature_tree.forest(np.concatenate(sets), np.array([len(s) for s in sets]), label.copy(), side, signature_tree.Rule(percent))
     assert len(set(label.tolist())) - len(found) == expected  # a forest: each link joins two components
     assert not any(label[a] == label[b] for a, b in found)
 
@@ -175,3 +175,18 @@ def test_components_of_chains_stars_and_rings(spark):
     links = [(a, a + 1) for a in range(1, 40)] + [(100, b) for b in range(101, 130)] + [(200, 201), (201, 202), (202, 200)]
     found = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
     assert found == {**dict.fromkeys(range(1, 41), 1), **dict.fromkeys(range(100, 130), 100), 200: 200, 201: 200, 202: 200}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_random_links(spark, seed):
+    draw, label = random.Random(seed), {}
+    links = [(draw.randrange(200), draw.randrange(200)) for _ in range(150)] + [(7, 7)]
+    for a, b in links:
+        if a != b:
+            label.setdefault(a, a), label.setdefault(b, b)
+    for _ in label:
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect()) == label
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0

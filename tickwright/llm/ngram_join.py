@@ -4,8 +4,8 @@ All shingles are put in one order, that of their hashes.  Two sets that are simi
 one of the first shingles of either, and some more of those that follow, since even without all
 of these too little would be left to share.  So each document gives only the head of its set.  A
 document of whose head too little occurs elsewhere is linked with nothing and goes no further;
-the others come into one group with those that share a first shingle.  Links inside a group are
-found by signature trees: nodes with OR-combined bitmaps and size ranges, two trees gone through
+the others come into one group with those that share a first shingle.  Heads are compared first,
+and what can be similar by them is compared whole.  Both is done by signature trees: nodes with OR-combined bitmaps and size ranges, two trees gone through
 together, pairs of nodes left aside by their largest possible overlap (``signature_tree.py``).
 Large groups are cut into cells by size, the upper level of the trees, which Spark compares in
 pairs (``groups.py``).
@@ -80,8 +80,10 @@ def ngram_join(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
     with Staged(df.sparkSession) as between:
         signed = signatures(df, width, lambda own: head(own, percent))
         classes = classes_of(signed)
-        links = grouped_links(head_entries(signed, classes, percent), classes, lambda wanted: sets_of(df, wanted, width),
-                              percent, block_shingles, block_rows)
+        heads = signed.select("row", F.col("marks").alias("shingles"))
+        links = grouped_links(
+            head_entries(signed, classes, percent), classes, lambda wanted: sets_of(df, wanted, width), percent, block_shingles, block_rows,
+            lambda wanted: heads.join(broadcast_if_small(wanted, "wanted", 500_000), "row"), MORE)
         found = stage(components_of(signed, classes, links), "ngram-join")
         between.take_last()
     return found

@@ -9,6 +9,8 @@ all sets below are in one component already.  Pairs of leaves that remain are co
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 FANOUT = 8
@@ -18,6 +20,26 @@ _PAIRS, _WORDS = 1 << 15, 1 << 21
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """When two sets are similar: ``100 * shared >= percent * united``.
+
+    With ``more``, only the heads of the sets are there, and the question is whether they may be
+    similar: heads of sets that are have 1 and ``more`` percent of what the smaller set needs in
+    common (see ``ngram_join.py``).
+    """
+
+    percent: int
+    more: int | None = None
+
+    def least(self, a, b):
+        """So much must sets of these sizes, or their heads, have in common."""
+        if self.more is None:
+            return -(-self.percent * (a + b) // (100 + self.percent))
+        needed = (self.percent * np.minimum(a, b) + 99) // 100
+        return 1 + self.more * needed // 100
+
+
 def _rows_of(sizes: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(sizes)), sizes)
 
@@ -54,23 +76,29 @@ class Sets:
 
 
 class Tree:
-    """Levels from leaves to root over some rows of :class:`Sets`, alike sets side by side."""
+    """Levels from leaves to root over some rows of :class:`Sets`, alike sets side by side.
+
+    A level has the bitmaps, the least and greatest size of the sets, the most shingles that one
+    of them has here, and the most that hide behind others in a bitmap.
+    """
 
-    def __init__(self, sets: Sets, rows: np.ndarray, bits: int):
+    def __init__(self, sets: Sets, n: np.ndarray, rows: np.ndarray, bits: int):
         starts = np.concatenate(([0], np.cumsum(sets.sizes)[:-1]))
-        mixed = (sets.values.astype(np.uint64) * _FACTOR) >> np.uint64(20)
+        mixed = (sets.values.view(np.uint64) * _FACTOR) >> np.uint64(20)
         least = np.minimum.reduceat(mixed, starts)[rows]
-        self.rows = rows[np.lexsort((sets.sizes[rows], least))]
-        all_maps = _bitmaps(mixed & np.uint64(bits - 1), _rows_of(sets.sizes), len(sets.sizes), bits)
-        maps, sizes = all_maps[self.rows], sets.sizes[self.rows]
-        # A set may have more shingles than bits: so many can hide behind others.
-        hidden = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        self.levels = [(maps, sizes, sizes, hidden)]
+        self.rows = rows[np.lexsort((n[rows], least))]
+        maps = _bitmaps(mixed & np.uint64(bits - 1), _rows_of(sets.sizes), len(sets.sizes), bits)[self.rows]
+        here = sets.sizes[self.rows]
+        hidden = here - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        self.levels = [(maps, n[self.rows], n[self.rows], here, hidden)]
         while len(self.levels[-1][0]) > FANOUT:
-            maps, low, high, hidden = self.levels[-1]
-            at = np.arange(0, len(maps), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at),
-                                np.maximum.reduceat(high, at), np.maximum.reduceat(hidden, at)))
+            self.add_level()
+
+    def add_level(self) -> None:
+        maps, low, *most = self.levels[-1]
+        at = np.arange(0, len(maps), FANOUT)
+        self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at),
+                            *[np.maximum.reduceat(values, at) for values in most]))
 
     def labels(self, label: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Smallest and largest component below each node, by level."""
@@ -82,15 +110,15 @@ class Tree:
         return found
 
 
-def _possible(left: Tree, right: Tree, level: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+def _possible(left: Tree, right: Tree, level: int, i: np.ndarray, j: np.ndarray, rule: Rule) -> np.ndarray:
     """Can any two sets below the nodes be similar enough?"""
-    maps_a, low_a, high_a, hidden_a = left.levels[level]
-    maps_b, low_b, high_b, hidden_b = right.levels[level]
-    able = (100 * high_a[i] >= percent * low_b[j]) & (100 * high_b[j] >= percent * low_a[i])
+    maps_a, low_a, high_a, here_a, hidden_a = left.levels[level]
+    maps_b, low_b, high_b, here_b, hidden_b = right.levels[level]
+    able = (100 * high_a[i] >= rule.percent * low_b[j]) & (100 * high_b[j] >= rule.percent * low_a[i])
     i, j = i[able], j[able]
     common = np.bitwise_count(maps_a[i] & maps_b[j]).sum(axis=1, dtype=np.int64)
-    most = np.minimum(np.minimum(hidden_a[i], hidden_b[j]) + common, np.minimum(high_a[i], high_b[j]))
-    able[able] = (100 + percent) * most >= percent * (low_a[i] + low_b[j])
+    most = np.minimum(np.minimum(hidden_a[i], hidden_b[j]) + common, np.minimum(here_a[i], here_b[j]))
+    able[able] = most >= rule.least(low_a[i], low_b[j])
     return able
 
 
@@ -100,13 +128,16 @@ def _children(tree: Tree, level: int, nodes: np.ndarray) -> np.ndarray:
     return np.where(found < len(tree.levels[level - 1][0]), found, -1)
 
 
-def forest(values: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def forest(values: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.ndarray, rule: Rule,
+           n: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links (row, row) that join all rows which similar pairs join, beyond those with equal
     labels.  Sides 1 and 2 are compared with each other; where there is only one side, it is
-    compared with itself.  No set may be empty."""
+    compared with itself.  ``n`` are the sizes of the whole sets where only heads are given.  No
+    set may be empty."""
     if len(sizes) < 2:
         return []
     sets = Sets(values, sizes)
+    n = sizes if n is None else n
     label = np.unique(label, return_inverse=True)[1]
     found: list[tuple[int, int]] = []
 
@@ -116,8 +147,8 @@ def forest(values: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.nd
             x, y = a[at:at + 4096], b[at:at + 4096]
             apart = label[x] != label[y]
             x, y = x[apart], y[apart]
-            shared = sets.overlap(x, y)
-            near = 100 * shared >= percent * (sets.sizes[x] + sets.sizes[y] - shared)
+            alike = 100 * np.minimum(n[x], n[y]) >= rule.percent * np.maximum(n[x], n[y])
+            near = alike & (sets.overlap(x, y) >= rule.least(n[x], n[y]))
             for one, other in zip(x[near].tolist(), y[near].tolist(), strict=True):
                 if label[one] != label[other]:
                     found.append((one, other))
@@ -127,14 +158,10 @@ def forest(values: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.nd
     alone = len(np.unique(side)) < 2
     mean = int(sizes.mean())
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_SHINGLE * mean - 1).bit_length()))
-    left = Tree(sets, rows if alone else rows[side == 1], bits)
-    right = left if alone else Tree(sets, rows[side == 2], bits)
-    while len(left.levels) != len(right.levels):  # equal depth: roots alone are no level twice
-        shorter = left if len(left.levels) < len(right.levels) else right
-        maps, low, high, hidden = shorter.levels[-1]
-        at = np.arange(0, len(maps), FANOUT)
-        shorter.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at),
-                               np.maximum.reduceat(high, at), np.maximum.reduceat(hidden, at)))
+    left = Tree(sets, n, rows if alone else rows[side == 1], bits)
+    right = left if alone else Tree(sets, n, rows[side == 2], bits)
+    while len(left.levels) != len(right.levels):
+        (left if len(left.levels) < len(right.levels) else right).add_level()
     top = len(left.levels) - 1
     i, j = (grid.ravel() for grid in np.indices((len(left.levels[top][0]), len(right.levels[top][0]))))
     todo = [(top, i, j)]
@@ -152,7 +179,7 @@ def forest(values: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.nd
         (low_a, high_a), (low_b, high_b) = components[0][level], components[1][level]
         one = (low_a[i] == high_a[i]) & (low_b[j] == high_b[j]) & (low_a[i] == low_b[j])
         i, j = i[~one], j[~one]
-        able = _possible(left, right, level, i, j, percent)
+        able = _possible(left, right, level, i, j, rule)
         i, j = i[able], j[able]
         if level == 0:
             link(left.rows[i], right.rows[j])
