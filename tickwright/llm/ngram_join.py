@@ -1,10 +1,10 @@
 """Similarity self-join on word n-grams: signature trees over the documents that can have a link.
 
 All shingles are put in one order, that of their hashes.  Two sets that are similar enough share
-one of the first shingles of either, and some more of those that follow, since even without all
-of these too little would be left to share.  So each document gives only the head of its set.  A
-document of whose head too little occurs elsewhere is linked with nothing and goes no further;
-the others come into one group with those that share a first shingle.  Heads are compared first,
+some of the first shingles of either, since without all of these too little would be left to
+share.  So each document gives only the head of its set.  A document of whose head too little
+occurs elsewhere is linked with nothing and goes no further; the others come into one group with
+those that share one of the rarer shingles.  Heads are compared first,
 and what can be similar by them is compared whole.  Both is done by signature trees: nodes with OR-combined bitmaps and size ranges, two trees gone through
 together, pairs of nodes left aside by their largest possible overlap (``signature_tree.py``).
 Large groups are cut into cells by size, the upper level of the trees, which Spark compares in
@@ -42,13 +42,15 @@ def head(own: np.ndarray, percent: int) -> np.ndarray:
 
 
 def head_entries(signed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(row, key, n, weight): the first shingles of each class that can have a link, of which
-    each class that it is linked with has one too.
+    """(row, key, n, weight): the rarer shingles in the head of each class that can have a link,
+    of which each class that it is linked with has one among its own.
 
     Of the heads of two similar sets take the one that ends first in the order.  Its set has
     ``needed`` shingles less 1 and ``MORE`` percent after it, and the sets have ``needed`` in
-    common, so the heads have 1 and ``MORE`` percent in common.  The other set may be the smaller
-    one, but it is no smaller than ``needed``.
+    common, so the heads have 1 and ``MORE`` percent in common, which is ``least``.  The other
+    set may be the smaller one, but it is no smaller than ``needed``.  So each may leave aside
+    all but one of ``least`` of its shingles, and leaves the most frequent: the rarest one that
+    two similar sets have in common stays with both.
 
     A row's weight is how often the shingles of its head occur on average: in a group of copies
     it is largest for the text that most of the others were made from.
@@ -58,12 +60,13 @@ def head_entries(signed: DataFrame, classes: DataFrame, percent: int) -> DataFra
     copies = broadcast_if_small(copies.filter("row <> own").select("row"), "copies", 500_000)
     single = signed.join(copies, "row", "left_anti").select("row", F.explode("marks").alias("key"))
     often = single.groupBy("key").agg(F.count("*").cast("int").alias("times")).filter("times > 1")
-    shared = single.join(often, "key").groupBy("row").agg(F.collect_list("key").alias("keys"), F.avg("times").alias("weight"))
+    shared = single.join(often, "key").groupBy("row").agg(F.collect_list(F.struct("times", "key")).alias("shared"))
     needed = f"(({percent} * n_shingles + 99) DIV 100)"
-    sized = signed.select("row", F.col("n_shingles").alias("n"), F.expr(f"get(marks, int(n_shingles - {needed}))").alias("edge"),
-                          F.expr(f"1 + {MORE} * {needed} DIV 100").alias("least"))
-    found = shared.join(sized, "row").filter(F.size("keys") >= F.col("least"))
-    return found.select("row", "n", "weight", F.explode(F.filter("keys", lambda key: key <= F.col("edge"))).alias("key"))
+    sized = signed.select("row", F.col("n_shingles").alias("n"), F.expr(f"1 + {MORE} * {needed} DIV 100").cast("int").alias("least"))
+    found = shared.join(sized, "row").filter(F.size("shared") >= F.col("least"))
+    keys = F.slice(F.array_sort("shared"), F.lit(1), F.size("shared") - F.col("least") + 1)
+    weight = F.aggregate("shared", F.lit(0.0), lambda total, one: total + one["times"]) / F.size("shared")
+    return found.select("row", "n", weight.alias("weight"), F.explode(keys["key"]).alias("key"))
 
 
 def ngram_join(df: DataFrame, width: int = SHINGLE, percent: int = PERCENT,
