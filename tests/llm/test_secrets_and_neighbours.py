@@ -153,3 +153,21 @@ def test_vectors_that_take_no_part(spark, few):
     found = answers(posting_lists.nearest(table, F.col("vec_id") % 20 == 0))
     expected = {q: sorted(((-((1 + a) * (1 + b) + 1), 20 * b) for b in range(few) if a != b)) for a, q in enumerate(20 * n for n in range(few))}
     assert found == {q: [(i, -s) for s, i in rows] for q, rows in expected.items() if rows}
+
+
+@pytest.mark.parametrize("query_lists", [1, 3])
+def test_short_lists_are_filled_up(spark, query_lists):
+    """Small clusters far apart: a query's own lists hold fewer than 20 others."""
+    random_numbers = np.random.default_rng(4)
+    centres = random_numbers.normal(size=(30, 8)) * 50
+    rows = [(at, (centres[at % 30] + random_numbers.normal(size=8)).tolist()) for at in range(150)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = posting_lists.nearest(table, F.col("vec_id") % 10 == 0, list_rows=6, query_lists=query_lists).collect()
+    points = np.array([v for _, v in rows])
+    for query in range(0, 150, 10):
+        own = sorted((r for r in found if r.query_id == query), key=lambda r: r.rank)
+        assert [r["rank"] for r in own] == list(range(1, 21)) and len({r.vec_id for r in own}) == 20
+        assert query not in {r.vec_id for r in own}
+        assert all(abs(r.score - points[query] @ points[r.vec_id]) < 1e-9 for r in own)
+    few = posting_lists.nearest(table.filter("vec_id < 7"), F.col("vec_id") == 0, list_rows=2, query_lists=query_lists).collect()
+    assert sorted(r.vec_id for r in few) == list(range(1, 7))

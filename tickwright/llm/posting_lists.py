@@ -178,15 +178,32 @@ def nearest(vectors: DataFrame, is_query: Column, neighbours: int = NEIGHBOURS,
     """(query_id, rank, vec_id, score): the ``neighbours`` nearest found for each query among all
     rows but its own; nearest first, ties to the smaller id.
 
-    Vectors that are null, zero or hold null or non-finite components, and those of another
-    dimension than most, take no part.  Rows that repeat an id count once; an empty table
-    gives no rows; other columns are ignored.
+    Where a query's lists hold fewer others than that, it is asked of all lists, so every query
+    gets ``neighbours`` rows, or all other vectors if there are fewer.  Vectors that are null,
+    zero or hold null or non-finite components, and those of another dimension than most, take
+    no part.  Rows that repeat an id count once; an empty table gives no rows; other columns are
+    ignored.
     """
     taking = stage(participating(vectors), "vectors")
     graph, norm, dimension = fit_index(taking, list_rows)
     own = taking.filter(F.size("embedding") == dimension)
     postings = stage(chosen_lists(own, graph, norm, VECTOR_RATIO, VECTOR_LISTS), "postings")
-    probes = stage(chosen_lists(own.filter(is_query), graph, None, query_ratio, query_lists).withColumnRenamed("vec_id", "query_id"), "probes")
+    queries = own.filter(is_query)
+    probes = chosen_lists(queries, graph, None, query_ratio, query_lists).withColumnRenamed("vec_id", "query_id")
+    found = stage(_asked(stage(probes, "probes"), postings, neighbours, block_rows), "found")
+    least = min(neighbours, own.select("vec_id").distinct().count() - 1)
+    counts = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"))
+    short = stage(queries.join(counts, "vec_id", "left").filter(F.coalesce("n", F.lit(0)) < least).drop("n"), "short-queries")
+    if short.limit(1).count() == 0:
+        return found
+    lists = F.explode(F.sequence(F.lit(0), F.lit(len(graph.centroids) - 1))).alias("list")
+    everywhere = stage(short.select(F.col("vec_id").alias("query_id"), "embedding", lists), "short-probes")
+    refilled = _asked(everywhere, postings, neighbours, block_rows)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(refilled)
+
+
+def _asked(probes: DataFrame, postings: DataFrame, neighbours: int, block_rows: int) -> DataFrame:
+    """The nearest of each query in the lists that its probes name."""
     sizes = broadcast_if_small(
         postings.groupBy("list").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
         .join(probes.groupBy("list").agg(F.ceil(F.count("*") / block_rows).alias("query_blocks")), "list"), "lists")
