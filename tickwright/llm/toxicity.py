@@ -12,6 +12,7 @@ covers every text.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,10 +31,28 @@ THRESHOLD = 0.3
 #: Words on either side of a match that are its context.
 WINDOW = 12
 _WORD = re.compile(r"[^\W\d_]+")
-_QUOTED = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]')
+_MARK = re.compile(r'["“”„«»\n]')
+#: Marks that close what a mark opens (fixed values).
+_CLOSES = {'"': '"', "“": "”", "„": "“”", "«": "»"}
 FEATURES = ("exact", "fuzzy", "quoted", "crowded", "terms")
 
 
+def quoted_spans(text: str) -> list[tuple[int, int]]:
+    """Start and end of the quotations, however long; none goes over a line's end.  One pass: a
+    mark opens one unless it closes the one that is open."""
+    spans, opened, closes = [], None, ""
+    for mark in _MARK.finditer(text):
+        if mark[0] == "\n":
+            opened, closes = None, ""
+        elif opened is not None and mark[0] in closes:
+            if mark.start() > opened + 1:
+                spans.append((opened, mark.end()))
+            opened, closes = None, ""
+        elif opened is None and mark[0] in _CLOSES:
+            opened, closes = mark.start(), _CLOSES[mark[0]]
+    return spans
+
+
 def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
@@ -133,12 +152,13 @@ class ToxicityModel:
             return np.zeros(len(FEATURES))
         lowered = text.lower()
         starts = [m.start() for m in _WORD.finditer(lowered)]
-        quoted_spans = [m.span() for m in _QUOTED.finditer(lowered)]
+        spans = quoted_spans(lowered)
         places = np.array([at for at, _, _ in found])
         sums = dict.fromkeys(FEATURES, 0.0)
         for at, _, edits in found:
             near = int(np.searchsorted(places, at + WINDOW, "right") - np.searchsorted(places, at - WINDOW, "left")) - 1
-            if any(start <= starts[at] < end for start, end in quoted_spans):
+            last = bisect.bisect_right(spans, (starts[at], len(lowered) + 1)) - 1
+            if last >= 0 and starts[at] < spans[last][1]:
                 sums["quoted"] += 1
             else:
                 sums["fuzzy" if edits else "exact"] += 1
