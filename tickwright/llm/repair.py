@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickwright.llm.common import WORD, stage, with_package
+from tickwright.session import Staged
 
 KEEP, REROLE, DELETE, INSERT = "K", "R", "D", "I"
 COSTS = {KEEP: 0, REROLE: 1, DELETE: 2, INSERT: 5}
@@ -386,9 +387,13 @@ class Repair:
 def repair_damaged(df: DataFrame) -> DataFrame:
     """:meth:`Repair.summary` of the damaged rows of ``df``, one row for every conversation in
     it; one that the damage leaves without rows has zeros, no edits and the digest of nothing."""
-    found = Repair(damage(df)).summary()
-    everyone = df.select(F.struct("conv_id").alias("conv")).distinct()
-    joined = everyone.join(found.withColumn("conv", F.struct("conv_id")).drop("conv_id"), "conv", "left")
-    return joined.select(
-        F.col("conv.conv_id").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", *_COUNTS, "cost")],
-        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+    with Staged(df.sparkSession) as between:
+        found = Repair(damage(df)).summary()
+        everyone = df.select(F.struct("conv_id").alias("conv")).distinct()
+        joined = everyone.join(found.withColumn("conv", F.struct("conv_id")).drop("conv_id"), "conv", "left")
+        result = stage(joined.select(
+            F.col("conv.conv_id").alias("conv_id"), *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", *_COUNTS, "cost")],
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")), "repair")
+        between.take_last()
+    return result
