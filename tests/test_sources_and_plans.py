@@ -329,6 +329,27 @@ def test_sample_mode_and_registry(spark, log_file, tmp_path):
         SeriesRegistry([SeriesConfig("s"), SeriesConfig("s")])
 
 
+def test_series_beside_each_other_equal_one_by_one(spark, tmp_path):
+    configs = []
+    for at in range(5):
+        path = tmp_path / f"in{at}.csv"
+        path.write_text("Time,A\n" + "".join(f"2024-01-01 0{i % 3 + at}:00:00,{'x' if i == at else i}\n" for i in range(12)))
+        configs.append(SeriesConfig(f"s{at}", str(path), expected_gap_seconds=600 * (at + 1)))
+    registry = SeriesRegistry(configs)
+    seen = {}
+    for at_once in (1, 4):
+        results = clean.clean_all(spark, registry, str(tmp_path / f"out{at_once}"), mode="full", at_once=at_once)
+        assert list(results) == [c.name for c in configs]
+        seen[at_once] = [
+            [sorted(map(str, spark.read.parquet(p).collect())) for p in (r.audit_path, r.ml_path)]
+            + [spark.read.json(r.summary_path).drop("output_path", "ml_ready_output_path").collect()] for r in results.values()]
+        for result in results.values():
+            result.release()
+            with pytest.raises(Exception, match="(?i)path.*not|exist"):
+                spark.read.parquet(result.staged).count()
+    assert seen[1] == seen[4]
+
+
 def test_clean_identities_on_monotonic_rows(spark, tmp_path):
     """rows - repeats = distinct times, and the run histogram adds up to the repeats."""
     start, lines, at = datetime(2024, 1, 1), [], 0

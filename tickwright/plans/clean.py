@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,7 +136,14 @@ def clean_series(spark: SparkSession, config: SeriesConfig, output: str, mode: s
     return CleanResult(flagged, mapping, *paths, staged=kept)
 
 
-def clean_all(spark: SparkSession, registry: SeriesRegistry, output: str, name: str = "all",
+def clean_all(spark: SparkSession, registry: SeriesRegistry, output: str, name: str = "all", at_once: int = 8,
               **options) -> dict[str, CleanResult]:
-    """Clean the selected series one after another, each with its own settings."""
-    return {c.name: clean_series(spark, c, output, **options) for c in registry.select(name)}
+    """Clean the selected series, each with its own settings, up to ``at_once`` beside each other.
+
+    Small series alone leave most of a cluster idle between their many short jobs; the jobs of
+    several fill it.  A long series takes what tasks it needs either way.
+    """
+    chosen = registry.select(name)
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(chosen)))) as pool:
+        results = pool.map(lambda c: clean_series(spark, c, output, **options), chosen)
+        return {c.name: result for c, result in zip(chosen, results, strict=True)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,15 +46,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 class Staged:
-    """Owner of the tables staged inside a ``with`` block: they are deleted when it ends."""
+    """Owner of the tables staged inside a ``with`` block: they are deleted when it ends.
 
-    _open: list[Staged] = []
+    Blocks nest, and each thread has its own, so flows can run beside each other.
+    """
+
+    _open: ContextVar[tuple[Staged, ...]] = ContextVar("staged", default=())
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Staged:
-        Staged._open.append(self)
+        Staged._open.set((*Staged._open.get(), self))
         return self
 
     def take_last(self) -> str:
@@ -61,7 +65,7 @@ class Staged:
         return self.paths.pop()
 
     def __exit__(self, *_) -> None:
-        Staged._open.remove(self)
+        Staged._open.set(tuple(block for block in Staged._open.get() if block is not self))
         for path in self.paths:
             delete_path(self.spark, path)
 
@@ -74,8 +78,8 @@ def stage_table(df: DataFrame, label: str, partition_by: list[str] | None = None
     """
     spark = df.sparkSession
     path = stage_path(spark, label)
-    if Staged._open:
-        Staged._open[-1].paths.append(path)
+    if blocks := Staged._open.get():
+        blocks[-1].paths.append(path)
     writer = df.write.mode("errorifexists").option("maxRecordsPerFile", 0)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
