@@ -7,11 +7,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from rows import TEXTS, empty_table, odd_rows, odd_table
 
 import corpus_pipeline
 from checks.compare import connect, differences
-from tickwright.llm import minhash, signature_tree
+from tickwright.llm import groups, minhash, signature_tree
 from tickwright.llm.components import connected_components
 from tickwright.llm.ngram_join import ngram_join
 from tickwright.llm.queries import ORACLE, QUERIES
@@ -118,6 +119,31 @@ def test_one_large_group_in_cells(spark, seed):
             assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected, (width, blocks)
 
 
+def test_near_copies_that_are_unlike_are_not_paired(spark, monkeypatch):
+    """Copies of one text, each changed in places of its own and like no other: the rows of the
+    blocks grow with the group and not with its square."""
+    rows_in_blocks = []
+
+    def counted(blocks, *given):
+        rows_in_blocks.append(blocks.count())
+        return links_of_blocks(blocks, *given)
+
+    links_of_blocks = groups._links_of_blocks
+    monkeypatch.setattr(groups, "_links_of_blocks", counted)
+    draw = random.Random(3)
+    rows = [(d, " ".join(f"b{i}" if i % 8 != d % 8 or draw.random() < 0.05 else f"x{d}w{i}" for i in range(120))) for d in range(120)]
+    members = spark.createDataFrame([(0, d, 120) for d, _ in rows], "leader long, row long, n long")
+    clusters = spark.createDataFrame([(d, 0) for d, _ in rows], "id long, label long")
+    signed = minhash.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 1, lambda own: own.view(np.int64))
+    numbered = signed.select(F.col("doc_id").alias("row"), F.col("marks").alias("shingles"))
+    classes = numbered.select("row")
+    found = groups._links_in(members, clusters, classes, lambda wanted: numbered.join(wanted, "row"),
+                             signature_tree.Rule(95), block_shingles=1000, block_rows=8)
+    assert [r for r in found.collect() if r.a != r.b] == [] and brute(rows, 1, 95) == {d: (120, d) for d, _ in rows}
+    assert sum(rows_in_blocks) < 2 * len(rows)
+
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_tree_finds_what_all_pairs_find(seed):
     random_numbers = np.random.default_rng(seed)

@@ -5,8 +5,10 @@ share a leader too.  All rows that share a key with a leader are its group.  Two
 a key are in the group of that key's leader, so groups hold every candidate pair.
 
 Groups that overlap are put together as far as they make one block, in which links are found
-exactly; there each row comes once.  Of what is larger, each group goes by itself, and a large
-one as follows.  Every row is compared with the leader first.  Then the group is cut into cells
+exactly; there each row comes once.  Of what is larger, rows whose whole sets are there are put
+together anew, by the shingles that are rare among them (:func:`_rarer_members`): a row that
+shares none of its own with another is linked with nothing.  What is still larger than a block
+goes group by group, and a large group as follows.  Every row is compared with the leader first.  Then the group is cut into cells
 by size, by distance from the leader and at random, none larger than a block, and cells are
 compared in pairs: not those that sizes or the triangle inequality of the Jaccard distance keep
 apart, and not those whose rows are all linked to the leader already, which is most of a large
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickwright.llm.common import stage, with_package
+from tickwright.llm.common import broadcast_if_small, stage, with_package
 from tickwright.llm.components import connected_components
 from tickwright.llm.signature_tree import Rule, forest
 
@@ -59,20 +61,48 @@ def grouped_links(entries: DataFrame, classes: DataFrame, sets_of: Callable[[Dat
     heads of the sets; then these are compared first, and only rows whose heads have enough in
     common (``more``, see :class:`Rule`) come into one block with their whole sets.
     """
-    entries = stage(entries.select("row", "key", "n", "weight"), "entries")
-    leaders = (entries.groupBy("key").agg(F.max(F.struct("weight", "row")).alias("top"), F.count("*").alias("rows"))
-               .filter("rows > 1").select("key", F.col("top.row").alias("leader")))
-    members = stage(entries.join(leaders, "key").select("leader", "row", "n").distinct(), "members")
-    clusters = connected_components(members.select(F.col("leader").alias("a"), F.col("row").alias("b")))
+    members, clusters = _members_of(entries)
     if heads_of is not None:
         possible = _links_in(members, clusters, classes, heads_of, Rule(percent, more), block_shingles, block_rows)
         clusters = connected_components(possible)
     return _links_in(members, clusters, classes, sets_of, Rule(percent), block_shingles, block_rows)
 
 
+def _members_of(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leader, row, n) of the groups, and (id, label) of the groups that overlap."""
+    entries = stage(entries.select("row", "key", "n", "weight"), "entries")
+    leaders = (entries.groupBy("key").agg(F.max(F.struct("weight", "row")).alias("top"), F.count("*").alias("rows"))
+               .filter("rows > 1").select("key", F.col("top.row").alias("leader")))
+    members = stage(entries.join(leaders, "key").select("leader", "row", "n").distinct(), "members")
+    return members, connected_components(members.select(F.col("leader").alias("a"), F.col("row").alias("b")))
+
+
+def _rarer_members(large: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups among the rows of large clusters (row, n, cluster), by their rarest shingles there.
+
+    Let all shingles of a cluster be in one order, the rarest first.  A set has ``needed``
+    shingles in common with any that is similar enough, so the first of these in the order is
+    among the first ``n - needed + 1`` of both sets.  Shingles that no other row of the cluster
+    has come first and need no group.  Near copies that differ in many places have enough of
+    their own to come into none; the pairs of a large cluster are never gone through for that.
+    """
+    single = large.select("row", "n", "cluster").join(sets, "row").select("cluster", "row", "n", F.explode("shingles").alias("shingle"))
+    often = single.groupBy("cluster", "shingle").agg(F.count("*").cast("int").alias("times")).filter("times > 1")
+    shared = (single.join(often, ["cluster", "shingle"]).groupBy("cluster", "row", "n")
+              .agg(F.collect_list(F.struct("times", "shingle")).alias("shared")))
+    first = F.expr(f"cast(n - ({percent} * n + 99) DIV 100 + 1 - (n - size(shared)) as int)")
+    weight = F.aggregate("shared", F.lit(0.0), lambda total, one: total + one["times"]) / F.size("shared")
+    kept = shared.withColumn("first", first).filter("first > 0")
+    keys = F.slice(F.array_sort("shared"), F.lit(1), F.col("first"))["shingle"]
+    entries = kept.select("cluster", "row", "n", weight.alias("weight"), F.explode(keys).alias("shingle"))
+    return _members_of(entries.select("row", F.xxhash64("cluster", "shingle").alias("key"), "n", "weight"))
+
+
 def _links_in(members: DataFrame, clusters: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
-              rule: Rule, block_shingles: int, block_rows: int) -> DataFrame:
-    """Links between rows that are in one group and one cluster.  Small clusters are a block."""
+              rule: Rule, block_shingles: int, block_rows: int, rarer: bool = False) -> DataFrame:
+    """Links between rows that are in one group and one cluster.  Small clusters are a block.
+    Where whole sets are given, rows of large ones come into new groups first, unless the groups
+    are those already (``rarer``)."""
     near = members.select("row", "n").distinct().join(clusters.select(F.col("id").alias("row"), F.col("label").alias("cluster")), "row")
     is_large = (F.sum("n") > block_shingles) | (F.count("*") > block_rows)
     sizes = near.groupBy("cluster").agg(is_large.alias("large"))
@@ -83,6 +113,11 @@ def _links_in(members: DataFrame, clusters: DataFrame, classes: DataFrame, sets_
     if large.limit(1).count() == 0:
         return links
     sets = stage(sets_of(large).select("row", "shingles"), "sets")
+    if rule.more is None and not rarer:
+        members, clusters = _rarer_members(large, sets, rule.percent)
+        return links.unionByName(_links_in(
+            members, clusters, classes, lambda wanted: sets.join(broadcast_if_small(wanted, "wanted", 500_000), "row"),
+            rule, block_shingles, block_rows, True))
     groups = members.join(large.select("row", "cluster"), "row").select(F.xxhash64("leader", "cluster").alias("group"), "leader", "row", "n")
     is_large = (F.sum("n") > block_shingles) | (F.count("*") > block_rows)
     # The leader itself may be in another cluster.
