@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks.inputs import (
@@ -15,7 +14,7 @@ from checks.inputs import (
 )
 from tickwright.config import ScalerConfig, SeriesConfig
 from tickwright.functions import cells, names, times
-from tickwright.operators import features, outliers, profile, quality, resample, scaling, sequence
+from tickwright.operators import features, ordered, outliers, profile, quality, resample, scaling, sequence
 from tickwright.plans import clean, model_prep, variants
 from tickwright.session import stage_path, stage_table
 from tickwright.sources import delimited, tables
@@ -592,8 +591,8 @@ def delimited_scan_multiline(spark, sf):
     value = F.when(i % 70 == 1, "").when(i % 90 == 2, F.col("time_raw")).when(i % 110 == 3, F.concat(row, F.lit(",more"))).otherwise(row)
     path = _as_file(spark, raw_readings(spark, sf).select("ordinal", value.alias("value")), "multiline")
     cells_, _ = delimited.read_cells(spark, path, headers=["Time", "Note", "Flow"])
-    order = (F.row_number().over(W.orderBy(delimited.ORDINAL)) - 1).cast("long")
-    return cells_.select(order.alias("row_order"), F.col("c0").alias("time_raw"), F.col("c1").alias("note"),
+    placed = ordered.sorted_positions(cells_, [delimited.ORDINAL], "row_order")
+    return placed.select("row_order", F.col("c0").alias("time_raw"), F.col("c1").alias("note"),
                          F.col("c2").alias("flow"), delimited.MISMATCH)
 
 

@@ -29,3 +29,12 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_agrees_with_sql(spark, sf, connection, name):
     assert differences(QUERIES[name](spark, sf), ORACLE[name], connection) is None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_multiline_rows_are_numbered_without_one_window(spark, sf):
+    plan = plan_of(QUERIES["delimited_scan_multiline"](spark, sf))
+    assert "windowspecdefinition(_ordinal" not in plan
