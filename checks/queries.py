@@ -553,10 +553,10 @@ def scaled_for_model(spark, sf):
     return scaled.select("ordinal", *round6("pressure", "level", "flow", "delta_P_delta_Q"), "injecting", "producing")
 
 
-def _as_file(spark, lines, label="file"):
-    """Lines written in the order of their ordinal."""
+def _as_file(spark, rows, value="value", label="file"):
+    """Lines written in the order of their ordinal; rows are sorted before lines are made."""
     path = stage_path(spark, label)
-    lines.orderBy("ordinal").select("value").write.text(path)
+    rows.orderBy("ordinal").select((F.col(value) if isinstance(value, str) else value).alias("value")).write.text(path)
     return path
 
 
@@ -571,14 +571,16 @@ def wide_clean(spark, sf):
         F.when(i % (97 + k) == k, "n/a").when(i % (89 + k) == 3, "").otherwise((i * (k + 1) % 1000).cast("string")).alias(f"c{k}")
         for k in range(WIDE)
     ]
-    lines = raw_readings(spark, sf).select("ordinal", F.concat_ws(",", "time_raw", *channels_).alias("value"))
+    path = _as_file(spark, raw_readings(spark, sf), F.concat_ws(",", "time_raw", *channels_), "wide")
     config = SeriesConfig("wide", expected_gap_seconds=CADENCE)
     rows, mapping = delimited.read_series(
-        spark, config, _as_file(spark, lines, "wide"), headers=["Time", *[f"Channel {k}" for k in range(WIDE)]])
-    flagged = stage_table(clean.flag_rows(rows, mapping, config), "wide-flagged")
-    audit = clean.audit_table(flagged, mapping)
-    digest = audit.select("row_order", F.md5(F.concat_ws("|", *[c for c in audit.columns if c != "row_order"])).alias("audit"))
-    return clean.ml_ready_table(flagged, mapping).join(digest, "row_order")
+        spark, config, path, headers=["Time", *[f"Channel {k}" for k in range(WIDE)]])
+    flagged = clean.flag_rows(rows, mapping, config)
+    # The digest is added to the row it is of, so that the wide rows are not joined with themselves.
+    audit = clean.audit_table(flagged.withColumn("_flagged", F.struct(*flagged.columns)), mapping, keep=["_flagged"])
+    digest = F.md5(F.concat_ws("|", *[c for c in audit.columns if c not in ("row_order", "_flagged")])).alias("audit")
+    ready = clean.ml_ready_table(audit.select("_flagged.*", digest), mapping, keep=["audit"])
+    return ready.select("row_order", *[c for c in ready.columns if c != "row_order"])
 
 
 @query
@@ -589,7 +591,7 @@ def delimited_scan_multiline(spark, sf):
         F.concat(F.lit("note "), i.cast("string")))
     row = F.concat_ws(",", "time_raw", note, "flow_raw")
     value = F.when(i % 70 == 1, "").when(i % 90 == 2, F.col("time_raw")).when(i % 110 == 3, F.concat(row, F.lit(",more"))).otherwise(row)
-    path = _as_file(spark, raw_readings(spark, sf).select("ordinal", value.alias("value")), "multiline")
+    path = _as_file(spark, raw_readings(spark, sf), value, "multiline")
     cells_, _ = delimited.read_cells(spark, path, headers=["Time", "Note", "Flow"])
     placed = ordered.sorted_positions(cells_, [delimited.ORDINAL], "row_order")
     return placed.select("row_order", F.col("c0").alias("time_raw"), F.col("c1").alias("note"),
@@ -600,7 +602,7 @@ def delimited_scan_multiline(spark, sf):
 def clean_to_model(spark, sf):
     """From a dirty file over the written ML-ready table to QC and scaling."""
     cell = F.transform("cells", lambda c: F.when(c.contains(" "), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c))
-    path = _as_file(spark, ragged_cells(spark, sf).select("ordinal", F.array_join(cell, ",").alias("value")), "chain")
+    path = _as_file(spark, ragged_cells(spark, sf).select("ordinal", F.array_join(cell, ",").alias("value")), label="chain")
     config = SeriesConfig(CONFIG.name, path, expected_gap_seconds=CADENCE, has_pump_state=True)
     result = clean.clean_series(spark, config, stage_path(spark, "cleaned"), mode="full", headers=HEADERS)
     written = spark.read.parquet(result.ml_path)

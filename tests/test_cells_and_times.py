@@ -104,3 +104,14 @@ def test_calendar_and_cyclic_features(spark):
         assert r["is_weekend"] == int(t.weekday() >= 5)
         assert r["hour_sin"] == round(math.sin(2 * math.pi * t.hour / 24), 6)
         assert r["day_of_week_cos"] == round(math.cos(2 * math.pi * t.weekday() / 7), 6)
+
+
+def test_lines_that_need_no_strip_have_no_cell_to_strip(spark):
+    texts = ["a", "", "a b", " a", "a ", "\u00a0a", "a\u2003", "\ta", '" a"', '"a "', '"a"', '"a, b"']
+    lines = [f"{one},{other}" for one in texts for other in texts]
+    rows = spark.createDataFrame([(line,) for line in lines], "line string")
+    parsed = F.from_csv("line", F.lit("a string, b string"), {"quote": '"', "escape": '"'})
+    whole = F.array(F.coalesce(parsed["a"], F.lit("")), F.coalesce(parsed["b"], F.lit("")))
+    found = rows.select("line", cells.may_need_strip(F.col("line")).alias("may"), (F.transform(whole, cells.strip) != whole).alias("changes")).collect()
+    assert [r.line for r in found if r.changes and not r.may] == []
+    assert {r.line: r.may for r in found}["a b,a"] is False

@@ -35,6 +35,14 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_wide_rows_are_not_joined_with_themselves(spark, sf):
+    """The digest belongs to the row it is of; numbers don't move with the window's rows."""
+    plan = plan_of(QUERIES["wide_clean"](spark, sf))
+    assert not [line for line in plan.splitlines() if "Join" in line and "row_order" in line]
+    below_window = plan[plan.index("Window ["):]
+    assert "_numbers" not in below_window
+
+
 def test_multiline_rows_are_numbered_without_one_window(spark, sf):
     plan = plan_of(QUERIES["delimited_scan_multiline"](spark, sf))
     assert "windowspecdefinition(_ordinal" not in plan

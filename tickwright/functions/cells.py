@@ -23,16 +23,26 @@ def strip(c: Column) -> Column:
     return F.when(plain, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
+def may_need_strip(line: Column) -> Column:
+    """Could a cell of this delimited line begin or end with white space?  Only if a space stands
+    beside a comma, a quote or an end of the line, or there is any other white space."""
+    beside = any_of([line.contains(text) for text in (" ,", ", ", ' "', '" ')])
+    other = "".join(f"\\u{ord(c):04x}" for c in WHITESPACE if c != " ")
+    return beside | line.startswith(" ") | line.endswith(" ") | line.rlike(f"[{other}]")
+
+
 def as_number(c: Column) -> Column:
     """Stripped text to double, NULL where it is no number.
 
     The plain cast also takes Java spellings (``1.5d``, ``0x1p3``) and refuses digit
     underscores, so text with such letters goes through the stricter pattern.  Such spellings
-    end in a letter or hold an x or an underscore.
+    end in a letter or hold an x or an underscore, all of which come after the digits in the
+    order of characters: text without any later one, which is most, is asked no further.
     """
     strict = F.when(c.rlike(_FLOAT_TEXT), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
     odd = (F.ascii(F.right(c, F.lit(1))) > 57) | c.contains("_") | c.contains("x") | c.contains("X")
-    return F.when(odd, strict).otherwise(c.try_cast("double"))
+    plain = c.try_cast("double")
+    return F.when(c.rlike(r"[^\x00-9]"), F.when(odd, strict).otherwise(plain)).otherwise(plain)
 
 
 def is_non_numeric(c: Column) -> Column:

@@ -32,23 +32,28 @@ def flag_rows(cells: DataFrame, mapping: Sequence[HeaderField], config: SeriesCo
 
     Numbers go into one array, ``_numbers``, and the places of cells that are none into
     ``_bad_cells``, so that no output parses again and the size of the generated code does not
-    grow with the number of columns.  Text cells stay as they are.
+    grow with the number of columns.  Text cells stay as they are.  Time flags come first: only
+    the text cells move for them, not the numbers made from these.
     """
     numeric = numeric_fields(mapping)
     texts = F.array(*[named(c) for c in numeric]) if numeric else F.array().cast("array<string>")
     if TIME not in cells.columns:
         cells = cells.withColumn(TIME, parse_time(F.col("time_raw"), config.time_format))
-    parsed = cells.withColumn(NUMBERS, F.transform(texts, as_number))
-    missed = F.zip_with(texts, F.col(NUMBERS), lambda text, number: (F.coalesce(text, F.lit("")) != "") & number.isNull())
-    bad = F.filter(F.transform(missed, lambda is_bad, at: F.when(is_bad, at)), lambda at: at.isNotNull())
-    flags = parsed.withColumn(BAD_CELLS, bad).withColumn("flag_non_numeric_in_numeric_field", F.size(BAD_CELLS) > 0)
-    flagged = flag_sequence(flags, config.expected_gap_seconds, TIME, ordinal=ORDINAL, name=_PREVIOUS)
-    return flagged.drop(_PREVIOUS)
-
-
-def audit_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame:
+    kept = cells.columns
+    seen = flag_sequence(cells, config.expected_gap_seconds, TIME, ordinal=ORDINAL, name=_PREVIOUS)
+    parsed = seen.withColumn("_number_texts", texts).withColumn(NUMBERS, F.transform("_number_texts", as_number))
+    missed = F.transform("_number_texts", lambda text, at: F.when((F.coalesce(text, F.lit("")) != "") & F.col(NUMBERS)[at].isNull(), at))
+    bad = F.when(F.exists(NUMBERS, lambda number: number.isNull()), F.filter(missed, lambda at: at.isNotNull()))
+    bad = F.coalesce(bad, F.array().cast("array<int>"))
+    flagged = parsed.withColumn(BAD_CELLS, bad).withColumn("flag_non_numeric_in_numeric_field", F.size(BAD_CELLS) > 0)
+    added = [NUMBERS, BAD_CELLS, "flag_non_numeric_in_numeric_field"]
+    return flagged.select(*[named(c) for c in kept], *added, *[f for f in FLAGS if f not in kept and f not in added])
+
+
+def audit_table(flagged: DataFrame, mapping: Sequence[HeaderField], keep: Sequence[str] = ()) -> DataFrame:
     """Everything as text, states and booleans in lower case, flags ``true``/``false``; a pump
-    state is known by its name here.  ``row_order`` is the record's place in the file."""
+    state is known by its name here.  ``row_order`` is the record's place in the file.  Columns
+    to ``keep`` follow as they are."""
 
     def cell(field: HeaderField) -> Column:
         text = named(field.clean)
@@ -58,14 +63,14 @@ def audit_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame
     return flagged.select(
         "source_dataset", F.col(ORDINAL).alias(ROW_ORDER), "time_raw", canonical_time(F.col(TIME)).alias("time"),
         *[cell(field) for field in mapping if field.role != "time"],
-        *[flag_text(F.col(f)).alias(f) for f in FLAGS],
+        *[flag_text(F.col(f)).alias(f) for f in FLAGS], *keep,
     )
 
 
-def ml_ready_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFrame:
+def ml_ready_table(flagged: DataFrame, mapping: Sequence[HeaderField], keep: Sequence[str] = ()) -> DataFrame:
     """Numbers as doubles, states and booleans as 1/0/NULL, flags 1/0; no raw time or index.
     ``row_order`` is the record's place in the file.  Each column's schema entry holds its
-    header, role, unit and definition."""
+    header, role, unit and definition.  Columns to ``keep`` follow as they are."""
     place = {clean: at for at, clean in enumerate(numeric_fields(mapping))}
 
     def cell(field: HeaderField) -> Column:
@@ -77,7 +82,7 @@ def ml_ready_table(flagged: DataFrame, mapping: Sequence[HeaderField]) -> DataFr
     return flagged.select(
         "source_dataset", F.col(ORDINAL).alias(ROW_ORDER), canonical_time(F.col(TIME)).alias("time"),
         *[cell(field) for field in mapping if field.role not in ("time", "index")],
-        *[flag_int(F.col(f)).alias(f) for f in FLAGS],
+        *[flag_int(F.col(f)).alias(f) for f in FLAGS], *keep,
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tickwright.config import SeriesConfig
-from tickwright.functions.cells import strip
+from tickwright.functions.cells import may_need_strip, strip
 from tickwright.functions.names import BYTE_ORDER_MARK, HeaderField, header_mapping
 from tickwright.functions.times import parse_time
 from tickwright.operators.ordered import look_back
@@ -206,8 +206,10 @@ def read_cells(spark: SparkSession, path: str | Sequence[str], headers: Sequence
         # The parser leaves the corrupt column empty for a line without any text.
         mismatch = F.col(f"_cells.{_CORRUPT}").isNotNull() | (F.col("value") == "")
         whole = F.array(*[F.coalesce(f"_cells.{f}", F.lit("")) for f in fields])
-        texts = F.transform(whole, strip) if trim else whole
+        texts = F.when(may_need_strip(F.col("value")), F.transform(whole, strip)).otherwise(whole) if trim else whole
+        # No cell is longer than its line.
         long = F.exists(whole, lambda cell: F.length(cell) > _LONGEST_CELL) if fields else F.lit(False)
+        long = F.when(F.length("value") > _LONGEST_CELL, long).otherwise(F.lit(False))
         kept = [c for c in rows.columns if c != "value"]
         shaped = split.select(*kept, texts.alias("_texts"), mismatch.alias(MISMATCH), _ends_inside(F.col("value")).alias("_opens"), long.alias("_long"))
         when = [parse_time(F.col("_texts")[names.index(time[0])], time[1]).alias(TIME)] if time and time[0] in names else []
