@@ -6,13 +6,14 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from rows import TEXTS, empty_table, odd_rows, odd_table
 
 import corpus_pipeline
 from checks.compare import connect, differences
-from tickwright.llm import groups, minhash, signature_tree
+from tickwright.llm import components, groups, minhash, signature_tree
 from tickwright.llm.components import connected_components
 from tickwright.llm.ngram_join import ngram_join
 from tickwright.llm.queries import ORACLE, QUERIES
@@ -216,3 +217,42 @@ def test_components_of_random_links(spark, seed):
                 label[a] = label[b] = min(label[a], label[b])
     assert dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect()) == label
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_are_written_in_few_files(spark, monkeypatch):
+    """Every file costs the executors processes of their own: a round's tables have as many as
+    their rows need, however many partitions a shuffle has."""
+    written = []
+
+    def counted(df, label):
+        written.append(stage(df, label))
+        return written[-1]
+
+    stage = components.stage
+    monkeypatch.setattr(components, "stage", counted)
+    draw = random.Random(5)
+    links = [(draw.randrange(2000), draw.randrange(2000)) for _ in range(1500)]
+    wanted = dict(connected_components(spark.createDataFrame(links, "a long, b long").coalesce(4)).collect())
+    tables, files = len(written), sum(len(df.inputFiles()) for df in written)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        written.clear()
+        assert dict(connected_components(spark.createDataFrame(links, "a long, b long").coalesce(4)).collect()) == wanted
+        assert len(written) == tables and sum(len(df.inputFiles()) for df in written) <= 8 * tables
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert files <= 8 * tables
+
+
+def test_components_of_chunks(spark, monkeypatch):
+    """Links of one task come a few at a time, and the chunks' components are joined after."""
+    monkeypatch.setattr(components, "CHUNK", 5)
+    links = [(a, a + 1) for a in range(300, 0, -1)] + [(1000 - a, 1000) for a in range(1, 50)]
+    expected = {**dict.fromkeys(range(1, 302), 1), **dict.fromkeys(range(951, 1001), 951)}
+    found = components._stars(pa.table({"a": [a for a, _ in links], "b": [b for _, b in links]}))
+    assert {b: a for a, b in zip(*found.to_pydict().values(), strict=True)} == {b: a for b, a in expected.items() if a != b}
+    assert dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect()) == expected
